@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from .language import op4_language
 from .quality import op8_quality
+from .simhash import op9_neardup
+from .vectors import ORACLE_OP7, op7_topk
 
 QUERIES = {
     "op4_language": op4_language,
+    "op7_topk": op7_topk,
     "op8_quality": op8_quality,
+    "op9_neardup": op9_neardup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": ORACLE_OP7,
+}
