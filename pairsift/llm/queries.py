@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE_OP1, op1_chat
+from .html import op6_html
 from .language import op4_language
 from .quality import op8_quality
 from .simhash import op9_neardup
 from .vectors import ORACLE_OP7, op7_topk
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op4_language": op4_language,
+    "op6_html": op6_html,
     "op7_topk": op7_topk,
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat": ORACLE_OP1,
     "op7_topk": ORACLE_OP7,
 }
