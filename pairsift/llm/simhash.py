@@ -142,20 +142,18 @@ def dense_links(members: DataFrame, radius: int) -> DataFrame:
     return links if radius % 2 == 0 else links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_pairs(nodes: DataFrame, settings: SimHashSettings) -> DataFrame:
-    """(a, b): pairs of the distinct rows (node, f0 ...) within the radius that share a key; for dense keys links that connect the same rows."""
-    names = [f"f{w}" for w in range(settings.words)]
-    keys = nodes.select("node", F.explode(deletion_keys(settings)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = checkpointed(keys.join(shared, "key").join(nodes, "node"))
-    sparse = rows if settings.words > 1 else rows.filter(F.col("n") <= settings.dense)
-    ordered = F.col("a.node") < F.col("b.node")
-    pairs = sparse.alias("a").join(sparse.alias("b"), (F.col("a.key") == F.col("b.key")) & ordered & (distance(settings) <= settings.radius) & first_shared_key(settings))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    if settings.words > 1:
-        return pairs
-    crowded = rows.filter(F.col("n") > settings.dense).select(*names).distinct()
-    return pairs.unionByName(dense_links(crowded, settings.radius)).distinct()
+def near_links(nodes: DataFrame, settings: SimHashSettings) -> DataFrame:
+    """(a, b): pairs of the distinct fingerprints f0 within the radius that share a key; for dense keys links that connect the same ones."""
+    keys = nodes.select("f0", F.explode(deletion_keys(settings)).alias("key"))
+    crowded = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > settings.dense).select("key"))
+    any_crowded = bool(crowded.take(1))
+    sparse = keys.join(crowded, "key", "left_anti") if any_crowded else keys
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.f0") < F.col("b.f0")) & (distance(settings) <= settings.radius) & first_shared_key(settings)
+    links = sparse.alias("a").join(sparse.alias("b"), near).select(F.col("a.f0").alias("a"), F.col("b.f0").alias("b"))
+    if not any_crowded:
+        return links
+    members = keys.join(crowded, "key", "left_semi").select("f0").distinct()
+    return links.unionByName(dense_links(members, settings.radius)).distinct()
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +161,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT).alias("p")).select("doc_id", "p.f0")
     docs = written(docs)
     nodes = checkpointed(docs.groupBy("f0").agg(F.min("doc_id").alias("low")))
-    links = near_pairs(nodes.select(F.col("f0").alias("node"), "f0"), CONTRACT)
+    links = near_links(nodes.select("f0"), CONTRACT)
     roots = components(links)
     linked = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low", F.coalesce("root", "f0").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))

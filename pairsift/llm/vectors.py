@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 LEVELS = (1, 4, 16)
-CHUNK_ROWS, BLOCK_ROWS, CHUNKS_A_GROUP, SPAN = 16384, 1024, 64, 512
+CHUNK_ROWS, BLOCK_ROWS, CHUNKS_A_GROUP, SPAN = 16384, 1024, 4, 512
 LARGEST = 1 << 28
 
 
