@@ -37,7 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder; for wide rows it takes less disk than a checkpoint."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

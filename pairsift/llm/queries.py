@@ -6,6 +6,7 @@ from .chat import ORACLE_OP1, op1_chat
 from .html import op6_html
 from .language import op4_language
 from .quality import op8_quality
+from .ppm import op10_lm
 from .simhash import op9_neardup
 from .vectors import ORACLE_OP7, op7_topk
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
+    "op10_lm": op10_lm,
 }
 
 ORACLES: dict[str, str] = {
