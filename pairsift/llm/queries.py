@@ -6,6 +6,7 @@ from .chat import ORACLE_OP1, op1_chat
 from .html import op6_html
 from .language import op4_language
 from .quality import op8_quality
+from .license import ORACLE_OP3, op3_license
 from .mixing import ORACLE_OP2, op2_mixing
 from .ppm import op10_lm
 from .simhash import op9_neardup
@@ -14,6 +15,7 @@ from .vectors import ORACLE_OP7, op7_topk
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_mixing": op2_mixing,
+    "op3_license": op3_license,
     "op4_language": op4_language,
     "op6_html": op6_html,
     "op7_topk": op7_topk,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_chat": ORACLE_OP1,
     "op2_mixing": ORACLE_OP2,
+    "op3_license": ORACLE_OP3,
     "op7_topk": ORACLE_OP7,
 }
