@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import ORACLE_OP1, op1_chat
+from .decontaminate import op5_decontaminate
 from .html import op6_html
 from .language import op4_language
 from .quality import op8_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_license": op3_license,
     "op4_language": op4_language,
+    "op5_decontaminate": op5_decontaminate,
     "op6_html": op6_html,
     "op7_topk": op7_topk,
     "op8_quality": op8_quality,
