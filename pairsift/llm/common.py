@@ -106,3 +106,39 @@ def sparse_rows(rows: np.ndarray, buckets: np.ndarray, bits: int) -> tuple[np.nd
     counts = np.diff(np.append(first, len(keys)))
     keys = keys[first]
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64), counts
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    kind = np.full(256, 2, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32, 0]] = 0
+    kind[128:] = 1
+    for low, high in ((48, 58), (65, 91), (97, 123)):
+        kind[low:high] = 1
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    return kind, lower
+
+
+#: 0 for white space and NUL, 1 for letters, digits and non-ASCII bytes, 2 for marks; and bytes with A-Z lower-cased.
+BYTE_KINDS, LOWER_BYTES = _byte_classes()
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of the given bytes, A-Z lower-cased) of all texts, and where each text's words begin."""
+    word = word_bytes[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[:-1] = word
+    edge[1:] ^= word
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    split = inner[word[inner] & word[inner - 1]]  # a text ends in a word and the next begins with one
+    marks = np.flatnonzero(edge)
+    starts, ends = np.sort(np.concatenate([marks[::2], split])), np.sort(np.concatenate([marks[1::2], split]))
+    return run_hashes(LOWER_BYTES[data], starts, ends), np.searchsorted(starts, offsets)
+
+
+def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k neighbours, from every place where k words follow."""
+    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x100000001B3) + words[i : i + len(out)]
+    return mixed(out)

@@ -26,12 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, mixed, run_hashes, slices, table
-from .quality import _KIND, _LOWER
+from .common import BYTE_KINDS, flat, shingles_of, slices, table, words_of
 
+WORD_BYTES = BYTE_KINDS == 1
 POPULAR = 1 << 20  # bits of the table that says which shingles may be an item's
 
 
@@ -44,27 +44,6 @@ class LeakSettings:
     block_bytes: int = 1 << 22
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text's words begin."""
-    word = _KIND[data] == 1
-    edge = np.zeros(len(data) + 1, bool)
-    edge[:-1] = word
-    edge[1:] ^= word
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    split = inner[word[inner] & word[inner - 1]]  # a text ends in a word and the next begins with one
-    marks = np.flatnonzero(edge)
-    starts, ends = np.sort(np.concatenate([marks[::2], split])), np.sort(np.concatenate([marks[1::2], split]))
-    return run_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
-
-
-def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of k neighbours, from every place where k words follow."""
-    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x100000001B3) + words[i : i + len(out)]
-    return mixed(out)
-
-
 def window_fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
     """SimHash of every run of ``size`` shingles."""
     bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -78,7 +57,7 @@ class Benchmark:
 
     def __init__(self, ids: list, texts: pa.Array, settings: LeakSettings) -> None:
         self.settings = settings
-        words, at = words_of(*flat(texts))
+        words, at = words_of(*flat(texts), WORD_BYTES)
         self.ids, self.sizes, self.counts, prints = [], [], [], []
         homes: dict[tuple[int, int], set[int]] = defaultdict(set)
         for item, a, b in zip(ids, at[:-1], at[1:], strict=True):
@@ -182,7 +161,7 @@ def benchmark_blocks(benchmark: DataFrame, settings: LeakSettings) -> Iterator[B
 def _found(data: np.ndarray, offsets: np.ndarray, items: Benchmark) -> Iterator[tuple[int, int, tuple]]:
     """(text, item, match) of all matches."""
     for low, high in slices(offsets):
-        words, at = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        words, at = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], WORD_BYTES)
         for i in range(high - low):
             for item, match in sorted(items.matches(words[at[i] : at[i + 1]]).items()):
                 yield low + i, item, match
@@ -211,6 +190,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = L
     return out
 
 
+def leaking(spark: SparkSession, items: Benchmark, text: str = "text") -> Column:
+    """A boolean column: whether a text holds any of the items."""
+    shared = spark.sparkContext.broadcast(items)
+
+    def leaks(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        out[[i for i, _, _ in _found(*flat(texts), shared.value)]] = True
+        return pa.array(out)
+
+    return F.arrow_udf(leaks, "boolean")(F.col(text))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with a window of at least 0.8 similarity, and its best window."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text"))
@@ -221,12 +212,5 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     names = docs.columns
     kept = docs
     for items in benchmark_blocks(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text"), LeakSettings()):
-        shared = spark.sparkContext.broadcast(items)
-
-        def leaks(texts: pa.Array, shared=shared) -> pa.Array:
-            out = np.zeros(len(texts), bool)
-            out[[i for i, _, _ in _found(*flat(texts), shared.value)]] = True
-            return pa.array(out)
-
-        kept = kept.withColumn("__leaks", F.arrow_udf(leaks, "boolean")("text")).filter("NOT __leaks").drop("__leaks")
+        kept = kept.withColumn("__leaks", leaking(spark, items)).filter("NOT __leaks").drop("__leaks")
     return kept.select(*[F.col(f"`{c}`") for c in names])

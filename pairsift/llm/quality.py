@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
+from .common import BYTE_KINDS, LOWER_BYTES, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
 from .ftrl import FtrlProximal, probabilities
 
 
@@ -41,24 +41,10 @@ class QualityModel:
     bias: float
 
 
-def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
-    kind = np.full(256, 2, np.uint8)
-    kind[[9, 10, 11, 12, 13, 32, 0]] = 0
-    kind[128:] = 1
-    for low, high in ((48, 58), (65, 91), (97, 123)):
-        kind[low:high] = 1
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    return kind, lower
-
-
-_KIND, _LOWER = _byte_classes()
-
-
 def word_ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, value) of the hashed tokens and pairs; each text's values have length 1."""
     n = len(data)
-    kind = _KIND[data]
+    kind = BYTE_KINDS[data]
     edge = np.ones(n, bool)
     edge[1:] = kind[1:] != kind[:-1]
     edge[offsets[:-1][offsets[:-1] < n]] = True
@@ -66,7 +52,7 @@ def word_ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.nd
     ends = np.append(starts[1:], n)
     word = kind[starts] > 0
     starts, ends = starts[word], ends[word]
-    tokens = run_hashes(_LOWER[data], starts, ends)
+    tokens = run_hashes(LOWER_BYTES[data], starts, ends)
     owner = np.searchsorted(offsets, starts, "right") - 1
     follows, skips = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
     pairs = tokens[:-1] * np.uint64(0x100000001B3) + mixed(tokens[1:])

@@ -1,6 +1,6 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into three segments a 64-bit word. If two fingerprints differ in at most 2m - 1 bits over m
+A fingerprint is cut into few segments. If two fingerprints differ in at most 2m - 1 bits over m
 segments, some segment differs by at most one bit, and then the segments agree once that bit is deleted. So each
 fingerprint is indexed under every one-bit deletion of every segment (one key a bit); equal keys are joined and
 verified by the exact distance. A pair is emitted only under its first shared key.
@@ -27,26 +27,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, flat, mixed, slices, table, written
+from .common import checkpointed, flat, mixed, table, written
 from .components import components
 
-#: Bits of the segments of one word: (first, last + 1).
-SEGMENTS = ((0, 21), (21, 42), (42, 64))
-
 
 @dataclass(frozen=True)
 class SimHashSettings:
     shingle: int = 4
-    words: int = 1  # 64-bit words in a fingerprint
+    segments: tuple[tuple[int, int, int], ...] = ((0, 0, 21), (0, 21, 42), (0, 42, 64))  # (64-bit word, first bit, last bit + 1)
     radius: int = 4
     dense: int = 4096
-    similarity: float | None = None  # verify pairs by the Jaccard similarity of their shingle sets
+
+    @property
+    def words(self) -> int:
+        return 1 + max(w for w, _, _ in self.segments)
 
 
 CONTRACT = SimHashSettings()
-#: For documents: five words and a similarity of 0.8. Such pairs differ in about 34 of 256 bits; a wider radius than
-#: 2 * 12 - 1 is not guaranteed by the segments but found by most of them, several times over.
-DOCUMENTS = SimHashSettings(shingle=5, words=4, radius=52, similarity=0.8)
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -67,7 +64,7 @@ def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """Bits that over half of the hashes set; further words use hashes of the hashes."""
     out = np.zeros(words, np.uint64)
     for w in range(words if len(hashes) else 0):
-        keys = hashes if w == 0 else mixed(hashes + np.uint64(w) * np.uint64(0xD1B54A32D192ED03))
+        keys = hashes if w == 0 else mixed(hashes + np.uint64(w * 0xD1B54A32D192ED03 % (1 << 64)))
         bits = np.zeros(64, np.int64)
         for low in range(0, len(keys), 1 << 16):
             bits += np.unpackbits(keys[low : low + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -75,25 +72,16 @@ def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(text: str, settings: SimHashSettings) -> Column:
-    """A struct column: the words f0, f1 ... of the fingerprint and ``node``, a hash of the sequence of words (of f0 alone if it is all that counts)."""
+def fingerprints(text: str, shingle: int) -> Column:
+    """A column of the 64-bit fingerprints of the texts, as longs."""
 
     def compute(texts: pa.Array) -> pa.Array:
         data, offsets = flat(texts)
-        n = len(offsets) - 1
-        out, nodes = np.zeros((n, settings.words), np.uint64), np.zeros(n, np.uint64)
-        for low, high in slices(offsets):
-            body = data[offsets[low] : offsets[high]].tobytes()
-            for i in range(low, high):
-                one = body[offsets[i] - offsets[low] : offsets[i + 1] - offsets[low]]
-                out[i] = fingerprint(shingle_hashes(one, settings.shingle), settings.words)
-                if settings.similarity is not None:
-                    nodes[i] = xxhash.xxh3_64_intdigest(b" ".join(one.lower().split()))
-        if settings.similarity is None:
-            nodes = out[:, 0]
-        return pa.StructArray.from_arrays([pa.array(c.view(np.int64)) for c in [np.ascontiguousarray(out[:, w]) for w in range(settings.words)] + [nodes]], [*(f"f{w}" for w in range(settings.words)), "node"])
-
-    return F.arrow_udf(compute, f"struct<{','.join(f'f{w}:long' for w in range(settings.words))},node:long>")(F.col(text))
+        body = data.tobytes()
+        out = np.array([fingerprint(shingle_hashes(body[a:b], shingle), 1)[0] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+        return pa.array(out.view(np.int64))
+
+    return F.arrow_udf(compute, "long")(F.col(text))
 
 
 def _signed(x: int) -> Column:
@@ -103,11 +91,10 @@ def _signed(x: int) -> Column:
 def deletion_keys(settings: SimHashSettings) -> Column:
     """An array column of one key a bit: which bit, and its segment without that bit."""
     keys = []
-    for w in range(settings.words):
-        for first, last in SEGMENTS:
-            segment = F.shiftrightunsigned(F.col(f"f{w}"), first).bitwiseAND(F.lit((1 << (last - first)) - 1))
-            for bit in range(first, last):
-                keys.append(segment.bitwiseAND(F.lit(~(1 << (bit - first)))).bitwiseOR(F.lit((64 * w + bit) << 32)))
+    for w, first, last in settings.segments:
+        segment = F.shiftrightunsigned(F.col(f"f{w}"), first).bitwiseAND(F.lit((1 << (last - first)) - 1))
+        for bit in range(first, last):
+            keys.append(segment.bitwiseAND(F.lit(~(1 << (bit - first)))).bitwiseOR(F.lit((64 * w + bit) << 32)))
     return F.array(*keys)
 
 
@@ -121,14 +108,12 @@ def distance(settings: SimHashSettings) -> Column:
 def first_shared_key(settings: SimHashSettings) -> Column:
     """Whether no earlier key than a.key is shared: no earlier segment agrees, and the deleted bit is the one that differs (or the first)."""
     bit, none_before, out = F.shiftright(F.col("a.key"), 32).cast("int"), F.lit(True), F.lit(False)
-    for w in range(settings.words):
-        differ = F.col(f"a.f{w}").bitwiseXOR(F.col(f"b.f{w}"))
-        for first, last in SEGMENTS:
-            here = differ.bitwiseAND(_signed(((1 << (last - first)) - 1) << first))
-            mine = (bit >= 64 * w + first) & (bit < 64 * w + last)
-            deleted = (here == F.expr("shiftleft(1L, shiftright(a.key, 32) & 63)")) | ((here == 0) & (bit == 64 * w + first))
-            out = out | (mine & deleted & none_before)
-            none_before = none_before & (F.bit_count(here) > 1)
+    for w, first, last in settings.segments:
+        here = F.col(f"a.f{w}").bitwiseXOR(F.col(f"b.f{w}")).bitwiseAND(_signed(((1 << (last - first)) - 1) << first))
+        mine = (bit >= 64 * w + first) & (bit < 64 * w + last)
+        deleted = (here == F.expr("shiftleft(1L, shiftright(a.key, 32) & 63)")) | ((here == 0) & (bit == 64 * w + first))
+        out = out | (mine & deleted & none_before)
+        none_before = none_before & (F.bit_count(here) > 1)
     return out
 
 
@@ -158,7 +143,7 @@ def near_links(nodes: DataFrame, settings: SimHashSettings) -> DataFrame:
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, fingerprints linked at 4 or fewer bits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT).alias("p")).select("doc_id", "p.f0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT.shingle).alias("f0"))
     docs = written(docs)
     nodes = checkpointed(docs.groupBy("f0").agg(F.min("doc_id").alias("low")))
     links = near_links(nodes.select("f0"), CONTRACT)
