@@ -54,3 +54,31 @@ def best_temperature(scores: np.ndarray, classes: np.ndarray) -> float:
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
     return float(np.exp((low + high) / 2))
+
+
+class Examples:
+    """Sparse examples in three flat arrays: four bytes a feature and a value, and no array for each example."""
+
+    def __init__(self) -> None:
+        self.features: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray, features: np.ndarray, values: np.ndarray, count: int) -> None:
+        """``count`` more examples; rows (sorted) says whose each feature is."""
+        self.features.append(features.astype(np.int32))
+        self.values.append(values.astype(np.float32))
+        self.lengths.append(np.bincount(rows, minlength=count))
+
+    def pack(self) -> None:
+        self.features = [np.concatenate([*self.features, np.zeros(0, np.int32)])]
+        self.values = [np.concatenate([*self.values, np.zeros(0, np.float32)])]
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate([*self.lengths, np.zeros(0, np.int64)]))])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def get(self, i: int, bias: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and values of one example, with a constant feature ``bias``."""
+        a, b = self.ends[i], self.ends[i + 1]
+        return np.append(self.features[0][a:b], bias), np.append(self.values[0][a:b], 1.0)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import flat, id_remainder, mixed, slices, sparse_rows, table
-from .ftrl import FtrlProximal, best_temperature, probabilities
+from .ftrl import Examples, FtrlProximal, best_temperature, probabilities
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -30,8 +30,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 class LanguageSettings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
-    sample_rows: int = 6000  # the regression's training rows; an upper bound in expectation
-    epochs: int = 2
+    sample_rows: int = 3000  # the regression's training rows; an upper bound in expectation
+    epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
     l1: float = 0.02
@@ -114,20 +114,20 @@ def train_language_model(docs: DataFrame, settings: LanguageSettings = LanguageS
     classes = np.array([languages.index(x) for x in names], np.int64)
     model = FtrlProximal((1 << settings.bits) + 1, max(2, len(languages)), settings.alpha, settings.beta, settings.l1, settings.l2)
     bias = 1 << settings.bits
-    examples = []
+    examples = Examples()
     for low, high in slices(offsets):
         part = offsets[low : high + 1] - offsets[low]
-        owner, buckets, values = tfidf(data[offsets[low] : offsets[high]].tobytes(), part, idf, settings)
-        edges = np.searchsorted(owner, np.arange(high - low + 1))
-        examples += [(np.append(buckets[a:b], bias), np.append(values[a:b], 1.0)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        examples.add(*tfidf(data[offsets[low] : offsets[high]].tobytes(), part, idf, settings), high - low)
+    examples.pack()
     targets = np.eye(max(2, len(languages)))
     for _ in range(settings.epochs):
-        for i, (features, values) in enumerate(examples):
+        for i in range(len(examples)):
             if i % 5 != 4:
-                model.learn(features, values, targets[classes[i]])
+                model.learn(*examples.get(i, bias), targets[classes[i]])
     weights = model.weights()
     back = [i for i in range(len(examples)) if i % 5 == 4]
-    scores = np.array([examples[i][1] @ weights[examples[i][0]] for i in back]).reshape(len(back), -1)
+    held = [examples.get(i, bias) for i in back]
+    scores = np.array([values @ weights[features] for features, values in held]).reshape(len(back), -1)
     return LanguageModel(settings, languages, idf, weights.astype(np.float32), best_temperature(scores, classes[back]))
 
 

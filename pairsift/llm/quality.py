@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_KINDS, LOWER_BYTES, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
-from .ftrl import FtrlProximal, probabilities
+from .ftrl import Examples, FtrlProximal, probabilities
 
 
 @dataclass(frozen=True)
 class QualitySettings:
     bits: int = 18
-    sample_rows: int = 12000  # labelled rows to learn from; an upper bound in expectation
+    sample_rows: int = 8000  # labelled rows to learn from; an upper bound in expectation
     epochs: int = 3
     alpha: float = 0.3
     beta: float = 1.0
@@ -77,16 +77,15 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, settings: QualitySet
     data, offsets = flat(picked["text"])
     targets = picked["mark"].to_numpy()[:, None]
     size = 1 << settings.bits
-    examples = []
+    examples = Examples()
     for low, high in slices(offsets):
         part = offsets[low : high + 1] - offsets[low]
-        owner, buckets, values = word_ngrams(data[offsets[low] : offsets[high]], part, settings.bits)
-        edges = np.searchsorted(owner, np.arange(high - low + 1))
-        examples += [(np.append(buckets[a:b].astype(np.int32), size), np.append(values[a:b].astype(np.float32), 1.0)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        examples.add(*word_ngrams(data[offsets[low] : offsets[high]], part, settings.bits), high - low)
+    examples.pack()
     model = FtrlProximal(size + 1, 1, settings.alpha, settings.beta, settings.l1, settings.l2)
     for _ in range(settings.epochs):
-        for i, (features, values) in enumerate(examples):
-            model.learn(features, values, targets[i])
+        for i in range(len(examples)):
+            model.learn(*examples.get(i, size), targets[i])
     weights = model.weights()[:, 0]
     return QualityModel(settings, weights[:-1].astype(np.float32), float(weights[-1]))
 
