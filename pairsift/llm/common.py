@@ -46,6 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns in one struct ``row``, and more columns beside it: none of them can clash with a column of the row."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and their n + 1 offsets; a null counts as the empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -129,7 +134,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> t
     edge = np.zeros(len(data) + 1, bool)
     edge[:-1] = word
     edge[1:] ^= word
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
     split = inner[word[inner] & word[inner - 1]]  # a text ends in a word and the next begins with one
     marks = np.flatnonzero(edge)
     starts, ends = np.sort(np.concatenate([marks[::2], split])), np.sort(np.concatenate([marks[1::2], split]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_KINDS, flat, shingles_of, slices, table, words_of
+from .common import BYTE_KINDS, boxed, flat, shingles_of, slices, table, words_of
 
 WORD_BYTES = BYTE_KINDS == 1
 POPULAR = 1 << 20  # bits of the table that says which shingles may be an item's
@@ -209,8 +209,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without any benchmark item; their columns are unchanged."""
-    names = docs.columns
     kept = docs
     for items in benchmark_blocks(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text"), LeakSettings()):
-        kept = kept.withColumn("__leaks", leaking(spark, items)).filter("NOT __leaks").drop("__leaks")
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+        kept = boxed(kept, leaking(spark, items).alias("leaks")).filter(~F.col("leaks")).select("row.*")
+    return kept

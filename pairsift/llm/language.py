@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, id_remainder, mixed, slices, sparse_rows, table
+from .common import boxed, flat, id_remainder, mixed, slices, sparse_rows, table
 from .ftrl import Examples, FtrlProximal, best_temperature, probabilities
 
 UNKNOWN = "und"
@@ -30,7 +30,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 class LanguageSettings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
-    sample_rows: int = 3000  # the regression's training rows; an upper bound in expectation
+    sample_rows: int = 2500  # the regression's training rows; an upper bound in expectation
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -127,7 +127,7 @@ def train_language_model(docs: DataFrame, settings: LanguageSettings = LanguageS
     weights = model.weights()
     back = [i for i in range(len(examples)) if i % 5 == 4]
     held = [examples.get(i, bias) for i in back]
-    scores = np.array([values @ weights[features] for features, values in held]).reshape(len(back), -1)
+    scores = np.array([values @ weights[features] for features, values in held]).reshape(len(back), weights.shape[1])
     return LanguageModel(settings, languages, idf, weights.astype(np.float32), best_temperature(scores, classes[back]))
 
 
@@ -169,7 +169,6 @@ KEEP_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised; their columns are unchanged."""
-    names = docs.columns
     model = train_language_model(docs.select("doc_id", "text", "lang"))
-    kept = docs.withColumn("__language", predict_languages(spark, model)).filter((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= KEEP_SCORE))
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    found = boxed(docs, predict_languages(spark, model).alias("language"))
+    return found.filter((F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= KEEP_SCORE)).select("row.*")

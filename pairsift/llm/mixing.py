@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, table
 
 BROADCAST_SOURCES, SALTS = 65_536, 32
 
@@ -59,27 +59,27 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, tempe
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 1) -> DataFrame:
     """The rows of docs (doc_id, source and others), each as often as drawn, shuffled; with ``copy`` (from 0) and ``shuffle_key``."""
-    names = docs.columns
-    fresh = {}
+    taken = {c.lower() for c in docs.columns}
+    fresh = []
     for name in ("copy", "shuffle_key"):
-        free = name
-        while free in names:
-            free = f"_{free}"
-        fresh[name] = free
-    rates = source_rates(docs.select("source"), weights, temperature, epochs).select(F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__null"), F.col("cdf").alias("__cdf"))
-    keyed = docs.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull())
-    if rates.select("__source").count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(rates), ["__source", "__null"])
+        while name in taken:
+            name = f"_{name}"
+        fresh.append(name)
+    key = (F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"))
+    rates = source_rates(docs.select("source"), weights, temperature, epochs).select(*key, "cdf")
+    boxes = boxed(docs, *key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    if rates.select("source").count() <= BROADCAST_SOURCES:
+        joined = boxes.join(F.broadcast(rates), ["source", "none"])
     else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__null", "__salt"])
-    drawn = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"count{seed}")) / F.lit(float(1 << 52))
-    counted = joined.withColumn("__drawn", drawn).withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= F.col("__drawn"))))
-    copies = counted.filter("__count > 0").withColumn(fresh["copy"], F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    key = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(f"`{fresh['copy']}`").cast("string"), F.lit(f"order{seed}"))
-    out = copies.withColumn(fresh["shuffle_key"], key).select(*[F.col(f"`{c}`") for c in [*names, *fresh.values()]])
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = boxes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "none", "salt"])
+    drawn = joined.withColumn("drawn", uniform(F.col("id"), F.lit(f"count{seed}")) / F.lit(float(1 << 52)))
+    counted = drawn.withColumn("count", F.size(F.filter("cdf", lambda c: c <= F.col("drawn")))).filter("count > 0")
+    copies = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", uniform(F.col("id"), F.col("copy").cast("string"), F.lit(f"order{seed}")))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartition(parts, F.col(f"`{fresh['shuffle_key']}`")).sortWithinPartitions(F.col(f"`{fresh['shuffle_key']}`"))
+    out = keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.select("row.*", F.col("copy").alias(fresh[0]), F.col("shuffle_key").alias(fresh[1]))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

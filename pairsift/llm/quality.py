@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_KINDS, LOWER_BYTES, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
+from .common import BYTE_KINDS, LOWER_BYTES, boxed, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
 from .ftrl import Examples, FtrlProximal, probabilities
 
 
 @dataclass(frozen=True)
 class QualitySettings:
     bits: int = 18
-    sample_rows: int = 8000  # labelled rows to learn from; an upper bound in expectation
+    sample_rows: int = 5000  # labelled rows to learn from; an upper bound in expectation
     epochs: int = 3
     alpha: float = 0.3
     beta: float = 1.0
@@ -118,7 +118,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a score of at least ``accept``; their columns are unchanged."""
-    names = docs.columns
-    model = train_quality_model(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    kept = docs.withColumn("__quality", quality_scores(spark, model)).filter(F.col("__quality") >= model.settings.accept)
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    model = train_quality_model(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return boxed(docs, quality_scores(spark, model).alias("quality")).filter(F.col("quality") >= model.settings.accept).select("row.*")

@@ -88,14 +88,19 @@ def _signed(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x)
 
 
+def _without_each(segment: Column, bits: Column) -> Column:
+    return F.transform(bits, lambda x: segment.bitwiseAND(F.bitwise_not(x["mask"])).bitwiseOR(x["tag"]))
+
+
 def deletion_keys(settings: SimHashSettings) -> Column:
     """An array column of one key a bit: which bit, and its segment without that bit."""
     keys = []
     for w, first, last in settings.segments:
         segment = F.shiftrightunsigned(F.col(f"f{w}"), first).bitwiseAND(F.lit((1 << (last - first)) - 1))
-        for bit in range(first, last):
-            keys.append(segment.bitwiseAND(F.lit(~(1 << (bit - first)))).bitwiseOR(F.lit((64 * w + bit) << 32)))
-    return F.array(*keys)
+        bits = [(1 << b, (64 * w + first + b) << 32) for b in range(last - first)]
+        both = F.arrays_zip(F.lit([m for m, _ in bits]).alias("mask"), F.lit([t for _, t in bits]).alias("tag"))
+        keys.append(_without_each(segment, both))
+    return F.concat(*keys)
 
 
 def distance(settings: SimHashSettings) -> Column:
