@@ -1,0 +1,89 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from pairsift.llm import decontaminate as leak
+
+
+def words(text):
+    return [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+
+
+def grams(ws, k):
+    return [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+
+
+def brute(docs, items):
+    out = {}
+    for d, text in docs:
+        ws = words(text)
+        for item, other in items:
+            own = words(other)
+            k = min(5, len(own))
+            if not own or len(ws) < k:
+                continue
+            a, b = grams(ws, k), Counter(grams(own, k))
+            size = min(sum(b.values()), len(a))
+            best = (-1, 0)
+            for i in range(len(a) - size + 1):
+                c = Counter(a[i : i + size])
+                s = sum((c & b).values()) / sum((c | b).values())
+                if s > best[0]:
+                    best = (s, i)
+            if best[0] >= 0.8:
+                out.setdefault((d, item), []).append(best)
+    return out
+
+
+@pytest.fixture(scope="module")
+def case():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgé", k=rng.randint(2, 6)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 12, 30, 60, 60, 90])))) for i in range(25)] + [(100, None), (101, ""), (102, "!!")]
+    docs = []
+    for d in range(60):
+        text = [word() for _ in range(rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 2)):
+            copy = items[rng.randrange(25)][1].split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copy[rng.randrange(len(copy))] = word()
+            if rng.random() < 0.3:
+                copy.insert(rng.randrange(len(copy) + 1), word())
+            at = rng.randint(0, len(text))
+            text[at:at] = copy
+        docs.append((d, rng.choice([" ", ", ", "\n"]).join(text).title()))
+    docs += [(500, None), (501, ""), (502, items[5][1]), (502, items[5][1]), (503, "w " * 50_000 + items[7][1])]
+    return docs, items
+
+
+def test_equals_brute_force(spark, make_docs, case):
+    docs, items = case
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, similarity string")
+    want = brute(docs, items)
+    for limit in (1 << 22, 500):  # one block of items, and several
+        found = leak.find_leaks(make_docs(docs), bench, leak.LeakSettings(block_bytes=limit)).collect()
+        got = {}
+        for r in found:
+            got.setdefault((r["doc_id"], r["item_id"]), []).append((r["similarity"], r["first_word"]))
+        assert got == want
+    assert (502, 5) in want and len(want[502, 5]) == 2
+
+
+def test_stage_drops_leaks_only(spark, make_docs, case, tmp_path):
+    docs, items = case
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = make_docs(docs)
+    kept = leak.decontaminate_stage(spark, frame, str(tmp_path))
+    leaked = {d for d, _ in brute(docs, items)}
+    assert kept.columns == frame.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in leaked)
+
+
+def test_empty_tables(spark, make_docs, tmp_path):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert leak.find_leaks(make_docs([(1, "a b c d e f")]), empty).count() == 0
+    assert leak.find_leaks(make_docs([]), spark.createDataFrame([(1, "a b c d e f")], empty.schema)).count() == 0
+    empty.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert leak.decontaminate_stage(spark, make_docs([(1, "a")]), str(tmp_path)).count() == 1

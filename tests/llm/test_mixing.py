@@ -1,0 +1,48 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairsift.llm import mixing
+
+
+def test_weights_are_met(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "big").otherwise(F.when(F.col("id") % 9 == 2, "small")).alias("source"))
+    got = {r["source"]: r["n"] for r in mixing.mix_sources(docs, {"big": 1.0, "small": 2.0, None: 1.0}, epochs=2.0).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    for source, share in (("big", 0.25), ("small", 0.5), (None, 0.25)):
+        assert got[source] == pytest.approx(18000 * share, rel=0.06)
+
+
+def test_counts_are_poisson_quantiles(spark):
+    for rate in (0.01, 0.7, 3.0, 900.0):
+        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate))).first()[0]
+        logs = [k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(len(cdf))]
+        want = [math.fsum(math.exp(x) for x in logs[: k + 1]) for k in range(0, len(cdf), 50)]
+        assert cdf[::50] == pytest.approx(want, abs=1e-9)
+        assert cdf[-1] == pytest.approx(1.0, abs=1e-9)
+
+
+def test_same_on_every_run_and_shuffled(spark, make_docs):
+    docs = make_docs([(i, f"t{i}", "en", f"s{i % 4}") for i in range(400)])
+    one, two = (mixing.mix_sources(docs.repartition(n), epochs=1.5) for n in (1, 7))
+    rows = lambda df: sorted((r["doc_id"], r["_copy"], r["shuffle_key"]) for r in df.collect())
+    assert rows(one) == rows(two) and len(rows(one)) > 400
+    assert one.columns == [*docs.columns, "_copy", "shuffle_key"]
+    order = [r["doc_id"] for r in one.collect()]
+    assert order != sorted(order)
+
+
+def test_many_sources_take_the_salted_join(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, "t", "en", None if i % 5 == 0 else f"s{i % 7}") for i in range(300)])
+    want = sorted((r["doc_id"], r["_copy"]) for r in mixing.mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted((r["doc_id"], r["_copy"]) for r in mixing.mix_sources(docs).collect()) == want
+
+
+def test_odd_rows(spark, make_docs):
+    docs = make_docs([(None, None, None, None), (1, "", None, "a"), (1, "", None, "a"), (2, "x" * 300_000, "en", "a")])
+    got = mixing.mix_sources(docs, epochs=6.0).groupBy("doc_id").count().collect()
+    counts = {r["doc_id"]: r["count"] for r in got}
+    assert counts.get(1, 0) % 2 == 0
+    assert mixing.mix_sources(docs, {"b": 1.0}).count() == 0
+    assert mixing.mix_sources(make_docs([])).count() == 0
