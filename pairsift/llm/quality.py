@@ -26,11 +26,11 @@ from .ftrl import Examples, FtrlProximal, probabilities
 class QualitySettings:
     bits: int = 18
     sample_rows: int = 5000  # labelled rows to learn from; an upper bound in expectation
-    epochs: int = 3
-    alpha: float = 0.3
+    epochs: int = 4
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.05
-    l2: float = 0.5
+    l1: float = 0.02
+    l2: float = 0.05
     accept: float = 0.3
 
 
