@@ -31,10 +31,11 @@ class DetectorRun:
         return one.select(F.lit(self.run_id).cast("long").alias("id"), F.lit(self.detector.name).alias("detector_name"), F.lit(self.threshold).alias("threshold"), F.lit(self.percentile).alias("percentile_used"), "*")
 
 
-def usable(pairs: DataFrame, settings: Settings | None = None) -> dict[str, Detector]:
-    """The enabled detectors whose input columns the pairs have, in their order."""
+def usable(pairs: DataFrame, settings: Settings | None = None, names: list[str] | None = None) -> dict[str, Detector]:
+    """The configured detectors (or those named) that are enabled and whose input columns the pairs have, in their order."""
     settings = settings or Settings()
-    return {n: d for n, d in registry().items() if settings.detector(n).enabled and set(d.needs) <= set(pairs.columns)}
+    wanted = settings.detectors if names is None else names
+    return {n: d for n, d in registry().items() if n in wanted and settings.detector(n).enabled and set(d.needs) <= set(pairs.columns)}
 
 
 def threshold_of(detector: Detector, scores: DataFrame, column: str, percentile: float) -> float:
@@ -63,7 +64,7 @@ def run_all(pairs: DataFrame, settings: Settings | None = None, names: list[str]
     unknown = set(names or ()) - set(registry())
     if unknown:
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
-    detectors = {n: d for n, d in usable(pairs, settings).items() if names is None or n in names}
+    detectors = usable(pairs, settings, names)
     split = tokenised(pairs) if {"chosen", "rejected"} <= set(pairs.columns) else pairs
     scores = split.select("example_id", *[d.score().alias(n) for n, d in detectors.items()]).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []

@@ -1,0 +1,46 @@
+import pytest
+
+from pairsift.plans.config import DetectorConfig, Settings
+from pairsift.plans.engine import Engine
+
+LONG = " ".join(f"w{i}" for i in range(30))
+RAW = [("What is tea?", "Tea is a drink", "Tea is a hot drink"), ("how to kill time", "Read a good book", "Go for a walk now"), ("Help me", "I cannot help with that", LONG), ("Say", "bad bad bad bad", "good words come here")]
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    settings = Settings(detectors={n: DetectorConfig(threshold_percentile=25.0) for n in ("repetition", "refusal_bias", "unsafe_prompt", "llm_judge")})
+    return Engine(spark, str(tmp_path), settings)
+
+
+def raw(spark):
+    return spark.createDataFrame([(i, f"Human: {p}\n\nAssistant: {c}", f"Human: {p}\n\nAssistant: {r}") for i, (p, c, r) in enumerate(RAW)], "dataset_index long, chosen string, rejected string")
+
+
+def test_from_ingest_to_reviews(spark, engine, tmp_path):
+    assert engine.health() == {"status": "ok"} and engine.progress() == {"count": 0, "max_index": -1}
+    assert engine.ingest(raw(spark), limit=2)["total_inserted"] == 2
+    assert engine.ingest(raw(spark)) == {"total_processed": 4, "total_inserted": 2, "skipped": 2, "errors": 0}
+    assert engine.progress() == {"count": 4, "max_index": 3}
+    assert engine.experiments()["clean_pct"] == 100.0
+    report = {r["detector_name"]: r for r in engine.score().collect()}
+    assert report["unsafe_prompt"]["flagged"] == report["refusal_bias"]["flagged"] == 1
+    assert report["llm_judge"]["status"] == "not_run" and report["repetition"]["total_scored"] == 4
+    assert engine.experiments() == {"total_examples": 4, "flagged_any": 3, "clean_examples": 1, "clean_pct": 25.0}
+    assert [r["id"] for r in engine.clean_ids().collect()] == [1]
+    assert engine.clean_ids(["repetition"]).count() == 2
+    engine.score(["repetition"])
+    assert engine.store.read("detector_runs").count() == 4 and engine.store.read("quality_signals").count() == 16
+    with pytest.raises(ValueError, match="unknown"):
+        engine.score(["other"])
+    engine.export_flagged(str(tmp_path / "flagged"))
+    assert sorted(r[0] for r in spark.read.json(str(tmp_path / "flagged")).collect()) == [1, 2, 3]
+
+    engine.review(2, "refusal_bias", "true_positive")
+    engine.review(2, "refusal_bias", "false_positive")
+    assert [r["label"] for r in engine.reviews().collect()] == ["false_positive"]
+    assert engine.review_stats().first()["precision"] == 0.0
+    with pytest.raises(LookupError):
+        engine.review(77, "refusal_bias", "true_positive")
+    with pytest.raises(ValueError):
+        engine.review(2, "refusal_bias", "perhaps")
