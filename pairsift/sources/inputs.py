@@ -20,7 +20,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset_index, prompt, chosen, rejected: documents 2k and 2k + 1, with prefixes that some detectors look for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark")
-    half = F.floor(F.col("doc_id") / 2).cast("long")
+    half = F.expr("doc_id div 2")
     chosen = docs.filter("doc_id % 2 = 0").select(half.alias("i"), F.col("text").alias("chosen_text"))
     rejected = docs.filter("doc_id % 2 = 1").select(half.alias("i"), F.col("text").alias("rejected_text"))
     prompts = items.select(F.col("item_id").alias("item"), F.col("text").alias("prompt_text"))
@@ -113,7 +113,7 @@ def judge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, chosen_embedding and rejected_embedding: vectors 2k and 2k + 1."""
     vectors = table(spark, sf_dir, "embeddings")
-    half = F.floor(F.col("vec_id") / 2).cast("long").alias("pair_id")
+    half = F.expr("vec_id div 2").alias("pair_id")
     a = vectors.filter("vec_id % 2 = 0").select(half, F.col("embedding").alias("chosen_embedding"))
     b = vectors.filter("vec_id % 2 = 1").select(half, F.col("embedding").alias("rejected_embedding"))
     return a.join(b, "pair_id")
