@@ -170,3 +170,29 @@ def test_row_keys_tell_rows_apart(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (1, None)], "doc_id long, text string")
     assert neardup.row_keys(rows).select("row1", "row2").distinct().count() == 5
     assert rows.select(F.xxhash64("doc_id")).distinct().count() == 3
+
+
+def block_edit(words, rng, n, kind):
+    """The words with one block of n added, cut or replaced."""
+    at, new = rng.randint(0, len(words) - n), [f"b{rng.randint(0, 10**6)}" for _ in range(n)]
+    return words[:at] + ([] if kind == "cut" else new) + words[at + (0 if kind == "add" else n) :]
+
+
+def test_no_pair_that_differs_by_a_block_is_missed(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(150):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 300))]
+        n, kind = len(base), ("add", "cut", "replace")[g % 3]
+        size = {"add": n // 4 - 11, "cut": n // 5 - 9, "replace": n // 9 - 5}[kind]
+        texts += [" ".join(base), " ".join(block_edit(base, rng, max(1, size), kind))]
+    # one shingle of five is another: exactly 0.8, and just below it
+    edge = [f"e{i}" for i in range(20)]
+    texts += [" ".join(edge), " ".join(edge[:16]), "x1 x2 x3 x4 x5 x6 x7 x8 x9", "x1 x2 x3 x4 x5 x6 x7 x8", "y1 y2 y3 y4 y5 y6 y7 y8", "y1 y2 y3 y4 y5 y6 y7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, links = neardup.near_duplicates(neardup.row_keys(docs).drop("row"))
+    node = {r["node"]: shingles(texts[r["doc_id"]]) for r in rows.collect()}
+    similar = lambda a, b: len(node[a] & node[b]) >= 0.8 * len(node[a] | node[b])
+    want = {(a, b) for a in node for b in node if a < b and similar(a, b)}
+    assert len(want) > 140
+    assert {tuple(sorted(r)) for r in links.collect()} == want
