@@ -9,18 +9,20 @@ Deleting every shared line would delete articles that two pages of a host have i
 decides on open lines only: those of pages without an article or main element, and link lists inside one. If all
 open lines of a page are shared, it is a copy of its neighbour and nothing is deleted.
 
-A host with more than ``group`` pages is cut into parts by a hash of the path, so no task gets a whole host.
+All pages are cut into ranges of the order (host, path, id, a hash of the html, url), so no task gets a whole host. The first
+and the last pages of a range are sent to the ranges beside it too, so each page meets its nearest URLs of the whole host.
 
 Nulls and edges: null html is empty; a null url is a host of its own; repeated pages are pages of their own (ties in
-the path are ordered by id and html); tags cut off at the end of a page are dropped; empty tables give no rows.
+the path are ordered by id, a hash of the html and url); tags cut off at the end of a page are dropped; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -44,7 +46,10 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]
 _SPACE = re.compile(r"\s+")
 
 OPEN, ARTICLE = 1, 2
-BROADCAST_HOSTS = 65_536
+#: The order of the pages.
+KEY = ("host", "path", "id", "mark", "address")
+#: Each range costs the driver a sample of some hundred keys.
+MOST_RANGES = 1024
 
 
 def _is_part(name: str, attrs: str) -> bool:
@@ -165,21 +170,46 @@ def difference(lines: list[tuple[int, str]], other: list[tuple[int, str]]) -> st
     return "\n".join(x for _, x in lines)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path and the packed blocks of each page."""
+def placed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and the columns of ``KEY``."""
+    address = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z]*://", "")
+    host = F.regexp_extract(address, r"^[^/?#]*", 0)
+    path = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z]*://[^/?#]*", ""), r"[?#].*$", "")
+    ties = (F.coalesce(F.col("page_id").cast("string"), F.lit("None")).alias("id"), F.xxhash64("html").alias("mark"), F.coalesce("url", F.lit("")).alias("address"))
+    return pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), *ties)
+
+
+def range_ends(rows: DataFrame, count: int) -> list[tuple[tuple, tuple]]:
+    """The first and the last key of each of about ``count`` ranges of the rows, in order."""
+    if count < 2:
+        return []
+    key = F.struct(*KEY)
+    ranged = rows.select(*KEY).repartitionByRange(count, *KEY).withColumn("range", F.spark_partition_id())
+    found = ranged.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    return sorted((tuple(r["first"]), tuple(r["last"])) for r in found)
+
+
+def parsed(rows: DataFrame, ends: list[tuple[tuple, tuple]]) -> DataFrame:
+    """page_id, url, the columns of ``KEY`` and the packed blocks of each page, for its range and (not ``own``) for those it borders on."""
+    firsts, lasts = [first for first, _ in ends], [last for _, last in ends]
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, *keys: pa.Array) -> pa.Array:
         packer = zstandard.ZstdCompressor(level=1)
-        out = []
-        for i in range(len(texts)):
+        out, ranges = [], []
+        for i, key in enumerate(zip(*(k.to_pylist() for k in keys), strict=True)):
             blocks = parse_blocks(texts[i].as_py() or "")
             out.append(packer.compress("\n".join(f"{state}{block}" for state, block in blocks).encode("utf-8", "replace")))
-        return pa.array(out, pa.binary())
+            at = max(0, bisect_right(firsts, key) - 1)
+            ranges.append([at])
+            if at and key == firsts[at]:
+                ranges[-1].append(at - 1)
+            if at + 1 < len(ends) and key == lasts[at]:
+                ranges[-1].append(at + 1)
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(ranges, pa.list_(pa.int32()))], ["blocks", "ranges"])
 
-    address = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z]*://", "")
-    host = F.regexp_extract(address, r"^[^/?#]*", 0)
-    path = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z]*://[^/?#]*", ""), r"[?#].*$", "")
-    return pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.arrow_udf(run, "binary")("html").alias("blocks"))
+    done = rows.select("page_id", "url", *KEY, F.arrow_udf(run, "struct<blocks:binary,ranges:array<int>>")("html", *KEY).alias("done"))
+    flat = done.select("page_id", "url", *KEY, "done.blocks", F.posexplode("done.ranges").alias("copy", "range"))
+    return flat.withColumn("own", F.col("copy") == 0).drop("copy")
 
 
 def _unpacked(blob: bytes) -> list[tuple[int, str]]:
@@ -197,29 +227,44 @@ def _prefix(a: str, b: str) -> int:
 
 
 def main_text(pages: DataFrame, group: int = 400) -> DataFrame:
-    """page_id, url and text of every row of (page_id, url, html)."""
-    rows = parsed(pages)
-    crowded = rows.select("host").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > group).select(F.col("host").alias("big"), F.ceil(F.col("n") / group).cast("int").alias("parts"))
-    if crowded.count() <= BROADCAST_HOSTS:
-        crowded = F.broadcast(crowded)
-    dealt = rows.join(crowded, rows["host"] == crowded["big"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("path"), F.col("parts"))).cast("int"))
-
-    def differ(group: pa.Table) -> pa.Table:
-        ids, blobs, paths = (group[c].to_pylist() for c in ("page_id", "blocks", "path"))
-        order = sorted(range(len(ids)), key=lambda i: (paths[i], str(ids[i]), blobs[i]))
-        out: list[str] = [""] * len(ids)
-        for at, i in enumerate(order):
-            near = [(-_prefix(paths[i], paths[j]), k, j) for k, j in ((0, order[at - 1] if at else None), (1, order[at + 1] if at + 1 < len(order) else None)) if j is not None]
-            mine = _unpacked(blobs[i])
-            undecided = any(state == OPEN for state, _ in mine)
-            out[i] = difference(mine, _unpacked(blobs[min(near)[2]]) if near and undecided else [])
-        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string())})
-
-    kind = dict(pages.dtypes)["page_id"]
+    """page_id, url and text of every row of (page_id, url, html); ``group`` pages or more are a range, the result is the same for all."""
+    rows = placed(pages)
     tasks = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # dealt anew: a partitioning by host alone, left by the join, would satisfy the grouping and keep a host together
-    dealt = dealt.select("page_id", "url", "path", "blocks", "host", "part").repartition(tasks, "host", "part")
-    return dealt.groupBy("host", "part").applyInArrow(differ, f"page_id {kind}, url string, text string")
+    ends = range_ends(rows, min(MOST_RANGES, -(-pages.count() // group)))
+    kind = dict(pages.dtypes)["page_id"]
+    names = ["range", "own", "host", "path", "blocks", "page_id", "url"]
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = now = None  # rows, as lists of range, own, host, path, blocks, page_id and url
+
+        def lines(row: list) -> list[tuple[int, str]]:
+            if isinstance(row[4], bytes):
+                row[4] = _unpacked(row[4])
+            return row[4]
+
+        def text(before: list | None, row: list, after: list | None) -> str:
+            near = [(-_prefix(row[3], x[3]), k, x) for k, x in ((0, before), (1, after)) if x is not None and (x[0], x[2]) == (row[0], row[2])]
+            undecided = any(state == OPEN for state, _ in lines(row))
+            return difference(lines(row), lines(min(near, key=lambda x: x[:2])[2]) if near and undecided else [])
+
+        def result(rows: list[tuple]) -> pa.RecordBatch:
+            ids, urls, texts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind_of_id), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+        for batch in batches:
+            kind_of_id, done = batch.schema.field("page_id").type, []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
+                after = list(row)
+                if now is not None and now[1]:
+                    done.append((*now[5:], text(last, now, after)))
+                last, now = now, after
+            if done:
+                yield result(done)
+        if now is not None and now[1]:
+            yield result([(*now[5:], text(last, now, None))])
+
+    dealt = parsed(rows, ends).repartition(tasks, "range").sortWithinPartitions("range", *KEY)
+    return dealt.select(*names).mapInArrow(differ, f"page_id {kind}, url string, text string")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

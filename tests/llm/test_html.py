@@ -73,6 +73,20 @@ def test_neighbours_lose_shared_lines(spark):
         assert all(f"Body {i}" in got[i] for i in range(9))
 
 
+def test_pages_of_a_large_host_meet_their_nearest_url(spark):
+    rows = [(i, f"http://big.example/s{i % 300:03d}/{i:04d}", f"<div>Section {i % 300}</div><p>Body {i}</p>") for i in range(900)]
+    rows += [(1000 + i, f"http://h{i % 5}.example/{i % 7}?{i}", f"<div>Line {i % 3}</div><p>Page {i}</p>") for i in range(60)]
+    rows += [(2000, "http://big.example/s001/0001", "<p>Same</p>")] * 3 + [(None, "http://big.example/s001/0001", "<p>None</p>")]
+    first = None
+    for group in (400, 3, 10_000):
+        got = sorted(((r["page_id"], r["url"], r["text"]) for r in html.main_text(pages(spark, rows), group).collect()), key=str)
+        assert len(got) == len(rows)
+        texts = {i: t for i, _, t in got}
+        assert all(texts[i] == f"Body {i}" for i in range(900) if i % 300 != 1)
+        first = first or got
+        assert got == first
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "", "<p>x"), (2**60 + 1, "http://a/b", PAGE), (5, "http://a/c", "<article>" + "<p>long text here</p>" * 20_000)]
     got = [(r["page_id"], r["text"][:14]) for r in html.main_text(pages(spark, rows)).collect()]
