@@ -8,9 +8,13 @@ query's k-th best score at the coarsest level first; only what no level excludes
 Vectors are packed into chunks (kept in the shared folder, so that a row's place is its identity), query vectors
 into blocks of bounded size; every block meets every chunk, in groups that carry the thresholds on.
 
-Nulls and edges: vectors that are null or hold null or non-finite components, or components of 2**28 or more after
-scaling (their products may exceed 64 bits), and rows without an id take no part; vectors meet only those of their
-own length; a repeated row is a row of its own, so it is a candidate for its copies. Empty tables give no rows.
+Vectors with a component of 2**28 or more after scaling are packed apart, as doubles (which hold them exactly), and meet
+all others too; pairs whose product may exceed 64 bits are scored in integers of any size.
+
+Nulls and edges: vectors that are null or hold null or non-finite components and rows without an id take no part; vectors
+meet only those of their own length; a repeated row is a row of its own, so it is a candidate for its copies. Empty
+tables give no rows. A score among a query's k best that does not fit in a long is an error, as is a component that is
+no finite double after scaling.
 """
 
 from __future__ import annotations
@@ -31,22 +35,31 @@ from .common import checkpointed, table
 LEVELS = (1, 4, 16)
 CHUNK_ROWS, BLOCK_ROWS, CHUNKS_A_GROUP, SPAN = 16384, 1024, 4, 512
 LARGEST = 1 << 28
+#: What rounding may take from a bound, as a part of the product of the norms.
+ROUNDING = 1e-5
+TOO_WIDE = "op7_topk: a score does not fit in a long"
 
 
 def _valid(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer matrix) of the vectors of each length."""
+    """(ids, integer matrix) of the vectors of each length; those with large components apart, as doubles."""
     vectors = batch.column(1).cast(pa.large_list(pa.float64()))
     keep = pc.and_(pc.is_valid(vectors), pc.is_valid(batch.column(0)))
     vectors, ids = vectors.filter(keep), batch.column(0).filter(keep).to_numpy(zero_copy_only=False)
     lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-    flat = np.floor(scale * pc.fill_null(vectors.flatten(), float("nan")).to_numpy(zero_copy_only=False))
+    raw = pc.fill_null(vectors.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):
+        flat = np.floor(scale * raw)
     starts = np.cumsum(lengths) - lengths
     for size in np.unique(lengths):
         rows = np.flatnonzero(lengths == size)
-        values = flat[starts[rows][:, None] + np.arange(size)[None, :]]
-        good = (np.isfinite(values) & (np.abs(values) < LARGEST)).all(axis=1)
-        if good.any():
-            yield ids[rows[good]].astype(np.int64), values[good].astype(np.int32)
+        places = starts[rows][:, None] + np.arange(size)[None, :]
+        values, finite = flat[places], np.isfinite(raw[places]).all(axis=1)
+        if not np.isfinite(values[finite]).all():
+            raise ValueError("op7_topk: a component is not finite after scaling")
+        small = (np.abs(values) < LARGEST).all(axis=1)
+        for good, kind in ((finite & small, np.int32), (finite & ~small, np.float64)):
+            if good.any():
+                yield ids[rows[good]].astype(np.int64), values[good].astype(kind)
 
 
 _CHUNK = "chunk long, size int, ids binary, vectors binary"
@@ -56,30 +69,31 @@ def packed(vectors: DataFrame, scale: float) -> DataFrame:
     """Chunks of (vec_id, embedding) rows as integer matrices, one for each length and some thousand rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
+        waiting: dict[tuple, list] = {}
         made = TaskContext.get().partitionId() << 32
 
-        def chunk(size: int) -> pa.RecordBatch:
+        def chunk(kind: tuple) -> pa.RecordBatch:
             nonlocal made
             made += 1
-            ids, values = (np.concatenate(x) for x in zip(*waiting.pop(size), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([size], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["chunk", "size", "ids", "vectors"])
+            ids, values = (np.concatenate(x) for x in zip(*waiting.pop(kind), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([kind[0]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["chunk", "size", "ids", "vectors"])
 
         for batch in batches:
             for ids, values in _valid(batch, scale):
-                size = values.shape[1]
-                waiting.setdefault(size, []).append((ids, values))
-                if sum(len(x) for x, _ in waiting[size]) >= CHUNK_ROWS:
-                    yield chunk(size)
-        for size in list(waiting):
-            yield chunk(size)
+                kind = (values.shape[1], values.dtype.char)
+                waiting.setdefault(kind, []).append((ids, values))
+                if sum(len(x) for x, _ in waiting[kind]) >= CHUNK_ROWS:
+                    yield chunk(kind)
+        for kind in list(waiting):
+            yield chunk(kind)
 
     return vectors.mapInArrow(pack, _CHUNK)
 
 
 def _matrix(size: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(vectors, np.int32).reshape(len(ids), size)
+    kind = np.float64 if len(vectors) > 4 * size * len(ids) else np.int32
+    return ids, np.frombuffer(vectors, kind).reshape(len(ids), size)
 
 
 def query_blocks(chunks: DataFrame, every: int) -> tuple[DataFrame, int]:
@@ -91,26 +105,52 @@ def query_blocks(chunks: DataFrame, every: int) -> tuple[DataFrame, int]:
             for chunk, size, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, values = _matrix(size, ids, vectors)
                 for at in np.flatnonzero(ids % every == 0):
-                    out.append((size, chunk, int(at), int(ids[at]), values[at].tobytes()))
+                    out.append((size, chunk, int(at), int(ids[at]), values[at].tobytes(), values.dtype == np.float64))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("size", pa.int32()), ("chunk", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64()), ("vector", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("size", pa.int32()), ("chunk", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64()), ("vector", pa.binary()), ("q_wide", pa.bool_())]))
 
-    picked = checkpointed(chunks.mapInArrow(pick, "size int, chunk long, at int, query_id long, vector binary"))
+    picked = checkpointed(chunks.mapInArrow(pick, "size int, chunk long, at int, query_id long, vector binary, q_wide boolean"))
     blocks = max(1, -(-picked.count() // BLOCK_ROWS))
     placed = picked.withColumn("block", F.pmod(F.xxhash64("chunk", "at"), F.lit(blocks)).cast("int"))
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "size": [key[1]], "q_chunks": [rows["chunk"].to_numpy(np.int64).tobytes()], "q_ats": [rows["at"].to_numpy(np.int32).tobytes()], "q_ids": [rows["query_id"].to_numpy(np.int64).tobytes()], "q_vectors": [b"".join(rows["vector"])]})
+        return pd.DataFrame({"block": [key[0]], "size": [key[1]], "q_wide": [key[2]], "q_chunks": [rows["chunk"].to_numpy(np.int64).tobytes()], "q_ats": [rows["at"].to_numpy(np.int32).tobytes()], "q_ids": [rows["query_id"].to_numpy(np.int64).tobytes()], "q_vectors": [b"".join(rows["vector"])]})
+
+    return placed.groupBy("block", "size", "q_wide").applyInPandas(join, "block int, size int, q_wide boolean, q_chunks binary, q_ats binary, q_ids binary, q_vectors binary"), blocks
 
-    return placed.groupBy("block", "size").applyInPandas(join, "block int, size int, q_chunks binary, q_ats binary, q_ids binary, q_vectors binary"), blocks
+
+def norms(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.square(values.astype(np.float64)).sum(axis=1))
 
 
 def segment_statistics(values: np.ndarray, level: int) -> np.ndarray:
-    """sqrt(n) * mean and deviation of each of ``level`` segments; the dot product of two such rows bounds that of the vectors."""
+    """sqrt(n) * mean and deviation of each of ``level`` segments, and a part of the norm for rounding; the dot product of two such rows bounds that of the vectors."""
     parts = [p for p in np.array_split(values.astype(np.float64), level, axis=1) if p.shape[1]]
-    means = [p.sum(axis=1) / np.sqrt(p.shape[1]) for p in parts]
-    deviations = [np.sqrt(np.maximum(np.square(p).sum(axis=1) - m * m, 0.0)) for p, m in zip(parts, means, strict=True)]
-    return np.stack([*means, *deviations], axis=1) if parts else np.zeros((len(values), 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        means = [p.sum(axis=1) / np.sqrt(p.shape[1]) for p in parts]
+        deviations = [np.sqrt(np.maximum(np.square(p).sum(axis=1) - m * m, 0.0)) for p, m in zip(parts, means, strict=True)]
+    return np.stack([*means, *deviations, np.sqrt(ROUNDING) * norms(values)], axis=1) if parts else np.zeros((len(values), 0))
+
+
+_integers = np.frompyfunc(int, 1, 1)
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inner products of the rows, and whether they are below what fits in a long; above it is an error."""
+    scores, under = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+    with np.errstate(over="ignore", invalid="ignore"):
+        fits = norms(a) * norms(b) < 2.0**62  # a bound of all partial sums
+        scores[fits] = np.einsum("ij,ij->i", a[fits].astype(np.int64), b[fits].astype(np.int64))
+    rest = np.flatnonzero(~fits)
+    for low in range(0, len(rest), 4096):
+        at = rest[low : low + 4096]
+        for i, score in zip(at, (_integers(a[at]) * _integers(b[at])).sum(axis=1), strict=True):
+            if score >= 1 << 63:  # it is among the best k, or others above the range are
+                raise OverflowError(TOO_WIDE)
+            under[i] = score < -(1 << 63)
+            scores[i] = 0 if under[i] else score
+    return scores, under
 
 
 class Best:
@@ -120,12 +160,13 @@ class Best:
         self.chunks, self.ats, self.values, self.k = chunks, ats, values, k
         self.stats = [segment_statistics(values, level) for level in LEVELS]
         self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.under = np.zeros(0, bool)  # scores below the range of a long: the last of all
         self.floor = np.full(len(values), -np.inf)
         self.survivors = 0
 
     def meet(self, chunk: int, ids: np.ndarray, values: np.ndarray) -> None:
         # candidates with large norms first: thresholds rise early
-        order = np.argsort(-np.square(values.astype(np.float64)).sum(axis=1), kind="stable")
+        order = np.argsort(-norms(values), kind="stable")
         for low in range(0, len(order), SPAN):
             part = order[low : low + SPAN]
             self._meet(chunk, part, ids[part], values[part])
@@ -137,23 +178,29 @@ class Best:
             rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
             if not len(rows):
                 return
-            bound = mine[rows] @ segment_statistics(values[columns], level).T
-            bound += 1e-9 * np.abs(bound) + 1e-6
-            open_[np.ix_(rows, columns)] &= bound >= self.floor[rows][:, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = mine[rows] @ segment_statistics(values[columns], level).T
+                bound += 1e-9 * np.abs(bound) + 1e-6
+                # a bound that overflowed to no number excludes nothing
+                open_[np.ix_(rows, columns)] &= ~(bound < self.floor[rows][:, None])
         rows, columns = np.nonzero(open_)
         self.survivors += len(rows)
-        wide = np.int64 if values.shape[1] * np.abs(values).max(initial=0).astype(float) * np.abs(self.values).max(initial=0) >= 2**52 else np.float64
+        small = values.shape[1] * np.abs(values).max(initial=0).astype(float) * np.abs(self.values).max(initial=0) < 2**52
         for low in range(0, len(rows), 65536):
             r, c = rows[low : low + 65536], columns[low : low + 65536]
-            scores = np.einsum("ij,ij->i", self.values[r].astype(wide), values[c].astype(wide)).astype(np.int64)
-            query, found, scores = np.concatenate([self.query, r]), np.concatenate([self.ids, ids[c]]), np.concatenate([self.scores, scores])
-            order = np.lexsort((found, -scores, query))
+            if small:
+                scores, under = np.einsum("ij,ij->i", self.values[r].astype(np.float64), values[c].astype(np.float64)).astype(np.int64), np.zeros(len(r), bool)
+            else:
+                scores, under = exact_scores(self.values[r], values[c])
+            query, found = np.concatenate([self.query, r]), np.concatenate([self.ids, ids[c]])
+            scores, under = np.concatenate([self.scores, scores]), np.concatenate([self.under, under])
+            order = np.lexsort((found, ~scores, under, query))
             query = query[order]
             rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
             kept = order[rank < self.k]
-            self.query, self.ids, self.scores = query[rank < self.k], found[kept], scores[kept]
+            self.query, self.ids, self.scores, self.under = query[rank < self.k], found[kept], scores[kept], under[kept]
             last = rank == self.k - 1
-            self.floor[query[last]] = scores[order[last]]
+            self.floor[query[last]] = np.where(under[order[last]], -np.inf, scores[order[last]])
 
 
 def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0) -> DataFrame:
@@ -164,19 +211,19 @@ def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0) -> DataF
     groups = max(1, -(-chunks.count() // CHUNKS_A_GROUP))
     joined = meetings.withColumn("part", F.pmod("part", F.lit(groups))).join(blocks, ["block", "size"])
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = joined.repartition(parts, "block", "size", "part").sortWithinPartitions("block", "size", "part", "chunk")
+    dealt = joined.repartition(parts, "block", "size", "part").sortWithinPartitions("block", "size", "part", "q_wide", "chunk")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, best, q_ids = None, None, None
 
         def result() -> pa.RecordBatch:
             q = best.query
-            return pa.RecordBatch.from_arrays([pa.array(best.chunks[q]), pa.array(best.ats[q].astype(np.int32)), pa.array(q_ids[q]), pa.array(best.ids), pa.array(best.scores)], ["chunk", "at", "query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(best.chunks[q]), pa.array(best.ats[q].astype(np.int32)), pa.array(q_ids[q]), pa.array(best.ids), pa.array(best.scores, mask=best.under)], ["chunk", "at", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                if at != (now := (row["block"], row["size"], row["part"])):
+                if at != (now := (row["block"], row["size"], row["part"], row["q_wide"])):
                     if best is not None:
                         yield result()
                     at = now
@@ -187,8 +234,9 @@ def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0) -> DataF
             yield result()
 
     partial = dealt.mapInArrow(search, "chunk long, at int, query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("chunk", "at").orderBy(F.desc("score"), F.asc("vec_id")))
-    return partial.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("chunk", "at").orderBy(F.desc_nulls_last("score"), F.asc("vec_id")))
+    score = F.coalesce("score", F.raise_error(F.lit(TOO_WIDE)).cast("long")).alias("score")
+    return partial.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,43 @@ def test_large_components_stay_exact(spark):
     check(spark, [(0, [900_001.0, 1.0]), (3, [900_003.0, -1.0]), (4, [900_002.5, 3.0]), (5, [-1.0, 900_000.0])], k=2)
 
 
+def top(spark, rows, k):
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], KIND)
+    return sorted(map(tuple, vectors.top_k(frame, k, 3).collect()))
+
+
+def exact(rows, k):
+    whole = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
+    out = []
+    for n, (i, q) in enumerate(whole):
+        if i % 3 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, c, strict=True)), j) for m, (j, c) in enumerate(whole) if m != n)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_vectors_with_very_large_components_take_part(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SPAN", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (rng.normal(0, 1, 6) * rng.choice([1.0, 1e3, 3e6])).astype(np.float32)]) for i in range(90)]
+    rows += [(200, [2.0**22, 0.0, 0.0, 0.0, -1.0, 0.0]), (201, [1_048_576.0, 0.0, 1.0, 0.0, 0.0, 0.0])]
+    assert sum(max(map(abs, v)) >= 2**20 for _, v in rows) > 20
+    assert top(spark, rows, 5) == exact(rows, 5)
+    # products near the limit that cancel, and one that does not fit but is not among the best
+    rows = [(0, [2.0**40, 2.0**40]), (1, [2.0**20, -(2.0**20)]), (2, [1.0, 2.0]), (4, [-(2.0**30), 1.0])]
+    assert top(spark, rows, 2) == exact(rows, 2)
+    assert top(spark, [(0, [1e38, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1e38])], 2) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def test_many_products_that_overflow_together_are_exact_or_an_error(spark):
+    same = [float(2**19)] * 1000
+    for last in (1.0, -1.0):
+        with pytest.raises(Exception, match="does not fit in a long"):
+            top(spark, [(0, same), (1, [last * x for x in same])], 1)
+    rows = [(0, same), (1, [x * (-1) ** i for i, x in enumerate(same)])]
+    assert top(spark, rows, 1) == exact(rows, 1)
+
+
 def test_empty_table(spark):
     check(spark, [])
     check(spark, [(1, [1.0])])
