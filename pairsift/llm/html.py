@@ -1,13 +1,15 @@
-"""Main text of web pages: a block parser, and nearest-URL page differencing for what the markup leaves open.
+"""Main text of web pages: nearest-URL page differencing, with the markup as its guard.
 
-Each page is parsed into blocks with what the markup says of them: inside an article or main element, inside
-something that is no article text (menus, headers, footers, sidebars, forms, scripts, styles, adverts, notices,
-comments), or open. Pages of a host are ordered by URL path; each is paired with the neighbour that shares the
-longer path prefix, their lines are aligned by longest common subsequence, and shared lines are deleted.
+Each page is parsed into lines: the text of its blocks, menus and notices included. Pages of a host are ordered by URL
+path; each is paired with the neighbour that shares the longer path prefix, their lines are aligned by longest common
+subsequence, and shared lines are deleted.
 
-Deleting every shared line would delete articles that two pages of a host have in common, so the differencing
-decides on open lines only: those of pages without an article or main element, and link lists inside one. If all
-open lines of a page are shared, it is a copy of its neighbour and nothing is deleted.
+The markup guards on both sides. Lines inside an article or main element stay though they are shared: pages of a host
+may have articles in common. Lines that markup calls no article text (menus, headers, footers, sidebars, forms,
+adverts, notices, comments, and what stands beside an article) go though no neighbour shares them. All others are
+open, and the differencing alone decides on them: those of pages without such elements, and link lists inside an
+article. If no line would be left, the page is a copy of its neighbour, and no open line is deleted. Scripts and
+styles are no lines.
 
 All pages are cut into ranges of the order (host, path, id, a hash of the html, url), so no task gets a whole host. The first
 and the last pages of a range are sent to the ranges beside it too, so each page meets its nearest URLs of the whole host.
@@ -38,20 +40,28 @@ DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside a part's name in a dashed class; beside others (ad-free-content) the name says nothing.
+FRAMES = frozenset("area bar block bottom box button buttons container form frame group inner item items label left link links list outer panel right row section slot text title top unit wrap wrapper".split())
 _CLOSED_BY = {"p": BLOCK - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 _SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
-OPEN, ARTICLE = 1, 2
+DROPPED_LINE, OPEN, ARTICLE = 0, 1, 2
 #: The order of the pages.
 KEY = ("host", "path", "id", "mark", "address")
 #: Each range costs the driver a sample of some hundred keys.
 MOST_RANGES = 1024
 
 
+def _names_part(word: str) -> bool:
+    """Whether a word of a class or id names a part of a page that is no article text."""
+    pieces = word.split("-")
+    return pieces[-1] in PARTS or pieces[0] in PARTS and all(x in PARTS or x in FRAMES or x.isdigit() for x in pieces[1:])
+
+
 def _is_part(name: str, attrs: str) -> bool:
     """Whether an element is no article text by its name, role, class or id."""
     if name in DROPPED:
@@ -60,27 +70,31 @@ def _is_part(name: str, attrs: str) -> bool:
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(w in PARTS or w.split("-")[0] in PARTS or w.split("-")[-1] in PARTS for w in re.split(r"[\s_]+", value)):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(map(_names_part, re.split(r"[\s_]+", value))):
             return True
     return False
 
 
 def parse_blocks(html: str) -> list[tuple[int, str]]:
-    """(state, text) of the blocks of a page in order; blocks inside dropped elements are left out."""
+    """(state, text) of the lines of a page in order."""
     stack: list[tuple[str, int, int]] = []  # element, dropped depth, article depth
     dropped = article = 0
     lines: list[tuple[int, str, int]] = []
     text: list[str] = []
+    beside: list[str] = []  # of dropped elements inside the block
     linked = total = 0
     links = 0
 
     def flush() -> None:
         nonlocal linked, total
-        if text:
-            block = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            if block and not dropped:
-                lines.append((ARTICLE if article and not (total and linked > 0.5 * total) else OPEN, block, article))
-            text.clear()
+        for pieces in (text, beside):
+            if pieces:
+                block = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
+                if block and pieces is beside:
+                    lines.append((DROPPED_LINE, block, 0))
+                elif block:
+                    lines.append((ARTICLE if article and not (total and linked > 0.5 * total) else OPEN, block, article))
+                pieces.clear()
         linked = total = 0
 
     def leave(depth: int) -> None:
@@ -93,7 +107,9 @@ def parse_blocks(html: str) -> list[tuple[int, str]]:
 
     def words(piece: str) -> None:
         nonlocal linked, total
-        if piece and not dropped:
+        if piece and dropped:
+            beside.append(piece)
+        elif piece:
             text.append(piece)
             size = len(piece.strip())
             total += size
@@ -133,7 +149,7 @@ def parse_blocks(html: str) -> list[tuple[int, str]]:
     words(re.sub(r"</?\Z", "", html[at:]))
     flush()
     inside = any(a for _, _, a in lines)
-    return [(state, block) for state, block, a in lines if a or not inside]
+    return [(state if a or not inside else DROPPED_LINE, block) for state, block, a in lines]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -159,15 +175,28 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def difference(lines: list[tuple[int, str]], other: list[tuple[int, str]]) -> str:
-    """The kept lines of a page, held against its neighbour's."""
-    open_ = [i for i, (state, _) in enumerate(lines) if state == OPEN]
-    if open_ and other:
-        shared = common_lines([x for _, x in lines], [x for _, x in other])
-        gone = {i for i in open_ if i in shared}
-        if len(gone) < len(lines):
-            return "\n".join(x for i, (_, x) in enumerate(lines) if i not in gone)
-    return "\n".join(x for _, x in lines)
+def shared_lines(a: list[str], b: list[str]) -> set[int]:
+    """``common_lines``, where equal beginnings and ends are aligned first: both are part of some longest one."""
+    low, least = 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < least - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    middle = common_lines(a[low : len(a) - end], b[low : len(b) - end])
+    return {*range(low), *(low + i for i in middle), *range(len(a) - end, len(a))}
+
+
+def difference(lines: list[tuple[int, str]], other: list[tuple[int, str]]) -> tuple[str, int, int]:
+    """The text of the kept lines of a page, held against its neighbour's; how many lines the alignment deleted, and how many more the markup."""
+    shared = shared_lines([x for _, x in lines], [x for _, x in other])
+    kept = [i for i, (state, _) in enumerate(lines) if state != DROPPED_LINE]
+    gone = {i for i in kept if i in shared and lines[i][0] == OPEN}
+    if len(gone) == len(kept):
+        gone = set()
+    dropped = [i for i, (state, _) in enumerate(lines) if state == DROPPED_LINE]
+    aligned = len(gone) + sum(i in shared for i in dropped)
+    return "\n".join(lines[i][1] for i in kept if i not in gone), aligned, len(gone) + len(dropped) - aligned
 
 
 def placed(pages: DataFrame) -> DataFrame:
@@ -227,7 +256,10 @@ def _prefix(a: str, b: str) -> int:
 
 
 def main_text(pages: DataFrame, group: int = 400) -> DataFrame:
-    """page_id, url and text of every row of (page_id, url, html); ``group`` pages or more are a range, the result is the same for all."""
+    """page_id, url, text, n_shared (lines deleted because a neighbour shares them) and n_marked (others deleted by their markup) of every row of (page_id, url, html).
+
+    ``group`` pages or more are a range, the result is the same for all.
+    """
     rows = placed(pages)
     tasks = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = range_ends(rows, min(MOST_RANGES, -(-pages.count() // group)))
@@ -242,31 +274,30 @@ def main_text(pages: DataFrame, group: int = 400) -> DataFrame:
                 row[4] = _unpacked(row[4])
             return row[4]
 
-        def text(before: list | None, row: list, after: list | None) -> str:
+        def text(before: list | None, row: list, after: list | None) -> tuple[str, int, int]:
             near = [(-_prefix(row[3], x[3]), k, x) for k, x in ((0, before), (1, after)) if x is not None and (x[0], x[2]) == (row[0], row[2])]
-            undecided = any(state == OPEN for state, _ in lines(row))
-            return difference(lines(row), lines(min(near, key=lambda x: x[:2])[2]) if near and undecided else [])
+            return difference(lines(row), lines(min(near, key=lambda x: x[:2])[2]) if near else [])
 
         def result(rows: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind_of_id), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            kinds = (kind_of_id, pa.string(), pa.string(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "text", "n_shared", "n_marked"])
 
         for batch in batches:
             kind_of_id, done = batch.schema.field("page_id").type, []
             for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
                 after = list(row)
                 if now is not None and now[1]:
-                    done.append((*now[5:], text(last, now, after)))
+                    done.append((*now[5:], *text(last, now, after)))
                 last, now = now, after
             if done:
                 yield result(done)
         if now is not None and now[1]:
-            yield result([(*now[5:], text(last, now, None))])
+            yield result([(*now[5:], *text(last, now, None))])
 
     dealt = parsed(rows, ends).repartition(tasks, "range").sortWithinPartitions("range", *KEY)
-    return dealt.select(*names).mapInArrow(differ, f"page_id {kind}, url string, text string")
+    return dealt.select(*names).mapInArrow(differ, f"page_id {kind}, url string, text string, n_shared int, n_marked int")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text, n_chars, n_shared and n_marked of every page."""
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -13,7 +14,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><
 
 
 def text(page):
-    return "\n".join(b for _, b in html.parse_blocks(page))
+    return "\n".join(b for state, b in html.parse_blocks(page) if state != html.DROPPED_LINE)
 
 
 def test_article_only():
@@ -39,6 +40,11 @@ def test_article_only():
         ("<p>a<nav>b</nav>c</p>", "a\nc"),
         ("</div></p>x", "x"),
         ("<article><article>in</article>out</article>", "in\nout"),
+        ('<div style="overflow:hidden"><p>Main text here.</p></div>', "Main text here."),
+        ('<p title="the hidden cost" data-id="nav">Body</p>', "Body"),
+        ('<div class="ad-free-content"><p>Body</p></div><div class="related-work">Work</div>', "Body\nWork"),
+        ('<div class="ad-slot-2">x</div><div class="site-header">y</div><div id=nav-list>z</div><p>Body</p>', "Body"),
+        ("<p>before<span class=ad>Buy</span>after</p>", "beforeafter"),
     ],
 )
 def test_blocks(page, want):
@@ -66,9 +72,9 @@ def pages(spark, rows):
 def test_neighbours_lose_shared_lines(spark):
     rows = [(i, f"http://h.example/a/{i:02d}", f"<div>Menu one</div><p>Body {i}</p><div>All rights</div>") for i in range(9)]
     rows += [(20, "http://other.example/x", "<div>Menu one</div><p>Alone</p>"), (21, "http://h.example/b/1?q", "<article><p>Shared body</p></article>"), (22, "http://h.example/b/1#q", "<article><p>Shared body</p></article>"), (23, "http://copy.example/1", "<p>Same</p>"), (24, "http://copy.example/2", "<p>Same</p>")]
-    for group in (400, 3):
+    for group in (400, 3, 1):
         got = {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows), group).collect()}
-        assert [got[i] for i in range(9)] == [f"Body {i}" for i in range(9)] or group == 3
+        assert [got[i] for i in range(9)] == [f"Body {i}" for i in range(9)]
         assert got[20] == "Menu one\nAlone" and got[21] == got[22] == "Shared body" and got[23] == got[24] == "Same"
         assert all(f"Body {i}" in got[i] for i in range(9))
 
@@ -87,6 +93,49 @@ def test_pages_of_a_large_host_meet_their_nearest_url(spark):
         assert got == first
 
 
+def brute(rows):
+    """Texts from a quadratic search of the nearest URL and set operations; the lines of these pages come in one order, none twice."""
+    keyed = []
+    for i, url, page in rows:
+        rest = (url or "").split("://", 1)[-1]
+        host = re.split("[/?#]", rest.lower())[0]
+        keyed.append((host, re.split("[?#]", rest[len(host) :])[0], str(i), url or "", i, html.parse_blocks(page)))
+    out = []
+    for host, path, _, _, i, lines in (ordered := sorted(keyed, key=lambda x: x[:4])):
+        at = next(k for k, x in enumerate(ordered) if x[5] is lines)
+        near = []
+        for k in (at - 1, at + 1):
+            if 0 <= k < len(ordered) and ordered[k][0] == host:
+                same = [a == b for a, b in zip(path, ordered[k][1], strict=False)]
+                near.append((same.index(False) if False in same else len(same), k))
+        other = {x for _, x in ordered[max(near, key=lambda x: (x[0], -x[1]))[1]][5]} if near else set()
+        kept = [(s, x) for s, x in lines if s != html.DROPPED_LINE]
+        left = [x for s, x in kept if s == html.ARTICLE or x not in other]
+        out.append((i, "\n".join(left or [x for _, x in kept]), sum(x in other and s != html.ARTICLE for s, x in lines) - (0 if left else len(kept))))
+    return sorted(out, key=str)
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["<nav>Menu {s}</nav>", "<div>Section {s}</div>", "<p>Host {h}</p>", "<article><p>Shared {s}</p><p>Own {i}</p></article>", "<p>Body {i}</p>", "<div class=ad>Ad {a}</div>", "<p>Tail</p>", "<footer>Foot {h}</footer>"]
+    rows = []
+    for i in range(700):
+        h, s, a = rng.choice([0, 0, 0, 1, 2]), rng.randint(0, 40), rng.randint(0, 5)
+        page = "".join(p.format(s=s, h=h, i=i, a=a) for p in parts if rng.random() < 0.6)
+        url = None if rng.random() < 0.1 else f"http://h{h}.example/s{s}" + rng.choice(["", f"/{i}", f"?t={i}"])
+        rows.append((i, url, page))
+    want = brute(rows)
+    assert sum(n for _, _, n in want) > 300
+    for group in (400, 50, 7):
+        got = sorted(((r["page_id"], r["text"], r["n_shared"]) for r in html.main_text(pages(spark, rows), group).collect()), key=str)
+        assert got == want
+
+
+def test_long_pages_that_repeat_one_line(spark):
+    rows = [(i, f"http://a/{i}", "<p>same line</p>" * 30_000 + f"<p>own {i}</p>") for i in range(2)]
+    assert sorted(r["text"] for r in html.main_text(pages(spark, rows)).collect()) == ["own 0", "own 1"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "", "<p>x"), (2**60 + 1, "http://a/b", PAGE), (5, "http://a/c", "<article>" + "<p>long text here</p>" * 20_000)]
     got = [(r["page_id"], r["text"][:14]) for r in html.main_text(pages(spark, rows)).collect()]
