@@ -6,11 +6,13 @@ placeholder expands to, and the code-point spans that training loss covers (the
 
 Template: ``<|start|>role<|message|>content<|end|>`` and a line feed for each turn. Escaping puts a backslash after
 the first character of every control string (and of what looks like an escaped one), so no control string is left
-inside a text and one backslash less gives the text back, whatever it holds.
+inside a text and one backslash less gives the text back, whatever it holds. Text parts without an attachment between
+them are escaped as the one text that they will be read as, so none can be put together from several parts.
 
 Nulls and edges: null texts and roles are empty; turns are ordered by (turn, role, parts), nulls first, and repeated
-turns stay; rows with a null conversation id are one conversation; a part of unknown type is an error. A conversation
-is one value, so it is put together in one task, however long; different conversations never meet.
+turns stay; rows with a null conversation id are one conversation; null parts are left out; a part without a type, or of
+another one than the four, is an attachment of the kind ``unknown`` and one token. A conversation is one value, so it is
+put together in one task, however long; different conversations never meet.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ _AFTER_ANGLE += r"|/?s>|</?SYS>>"
 _ESCAPE = re.compile(rf"<(?=\\*(?:{_AFTER_ANGLE}))|\[(?=\\*(?:{_AFTER_SQUARE}))")
 _UNESCAPE = re.compile(rf"<\\(?=\\*(?:{_AFTER_ANGLE}))|\[\\(?=\\*(?:{_AFTER_SQUARE}))")
 _TURN = re.compile(r"<\|start\|>(.*?)<\|message\|>(.*?)<\|end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document) \d+\|>")
+_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document|unknown) \d+\|>")
 
 
 def escape(text: str) -> str:
@@ -62,6 +64,7 @@ class PartVisitor:
         self.settings, self.tokenizer = settings, tokenizer
         self.pieces: list[str] = []
         self.length = self.tokens = 0
+        self.text: list[str] = []  # of neighbouring text parts
         self.spans: list[dict] = []
         self.attachments: list[dict] = []
 
@@ -72,31 +75,41 @@ class PartVisitor:
     def turn(self, role: str | None, parts: Iterable[dict | None] | None) -> None:
         role = role or ""
         self.emit(f"{START}{escape(role)}{MESSAGE}")
+        learned = role in self.settings.loss_roles
         for part in parts or ():
-            if part is not None:
-                getattr(self, f"visit_{part['type']}", self.visit_unknown)(part, role in self.settings.loss_roles)
+            if part is not None and part["type"] == "text":
+                self.visit_text(part)
+            elif part is not None:
+                self.flush(learned)
+                {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(part["type"], self.visit_unknown)(part)
+        self.flush(learned)
         self.emit(f"{END}\n")
 
-    def visit_text(self, part: dict, learned: bool) -> None:
-        text = escape(part["text"] or "")
+    def visit_text(self, part: dict) -> None:
+        self.text.append(part["text"] or "")
+
+    def flush(self, learned: bool) -> None:
+        """Emit the text parts since the last attachment."""
+        text = escape("".join(self.text))
+        self.text.clear()
         if self.tokenizer is not None:
             self.tokens += len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if learned and text:
             self.spans.append({"start": self.length, "end": self.length + len(text)})
         self.emit(text)
 
-    def visit_image(self, part: dict, learned: bool) -> None:
+    def visit_image(self, part: dict) -> None:
         patch = self.settings.patch
         self.attach("image", part, math.ceil((part["width"] or patch) / patch) * math.ceil((part["height"] or patch) / patch))
 
-    def visit_audio(self, part: dict, learned: bool) -> None:
+    def visit_audio(self, part: dict) -> None:
         self.attach("audio", part, math.ceil((part["seconds"] or 0) * self.settings.audio_rate))
 
-    def visit_document(self, part: dict, learned: bool) -> None:
+    def visit_document(self, part: dict) -> None:
         self.attach("document", part, (part["pages"] or 1) * self.settings.page_tokens)
 
-    def visit_unknown(self, part: dict, learned: bool) -> None:
-        raise ValueError(f"unknown content part type: {part['type']!r}")
+    def visit_unknown(self, part: dict) -> None:
+        self.attach("unknown", part, 1)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         tokens = max(1, tokens)
