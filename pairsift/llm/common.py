@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, so that temporaries stay small.
 SLICE_BYTES = 1 << 19
+#: Samples are drawn by a hash modulo this.
+DRAWS = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,22 @@ def boxed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
 
 
+def bounded_sample(rows: DataFrame, most_bytes: int) -> pa.Table:
+    """The rows (text, at and others) on the driver, in the order of ``at``; whole texts, as many as fit in ``most_bytes`` together, and one at least."""
+    kept = rows.persist()
+    try:
+        sizes = kept.select("at", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow().sort_by([("at", "ascending")])
+        fits = np.cumsum(sizes["size"].to_numpy()) <= most_bytes
+        fits[:1] = True
+        if not fits.all():
+            kept_at = sizes["at"].to_numpy()[fits][-1]
+            rows = kept.filter(F.col("at") <= F.lit(int(kept_at)))
+        others = [(c, "ascending") for c in rows.columns if c not in ("at", "text")]
+        return rows.toArrow().sort_by([("at", "ascending"), *others])
+    finally:
+        kept.unpersist()
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and their n + 1 offsets; a null counts as the empty text."""
     if isinstance(texts, pa.ChunkedArray):

@@ -1,7 +1,9 @@
 """Language identification: multinomial FTRL regression on TF-IDF character n-grams, with calibrated scores.
 
 Document frequencies are counted over every training document, in one distributed pass; the regression is
-fitted on a bounded sample of them (``sample_rows``), and every whole text is scored.
+fitted on a bounded sample of them, and every whole text is scored. The sample is drawn by a hash: ``sample_rows`` rows
+in expectation, but of each language at least ``language_rows`` (all, if it has fewer), so rare languages are learned
+too; the ``most_languages`` most frequent ones are told apart, and the sample holds ``sample_bytes`` of text at most.
 
 Nulls and edges: a null text, or one without a letter, is ``und`` with score 0; rows with a null language or a
 null id teach nothing; a null id is not held out; without any training row every text is ``und``. Repeated rows
@@ -10,7 +12,6 @@ each get their result. Only the columns named here are read, so others may be ca
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, flat, id_remainder, mixed, slices, sparse_rows, table
+from .common import DRAWS, bounded_sample, boxed, flat, id_remainder, mixed, slices, sparse_rows, table
 from .ftrl import Examples, FtrlProximal, best_temperature, probabilities
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,9 @@ class LanguageSettings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     sample_rows: int = 2500  # the regression's training rows; an upper bound in expectation
+    language_rows: int = 100  # of each language, at least
+    most_languages: int = 256
+    sample_bytes: int = 1 << 26
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -47,6 +50,11 @@ class LanguageModel:
     temperature: float = 1.0
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of the Unicode categories of letters (no digits, fractions or circled numbers)."""
+    return any(map(str.isalpha, text))
+
+
 def ngram_rows(data: bytes, offsets: np.ndarray, settings: LanguageSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, count) of the character n-grams of lower-cased texts; what is no letter counts as a space."""
     texts = [data[a:b].decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -106,8 +114,13 @@ def train_language_model(docs: DataFrame, settings: LanguageSettings = LanguageS
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("at"))
     n, frequencies = document_frequencies(rows.select("text"), settings)
     idf = np.log((1.0 + n) / (1.0 + frequencies)) + 1.0
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()
     share = min(1.0, settings.sample_rows / max(n, 1))
-    picked = rows.filter(F.pmod("at", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1)).limit(2 * settings.sample_rows).toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    shares = {r["lang"]: max(share, min(1.0, settings.language_rows / r["n"])) for r in sizes}
+    limits = F.create_map(*[F.lit(x) for lang, part in shares.items() for x in (lang, int(part * DRAWS) or 1)]) if shares else F.lit(None).cast("map<string,long>")
+    # repeated rows are drawn alike, hence the limit
+    drawn = rows.filter(F.pmod("at", F.lit(DRAWS)) < F.try_element_at(limits, F.col("lang"))).limit(2 * (settings.sample_rows + settings.language_rows * len(shares)))
+    picked = bounded_sample(drawn, settings.sample_bytes)
     data, offsets = flat(picked["text"])
     names = picked["lang"].to_pylist()
     languages = sorted(set(names))
@@ -145,7 +158,7 @@ def predict_languages(spark: SparkSession, model: LanguageModel, text: str = "te
             weights = m.weights[buckets, : len(m.languages)]
             sums = np.stack([np.bincount(rows, values * weights[:, k], minlength=high - low) for k in range(len(m.languages))], axis=1) + m.weights[-1, : len(m.languages)]
             p = probabilities(sums / m.temperature) if len(m.languages) > 1 else np.ones((high - low, 1))
-            lettered = np.array([bool(_LETTER.search(body[a:b].decode("utf-8", "replace"))) for a, b in zip(part[:-1], part[1:], strict=True)])
+            lettered = np.array([has_letter(body[a:b].decode("utf-8", "replace")) for a, b in zip(part[:-1], part[1:], strict=True)])
             best[low:high] = np.where(lettered, p.argmax(axis=1), -1)
             score[low:high] = np.where(lettered, p.max(axis=1), 0.0)
         names = np.array([*m.languages, UNKNOWN], object)[best]

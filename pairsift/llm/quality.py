@@ -6,7 +6,8 @@ it, or the one before that, is also a feature of its own.
 
 Nulls and edges: a null text counts as empty and gets the score of the bias; labels that are null, or whose id is
 null, teach nothing; several labels of one id are averaged; without any label every score is 0.5. Repeated
-documents each get their result.
+documents each get their result. The regression learns from a sample drawn by a hash of the id, bounded in rows and in
+bytes (``sample_rows``, ``sample_bytes``); every whole text is scored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_KINDS, LOWER_BYTES, boxed, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
+from .common import BYTE_KINDS, DRAWS, LOWER_BYTES, bounded_sample, boxed, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
 from .ftrl import Examples, FtrlProximal, probabilities
 
 
@@ -26,6 +27,7 @@ from .ftrl import Examples, FtrlProximal, probabilities
 class QualitySettings:
     bits: int = 18
     sample_rows: int = 5000  # labelled rows to learn from; an upper bound in expectation
+    sample_bytes: int = 1 << 26  # of their texts, at most
     epochs: int = 4
     alpha: float = 2.0
     beta: float = 1.0
@@ -72,8 +74,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, settings: QualitySet
     marks = labels.filter(F.col("quality").isNotNull() & learn).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("mark"))
     share = min(1.0, settings.sample_rows / max(marks.count(), 1))
     at = F.xxhash64("doc_id")
-    marks = marks.filter(F.pmod(at, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1))
-    picked = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "mark", at.alias("at")).limit(2 * settings.sample_rows).toArrow().sort_by([("at", "ascending"), ("mark", "ascending")])
+    marks = marks.filter(F.pmod(at, F.lit(DRAWS)) < F.lit(int(share * DRAWS) or 1))
+    picked = bounded_sample(docs.select("doc_id", "text").join(marks, "doc_id").select("text", "mark", at.alias("at")).limit(2 * settings.sample_rows), settings.sample_bytes)
     data, offsets = flat(picked["text"])
     targets = picked["mark"].to_numpy()[:, None]
     size = 1 << settings.bits
