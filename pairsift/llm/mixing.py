@@ -1,28 +1,36 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame operations only.
 
 A source with n documents and target weight w gets the rate lambda = total * w / n. Each document draws a uniform
-number from a hash of its id and the seed, and its count is the Poisson quantile of that number: how many values of
-the source's cumulative distribution it reaches. Documents are exploded by their counts and dealt out by a hash of
-(id, copy, seed), in which order each partition is sorted: a global shuffle without a sampling pass, the same on
-every run and every retry.
-
-The rates are broadcast only if there are at most ``BROADCAST_SOURCES`` sources; otherwise they are joined by source
-with salted keys, as one source may hold much of the rows.
-
-Nulls and edges: a null source is a source of its own; a null id draws one number for all such rows; repeated rows
-draw the same count, each for itself; sources without a target (or with a target of 0) get no copies; empty tables
-give no rows. Columns of the input are kept whatever they are called; the new ones take a leading underscore if
-their name is taken.
+number from a hash of its key and the seed, and its count is the Poisson quantile of that number: how many values of
+the source's cumulative distribution it reaches. A rate above ``PART_RATE`` is cut into equal parts, each with a draw of its
+own (the sum of Poisson numbers is one), so no distribution has more than some two hundred values. Documents are exploded
+by their counts and dealt out by a hash of (key, copy, seed), in which order each partition is sorted: a global shuffle
+without a sampling pass, the same on every run and every retry.
+
+The key of a document is its id. Rows whose id is null or repeated take a hash of the whole row to it, and rows that
+are alike in all columns their number among those too, so all rows draw apart and a source of such rows meets its target
+like any other. Equal rows are numbered by input partition, one row a partition and distinct row, so a group of any size
+is spread; which of them gets which number makes no difference.
+
+The rates are broadcast only if there are at most ``BROADCAST_SOURCES`` sources (some 2 kB each); otherwise they are
+joined by source with salted keys, as one source may hold much of the rows. Repeated ids are broadcast up to
+``BROADCAST_IDS``, and joined by id beyond that.
+
+Nulls and edges: a null source is a source of its own; sources without a target (or with a target of 0) get no copies;
+empty tables give no rows. Columns of the input are kept whatever they are called; the new ones take a leading
+underscore if their name is taken.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import boxed, table
 
-BROADCAST_SOURCES, SALTS = 65_536, 32
+BROADCAST_SOURCES, BROADCAST_IDS, SALTS = 8_192, 500_000, 32
+PART_RATE = 64.0
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -45,7 +53,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, epochs: float) -> DataFrame:
-    """source, rate and cdf: by given weights, or by counts raised to ``temperature`` (0: all sources alike, 1: as they are)."""
+    """source, parts and cdf (of one part of the rate): by given weights, or by counts raised to ``temperature`` (0: all sources alike, 1: as they are)."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         shares = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
@@ -54,7 +62,32 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, tempe
         shares = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     all_w, all_n = shares.agg(F.sum("w"), F.sum("n")).first()
     rate = F.lit(epochs * (all_n or 0)) * F.col("w") / F.lit(float(all_w)) / F.col("n") if all_w else F.lit(0.0)
-    return shares.select("source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    cut = shares.select("source", rate.alias("rate")).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int"))
+    return cut.select("source", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row, source, none and id: the key that each row draws by."""
+    source = (F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"))
+    text_id = F.col("doc_id").cast("string")
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy(text_id.alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    boxes = boxed(docs, *source, text_id.alias("id"))
+    unique, others = boxes.filter("id IS NOT NULL"), boxes.filter("id IS NULL")
+    if several := len(repeated.take(1)):
+        if repeated.count() <= BROADCAST_IDS:
+            repeated = F.broadcast(repeated)
+        others = others.unionByName(unique.join(repeated, "id", "left_semi").select(*boxes.columns))
+        unique = unique.join(repeated, "id", "left_anti").select(*boxes.columns)
+    if not several and not docs.filter("doc_id IS NULL").take(1):
+        return unique
+    # JSON tells nulls in different columns apart, as xxhash64 does not
+    hashed = others.withColumns({"h": F.md5(F.to_json("row", {"ignoreNullFields": "false"}).cast("binary")), "part": F.spark_partition_id()})
+    # the rows of a partition are counted there, so a group of any size is one row a partition
+    held = hashed.groupBy("h", "part").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in boxes.columns])
+    held = held.withColumn("upto", F.sum("n").over(W.partitionBy("h").orderBy("part")))
+    numbered = held.withColumn("at", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)))
+    key = F.concat_ws(":", F.coalesce("id", F.lit("")), "h", F.col("at").cast("string"))
+    return unique.unionByName(numbered.select("row", "source", "none", key.alias("id")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 1) -> DataFrame:
@@ -65,16 +98,23 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         while name in taken:
             name = f"_{name}"
         fresh.append(name)
-    key = (F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"))
-    rates = source_rates(docs.select("source"), weights, temperature, epochs).select(*key, "cdf")
-    boxes = boxed(docs, *key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    source = (F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"))
+    rates = source_rates(docs.select("source"), weights, temperature, epochs).select(*source, "parts", "cdf")
+    boxes = keyed_rows(docs)
     if rates.select("source").count() <= BROADCAST_SOURCES:
         joined = boxes.join(F.broadcast(rates), ["source", "none"])
     else:
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = boxes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "none", "salt"])
-    drawn = joined.withColumn("drawn", uniform(F.col("id"), F.lit(f"count{seed}")) / F.lit(float(1 << 52)))
-    counted = drawn.withColumn("count", F.size(F.filter("cdf", lambda c: c <= F.col("drawn")))).filter("count > 0")
+
+    def quantile(*more: Column) -> Column:
+        drawn = uniform(F.col("id"), F.lit(f"count{seed}"), *more) / F.lit(float(1 << 52))
+        return F.size(F.filter("cdf", lambda c: c <= drawn))
+
+    several = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda total, part: total + quantile(part.cast("string")))
+    counted = joined.withColumn("drawn", uniform(F.col("id"), F.lit(f"count{seed}")) / F.lit(float(1 << 52)))
+    one = F.size(F.filter("cdf", lambda c: c <= F.col("drawn")))
+    counted = counted.withColumn("count", F.when(F.col("parts") == 1, one).otherwise(several)).filter("count > 0")
     copies = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", uniform(F.col("id"), F.col("copy").cast("string"), F.lit(f"order{seed}")))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -87,19 +127,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+#: For tables whose ids are neither null nor repeated; tests hold those that are against brute force.
 ORACLE_OP2 = """
 WITH n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
-r AS (SELECT source, (SELECT sum(n) FROM n) * w / (SELECT sum(w) FROM n) / n AS rate FROM n),
+r AS (
+  SELECT source, whole, greatest(CAST(ceil(whole / 64) AS INTEGER), 1) AS parts
+  FROM (SELECT source, (SELECT sum(n) FROM n) * w / (SELECT sum(w) FROM n) / n AS whole FROM n)
+), q AS (SELECT source, parts, whole / parts AS rate FROM r),
 p AS (
-  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INTEGER) + 1)) AS k FROM r)
+  SELECT source, parts, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM (SELECT source, parts, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INTEGER) + 1)) AS k FROM q)
 ), c AS (
-  SELECT source, list(cdf ORDER BY k) AS cdf FROM p GROUP BY source
-), d AS (
-  SELECT d.*, len(list_filter(c.cdf, lambda x: x <= CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':count1'), 1, 13) AS BIGINT) / 4503599627370496.0)) AS count_
+  SELECT source, parts, list(cdf ORDER BY k) AS cdf FROM p GROUP BY source, parts
+), u AS (
+  SELECT d.*, c.cdf, unnest(range(c.parts)) AS part, c.parts
   FROM documents d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+), d AS (
+  SELECT doc_id, text, lang, source, n_chars,
+         sum(len(list_filter(cdf, lambda x: x <= CAST('0x' || substr(md5(doc_id || ':count1' || CASE WHEN parts > 1 THEN ':' || part ELSE '' END), 1, 13) AS BIGINT) / 4503599627370496.0))) AS count_
+  FROM u GROUP BY doc_id, text, lang, source, n_chars
 ), e AS (
-  SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(count_)) AS INTEGER) AS copy FROM d
+  SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(CAST(count_ AS BIGINT))) AS INTEGER) AS copy FROM d
 )
-SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy || ':order1'), 1, 13) AS BIGINT) AS shuffle_key FROM e
+SELECT *, CAST('0x' || substr(md5(doc_id || ':' || copy || ':order1'), 1, 13) AS BIGINT) AS shuffle_key FROM e
 """

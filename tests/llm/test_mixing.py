@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,7 +43,37 @@ def test_many_sources_take_the_salted_join(spark, make_docs, monkeypatch):
 def test_odd_rows(spark, make_docs):
     docs = make_docs([(None, None, None, None), (1, "", None, "a"), (1, "", None, "a"), (2, "x" * 300_000, "en", "a")])
     got = mixing.mix_sources(docs, epochs=6.0).groupBy("doc_id").count().collect()
-    counts = {r["doc_id"]: r["count"] for r in got}
-    assert counts.get(1, 0) % 2 == 0
+    assert {r["doc_id"] for r in got} <= {None, 1, 2}
     assert mixing.mix_sources(docs, {"b": 1.0}).count() == 0
     assert mixing.mix_sources(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_null_and_repeated_ids_draw_apart(spark, alike):
+    docs = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, 5).cast("long").alias("doc_id"), F.lit("s").alias("source"), (F.lit(0) if alike else F.col("id")).alias("x"))
+    docs = docs.unionByName(spark.range(100, 5100).select(F.col("id").alias("doc_id"), F.lit("t").alias("source"), F.col("id").alias("x")))
+    one, two = (mixing.mix_sources(docs.repartition(n, "x", F.rand(3)), {"s": 1.0, "t": 1.0}, epochs=2.0).select("doc_id", "source", "x", "copy", "shuffle_key").collect() for n in (3, 11))
+    assert sorted(one, key=str) == sorted(two, key=str)
+    for source, ids in (("s", {None, 5}), ("t", set(range(100, 5100)))):
+        mine = [r for r in one if r["source"] == source]
+        assert {r["doc_id"] for r in mine} <= ids and len(mine) == pytest.approx(15_000, rel=0.04)
+    keys = [r["shuffle_key"] for r in one]
+    assert len(set(keys)) == len(keys)
+    firsts = Counter(r["doc_id"] for r in one if r["copy"] == 0)
+    assert firsts[None] == pytest.approx(5000 * (1 - math.exp(-1.5)), rel=0.04)
+
+
+def test_high_rates_are_drawn_in_parts(spark):
+    docs = spark.range(401).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "one").when(F.col("id") <= 20, "few").otherwise("many").alias("source"))
+    counts = {r["doc_id"]: r["count"] for r in mixing.mix_sources(docs, {"one": 9.0, "few": 9.0, "many": 2.0}, epochs=10.0).groupBy("doc_id").count().collect()}
+    assert counts[0] == pytest.approx(4010 * 0.45, abs=5 * 42)
+    few = [counts[i] for i in range(1, 21)]
+    assert sum(few) == pytest.approx(4010 * 0.45, abs=5 * 42) and len(set(few)) > 5
+    sizes = mixing.source_rates(docs.select("source"), {"one": 9.0}, 1.0, 1e6).select("source", "parts", F.size("cdf").alias("n")).collect()
+    assert {r["source"]: r["n"] <= 300 for r in sizes} == {"one": True, "few": True, "many": True} and max(r["parts"] for r in sizes) > 10**6
+
+
+def test_rows_that_differ_in_where_a_null_stands(spark):
+    docs = spark.createDataFrame([(None, "s", "a", None), (None, "s", None, "a")] * 200, "doc_id long, source string, x string, y string")
+    got = Counter((r["x"], r["y"]) for r in mixing.mix_sources(docs, epochs=4.0).collect())
+    assert set(got) == {("a", None), (None, "a")} and all(n == pytest.approx(800, rel=0.2) for n in got.values())
