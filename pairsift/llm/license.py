@@ -2,10 +2,12 @@
 
 Every text's words give rolling hashes of two and of three words, which are joined with the places of the same
 hashes in the license templates. A hit at word p of a text and place q of a template votes for the diagonal p - q;
-votes are summed by (text, template, diagonal), diagonals of long templates that lie next to each other (words put
-in or left out) are merged, and a merged span counts if enough of the template's places were hit within a length
-that fits the template. Hits are verified on the words themselves, so hash collisions cost nothing but time.
-Phrases are templates whose one diagonal must be hit at every place.
+votes are gathered by (text, template, diagonal) as the set of places hit. Neighbouring diagonals (words put in or left
+out) are merged into spans: all that lie from one diagonal up to ``drift`` above it, so no span is longer than the
+template and ``drift`` words. A span is verified by its words, in order: going through the template's places, each
+counts once, and only if its words (the hits are verified on the words themselves, not on hashes) stand after those of
+the place counted before. It counts as a license if enough places are left. Phrases are templates whose one diagonal
+must be hit at every place.
 
 Texts are known by id and two hashes of the text; equal rows share their key, are scanned once each, and come out as
 often as they came in. Only hits and one row per text are shuffled. The templates are a parameter with a checked
@@ -38,28 +40,39 @@ class Template:
     base: bool = False  # an exact phrase, at every place where its words stand
 
 
-# License phrases and the opening sentences of common licenses.
+# License phrases, and sentences of common licenses and their notices.
 TEMPLATES = (
     Template("cc-by", "cc by", True),
     Template("gpl", "general public license", True),
     Template("reserved", "all rights reserved", True),
+    Template("agpl", "licensed under the gnu affero general public license"),
     Template("apache-2.0", "licensed under the apache license version 2 0"),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    Template("boost-1.0", "distributed under the boost software license version 1 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     Template("cc-by-nc", "licensed under cc by nc 4 0"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     Template("gpl-3", "licensed under the gnu general public license version 3"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     Template("lgpl", "licensed under the gnu lesser general public license"),
     Template("mit", "released under the mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("public-domain", "this is free and unencumbered software released into the public domain"),
+    Template("public-domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 
 @dataclass(frozen=True)
 class LicenseSettings:
-    drift: int = 3  # diagonals apart that are merged
-    coverage: float = 0.7  # of a long template's places
-    stretch: float = 1.5  # longest span, in template lengths
+    drift: int = 6  # diagonals above its own that a span takes in
+    coverage: float = 0.7  # of a template's places
 
 
 def _grams(template: Template) -> list[str]:
@@ -86,6 +99,18 @@ def _rolling(hashes: Column, k: int) -> Column:
     return F.transform(F.slice(hashes, F.lit(1), most), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + F.lit(j)) for j in range(1, k)]))
 
 
+def places_in_order(band: Column) -> Column:
+    """How many distinct places of (diagonal, places) are hit in order: each at its first word, after that of the place counted before."""
+    pairs = F.flatten(F.transform(band, lambda d: F.transform(d["places"], lambda q: F.struct(q.alias("place"), (d["diagonal"] + q).alias("p")))))
+    start = F.struct(F.lit(-1).alias("place"), F.lit(-1).alias("p"), F.lit(0).alias("n"))
+
+    def step(state: Column, pair: Column) -> Column:
+        counts = (pair["place"] != state["place"]) & (pair["p"] > state["p"])
+        return F.struct(pair["place"].alias("place"), F.when(counts, pair["p"]).otherwise(state["p"]).alias("p"), (state["n"] + counts.cast("int")).alias("n"))
+
+    return F.aggregate(F.array_sort(pairs), start, step, lambda state: state["n"])
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, settings: LicenseSettings = LicenseSettings()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of (doc_id, text)."""
     places = F.broadcast(template_places(docs.sparkSession, templates))
@@ -104,16 +129,16 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
 
     text = ["doc_id", "key1", "key2"]
     template = ["template", "label", "base", "t_words", "t_grams"]
-    votes = hits.select(*text, "n_words", *[F.when(F.col("hit"), F.col(c)).alias(c) for c in template], F.when(F.col("hit"), F.col("p") - F.col("place")).alias("diagonal"), (F.col("at") == 0).cast("int").alias("row"), "p", "size")
-    diagonals = votes.groupBy(*text, *template, "diagonal").agg(F.max("n_words").alias("n_words"), F.sum("row").alias("rows"), F.sum(1 - F.col("row")).alias("votes"), F.min("p").alias("low"), F.max(F.col("p") + F.col("size")).alias("high"))
-    whole = diagonals.withColumn("copies", F.sum("rows").over(W.partitionBy(*text)))
-    order = W.partitionBy(*text, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("base"), 0).otherwise(settings.drift), F.lit(True))
-    merged = whole.withColumn("span", F.sum(apart.cast("int")).over(order))
-    spans = merged.groupBy(*text, *template, "copies", "span").agg(F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("copies") / F.col("t_grams"))
-    fits = (F.col("high") - F.col("low")) <= F.col("t_words") * F.lit(settings.stretch)
-    found = spans.withColumn("share", share).withColumn("found", F.col("template").isNotNull() & F.when(F.col("base"), F.col("share") == 1.0).otherwise(fits & (F.col("share") >= settings.coverage)))
+    votes = hits.select(*text, "n_words", *[F.when(F.col("hit"), F.col(c)).alias(c) for c in template], F.when(F.col("hit"), F.col("p") - F.col("place")).alias("diagonal"), (F.col("at") == 0).cast("int").alias("row"), F.when(F.col("hit"), F.col("place")).alias("place"))
+    # a set, so copies of a text vote once
+    diagonals = votes.groupBy(*text, *template, "diagonal").agg(F.max("n_words").alias("n_words"), F.sum("row").alias("rows"), F.collect_set("place").alias("places"))
+    band = W.partitionBy(*text, "template").orderBy("diagonal").rangeBetween(0, settings.drift)
+    spans = diagonals.withColumns({"copies": F.sum("rows").over(W.partitionBy(*text)), "most": F.sum(F.size("places")).over(band), "band": F.collect_list(F.struct("diagonal", "places")).over(band)})
+    needed = F.col("t_grams") * settings.coverage
+    counted = F.when(F.col("base"), F.size("places")).when(F.col("most") >= needed, places_in_order(F.col("band"))).otherwise(0)
+    share = counted / F.col("t_grams")
+    found = spans.withColumn("share", share).withColumn("found", F.col("template").isNotNull() & F.when(F.col("base"), F.col("share") == 1.0).otherwise(counted >= needed))
+    found = found.withColumn("low", F.col("diagonal"))  # a phrase begins where its diagonal does
     base = F.col("found") & F.col("base")
 
     def joined(which: Column) -> Column:
@@ -150,16 +175,21 @@ w AS (
   UNION ALL
   SELECT row_no, p, 3, words[p + 1] || ' ' || words[p + 2] || ' ' || words[p + 3] FROM (SELECT row_no, words, unnest(range(len(words) - 2)) AS p FROM w)
 ), d AS (
-  SELECT row_no, template, label, base, t_words, t_grams, p - place AS diagonal, count(*) AS votes, min(p) AS low, max(p + size) AS high
-  FROM g JOIN t USING (gram, size) GROUP BY ALL
-), m AS (
-  SELECT *, sum(CASE WHEN diagonal - before > CASE WHEN base THEN 0 ELSE {settings.drift} END OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY row_no, template ORDER BY diagonal) AS span
-  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY row_no, template ORDER BY diagonal) AS before FROM d)
-), s AS (
-  SELECT row_no, label, base, t_words, least(1.0::DOUBLE, sum(votes)::DOUBLE / t_grams) AS share, min(low) AS low, max(high) AS high
-  FROM m GROUP BY row_no, template, label, base, t_words, t_grams, span
+  SELECT DISTINCT row_no, template, label, base, t_grams, place, p, p - place AS diagonal FROM g JOIN t USING (gram, size)
+), b AS (
+  SELECT row_no, label, count(*)::DOUBLE / t_grams AS share, diagonal AS low FROM d WHERE base GROUP BY row_no, template, label, t_grams, diagonal
+), n AS (
+  SELECT a.row_no, a.template, a.label, a.t_grams, a.diagonal, d.place, min(d.p) AS p
+  FROM (SELECT DISTINCT row_no, template, label, t_grams, diagonal FROM d WHERE NOT base) a
+  JOIN d ON d.row_no = a.row_no AND d.template = a.template AND d.diagonal BETWEEN a.diagonal AND a.diagonal + {settings.drift}
+  GROUP BY ALL
+), o AS (
+  SELECT *, p > coalesce(max(p) OVER (PARTITION BY row_no, template, diagonal ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS later FROM n
 ), f AS (
-  SELECT * FROM s WHERE CASE WHEN base THEN share = 1 ELSE high - low <= t_words * {settings.stretch}::DOUBLE AND share >= {settings.coverage}::DOUBLE END
+  SELECT row_no, label, true AS base, share, low FROM b WHERE share = 1
+  UNION ALL
+  SELECT row_no, label, false, count(*) FILTER (later)::DOUBLE / t_grams, diagonal FROM o GROUP BY row_no, template, label, t_grams, diagonal
+  HAVING count(*) FILTER (later) >= t_grams * {settings.coverage}::DOUBLE
 )
 SELECT any_value(w.doc_id) AS doc_id, any_value(len(w.words))::BIGINT AS n_words, count(*) FILTER (f.base) AS n_base,
        min(f.low) FILTER (f.base)::BIGINT AS first_word, max(f.low) FILTER (f.base)::BIGINT AS last_word,

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pairsift.llm import license as scan
@@ -43,7 +44,7 @@ def test_base_columns_equal_brute_force(spark, make_docs):
 
 
 def test_templates_with_changed_words(spark, make_docs):
-    words = scan.TEMPLATES[9].text.split()
+    words = next(t.text for t in scan.TEMPLATES if t.text.startswith("permission is hereby")).split()
     texts = [" ".join(words), " ".join(words[:6] + ["very", "new"] + words[6:]), " ".join(words[:5] + words[6:]), " ".join(words[: len(words) // 2]), " ".join(w for pair in zip(words, ["x"] * len(words)) for w in pair)]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan.scan_licenses(make_docs(list(enumerate(texts)))).collect()}
     assert got[0] == ("mit", 1.0)
@@ -51,6 +52,47 @@ def test_templates_with_changed_words(spark, make_docs):
     assert got[3] == got[4] == ("", 0.0)
 
 
+def brute_labels(text):
+    """Licenses by words: each span of a template's length and the drift, its places looked up in order."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    settings, best = scan.LicenseSettings(), {}
+    for t in scan.TEMPLATES:
+        own = t.text.split()
+        k = min(3, len(own))
+        grams = [own[i : i + k] for i in range(len(own) - k + 1)]
+        for d in range(-len(own), len(words)):
+            drift = 0 if t.base else settings.drift
+            last, n, any_here = -1, 0, False
+            for q, gram in enumerate(grams):
+                places = [p for p in range(max(0, d + q), d + q + drift + 1) if words[p : p + k] == gram]
+                any_here = any_here or (d + q >= 0 and words[d + q : d + q + k] == gram)
+                if places and places[0] > last:
+                    last, n = places[0], n + 1
+            if any_here and n >= len(grams) * (1.0 if t.base else settings.coverage):
+                best[t.label] = max(best.get(t.label, 0), n / len(grams))
+    return ",".join(sorted(best)), max(best.values(), default=0.0)
+
+
+def test_labels_equal_brute_force(spark, make_docs):
+    rng = random.Random(6)
+    texts = ["under the mit under the mit license", "Released under the MIT license the mit license the mit license", "mit license under the released"]
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            copy = rng.choice(scan.TEMPLATES).text.split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 2)] = rng.choices(["the", "license", "x", "software", "under"], k=rng.randint(0, 4))
+                copy = copy or ["x"]
+            words += copy * rng.choice([1, 1, 2]) + ["y"] * rng.randint(0, 3)
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan.scan_licenses(make_docs(list(enumerate(texts)))).collect()}
+    want = {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert {i: (labels, round(score, 9)) for i, (labels, score) in got.items()} == {i: (labels, round(score, 9)) for i, (labels, score) in want.items()}
+    assert got[0] == ("", 0.0) and got[1] == ("mit", 1.0) and got[2] == ("", 0.0)
+    assert len({labels for labels, _ in got.values()}) > 15
+
+
 def test_repeated_rows_and_null_ids(spark, make_docs):
     rows = [(1, "cc by")] * 3 + [(None, "cc by"), (None, "cc by"), (None, None), (1, "other text")]
     got = sorted(((r["doc_id"], r["n_base"]) for r in scan.scan_licenses(make_docs(rows)).collect()), key=str)
