@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, so that temporaries stay small.
 SLICE_BYTES = 1 << 19
 #: Samples are drawn by a hash modulo this.
 DRAWS = 1 << 40
+#: Keys that more rows have than this, and more than one in HOT_KEYS of all rows, are joined apart.
+HOT_ROWS, HOT_KEYS = 256, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,26 +31,111 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the folder all executors share (set by the cluster, or by us where unset)."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder the session has been given.
+
+    Where neither is set, a local session uses a temporary folder; on a cluster that is an error, as executors have no
+    folder in common.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if root is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="pairsift-")
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or "/tmp/checkpoints")
+        context.setCheckpointDir(root)
+    _deleted_at_exit(spark, context.getCheckpointDir())
+    return root.rstrip("/")
+
+
+_LEAVING: set[str] = set()
+
+
+def _deleted_at_exit(spark: SparkSession, path: str) -> None:
+    if path in _LEAVING:
+        return
+    _LEAVING.add(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, kept in the folder all executors share."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Folders of tables written since a scope began, innermost scope last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; whatever still needs them must have been written elsewhere."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            delete_folder(spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder; for wide rows it takes less disk than a checkpoint."""
     spark = df.sparkSession
     folder = shared_folder(spark)
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """A new folder for a table; what is left there is deleted when the driver ends."""
+    folder = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
+    _deleted_at_exit(spark, folder)
+    return folder
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """key and salts of the keys that have more than their share of rows; None if there are none.
+
+    A key is hot if it has more than one in ``HOT_KEYS`` of all rows, so there are fewer hot ones, whatever the size, and
+    they can be broadcast. Each salt stands for no more rows than that share.
+    """
+    total, top = counts.agg(F.sum(n), F.max(n)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (top or 0) <= limit:
+        return None
+    return counts.filter(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("salts"))
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined by a key with ``lookup`` (one row a key); the rows of hot keys are dealt to several tasks, each with a copy of the lookup's row."""
+    if hot is None:
+        return rows.join(lookup, key)
+    several = F.coalesce("salts", F.lit(1))
+    # the partition too, as all columns may be alike
+    place = F.xxhash64(F.spark_partition_id(), *rows.columns)
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(place, several).cast("int")).drop("salts")
+    copied = lookup.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), several - 1))).drop("salts")
+    return salted.join(copied, [key, "salt"]).drop("salt")
+
+
+def over_key(rows: DataFrame, key: str, sums: dict[str, Column], hot: Column) -> DataFrame:
+    """``rows`` with aggregates over all rows of the same key; those of hot keys by partial sums, which are joined as a broadcast.
+
+    ``hot`` tells the rows of keys that many rows share; there must be few such keys, and only speed depends on which.
+    """
+    plain = rows.filter(~hot).withColumns({name: value.over(W.partitionBy(key)) for name, value in sums.items()})
+    crowded = rows.filter(hot)
+    return plain.unionByName(crowded.join(F.broadcast(crowded.groupBy(key).agg(*[value.alias(name) for name, value in sums.items()])), key).select(*plain.columns))
 
 
 def boxed(docs: DataFrame, *more: Column) -> DataFrame:

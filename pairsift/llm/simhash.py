@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, flat, mixed, table, written
+from .common import checkpointed, flat, hot_keys, join_hot, mixed, table, written
 from .components import components
 
 
@@ -150,10 +150,11 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, fingerprints linked at 4 or fewer bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT.shingle).alias("f0"))
     docs = written(docs)
-    nodes = checkpointed(docs.groupBy("f0").agg(F.min("doc_id").alias("low")))
+    nodes = checkpointed(docs.groupBy("f0").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
     links = near_links(nodes.select("f0"), CONTRACT)
     roots = components(links)
-    linked = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low", F.coalesce("root", "f0").alias("root"))
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = linked.join(lows, "root").select("f0", "component_id")
-    return docs.join(found, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    linked = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low", "copies", F.coalesce("root", "f0").alias("root"))
+    linked = checkpointed(linked)
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    found = checkpointed(join_hot(linked, lows.drop("n"), "root", hot_keys(lows, "root", "n")).select("f0", "copies", "component_id"))
+    return join_hot(docs, found.drop("copies"), "f0", hot_keys(found, "f0", "copies")).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")

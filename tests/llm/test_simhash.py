@@ -5,8 +5,18 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pairsift.llm import common, neardup, simhash
 from pairsift.llm import components as cc
-from pairsift.llm import neardup, simhash
+
+
+@pytest.fixture
+def hot(monkeypatch):
+    """Every key that two rows share is a hot one."""
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "HOT_ROWS", 1)
+        monkeypatch.setattr(module, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(neardup, "SAMPLE", 1)
+    monkeypatch.setattr(neardup, "PAIR_BLOCK", 3)
 
 
 def fp(text):
@@ -196,3 +206,50 @@ def test_no_pair_that_differs_by_a_block_is_missed(spark):
     want = {(a, b) for a in node for b in node if a < b and similar(a, b)}
     assert len(want) > 140
     assert {tuple(sorted(r)) for r in links.collect()} == want
+
+
+def test_hot_keys_give_the_same(spark, make_docs, tmp_path, hot):
+    test_query_equals_brute_force(spark, make_docs, tmp_path)
+    test_components(spark)
+    test_large_near_group_is_connected(spark)
+    test_no_pair_that_differs_by_a_block_is_missed(spark)
+
+
+def test_joins_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 900 else 10 + i, i % 2) for i in range(1000)], "k long, x int")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    found = common.hot_keys(counts, "k", "n")
+    assert {r["k"]: r["salts"] for r in found.collect()} == {0: 2, 1: 2, 2: 2}
+    lookup = counts.select("k", (F.col("k") * 2).alias("twice"))
+    got = common.join_hot(rows, lookup, "k", found)
+    assert got.count() == 1000 and got.filter("twice <> 2 * k").count() == 0 and got.columns == ["k", "x", "twice"]
+    assert common.hot_keys(counts.filter("k > 2"), "k", "n") is None and common.hot_keys(counts.limit(0), "k", "n") is None
+    sums = common.over_key(rows, "k", {"n": F.count("*"), "most": F.max("x")}, F.col("k") < 2)
+    assert sorted(sums.select("k", "n", "most").distinct().filter("k < 11").collect()) == [(0, 300, 1), (1, 300, 1), (2, 300, 1)] and sums.count() == 1000
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    with common.scratch(spark):
+        kept = common.written(spark.range(3).toDF("x"))
+        folder = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("///", "/")
+        assert os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_root(Session())
