@@ -150,7 +150,9 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, fingerprints linked at 4 or fewer bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT.shingle).alias("f0"))
     docs = written(docs)
-    nodes = checkpointed(docs.groupBy("f0").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
+    # each fingerprint makes 64 keys, so few bytes of them are much work: they are dealt to all tasks
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nodes = checkpointed(docs.groupBy("f0").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")).repartition(parts, "f0"))
     links = near_links(nodes.select("f0"), CONTRACT)
     roots = components(links)
     linked = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low", "copies", F.coalesce("root", "f0").alias("root"))
