@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import limit_batches, table
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
@@ -133,6 +133,7 @@ def _arrow(ddl: str) -> pa.DataType:
 
 def format_conversations(rows: DataFrame, settings: ChatSettings = ChatSettings()) -> DataFrame:
     """conv_id, formatted, spans, attachments and tokens from rows of (conv_id, turn, role, parts)."""
+    limit_batches(rows.sparkSession)
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
     kind = _arrow(_FORMATTED)
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, so that temporaries stay small.
 SLICE_BYTES = 1 << 19
+#: Texts of one Arrow batch, together.
+BATCH_BYTES = 1 << 23
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Samples are drawn by a hash modulo this.
 DRAWS = 1 << 40
 #: Keys that more rows have than this, and more than one in HOT_KEYS of all rows, are joined apart.
@@ -143,6 +146,17 @@ def boxed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES`` from here on, unless the session has a smaller limit: Python and the JVM each keep some copies of a batch."""
+    if spark.conf.get(_BATCH, None) is None or _bytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def _bytes(size: str) -> int:
+    text = size.strip().lower().removesuffix("b")
+    return int(text[:-1]) << 10 * (1 + "kmgt".index(text[-1])) if text[-1] in "kmgt" else int(text)
+
+
 def bounded_sample(rows: DataFrame, most_bytes: int) -> pa.Table:
     """The rows (text, at and others) on the driver, in the order of ``at``; whole texts, as many as fit in ``most_bytes`` together, and one at least."""
     kept = rows.persist()

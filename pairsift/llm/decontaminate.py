@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_KINDS, boxed, flat, shingles_of, slices, table, words_of
+from .common import BYTE_KINDS, boxed, flat, limit_batches, shingles_of, slices, table, words_of
 
 WORD_BYTES = BYTE_KINDS == 1
 POPULAR = 1 << 20  # bits of the table that says which shingles may be an item's
@@ -172,6 +172,7 @@ _LEAKS = "doc_id long, item_id long, similarity double, first_word long, n_words
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings()) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words and bits of each item's best window in each text of (doc_id, text)."""
+    limit_batches(docs.sparkSession)
     out = None
     for items in benchmark_blocks(benchmark, settings):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # built from at most about block_bytes of text
@@ -192,6 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = L
 
 def leaking(spark: SparkSession, items: Benchmark, text: str = "text") -> Column:
     """A boolean column: whether a text holds any of the items."""
+    limit_batches(spark)
     shared = spark.sparkContext.broadcast(items)
 
     def leaks(texts: pa.Array) -> pa.Array:

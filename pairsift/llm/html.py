@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import limit_batches, table
 
 # HTML element names and the usual names of page parts.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -260,6 +260,7 @@ def main_text(pages: DataFrame, group: int = 400) -> DataFrame:
 
     ``group`` pages or more are a range, the result is the same for all.
     """
+    limit_batches(pages.sparkSession)
     rows = placed(pages)
     tasks = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = range_ends(rows, min(MOST_RANGES, -(-pages.count() // group)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DRAWS, bounded_sample, boxed, flat, id_remainder, mixed, slices, sparse_rows, table
+from .common import DRAWS, bounded_sample, boxed, flat, id_remainder, limit_batches, mixed, slices, sparse_rows, table
 from .ftrl import Examples, FtrlProximal, best_temperature, probabilities
 
 UNKNOWN = "und"
@@ -110,6 +110,7 @@ def document_frequencies(texts: DataFrame, settings: LanguageSettings) -> tuple[
 
 def train_language_model(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), learn: Column | None = None) -> LanguageModel:
     """Fit on the rows of (doc_id, text, lang) for which ``learn`` holds; by default id remainder modulo 4 is not 2."""
+    limit_batches(docs.sparkSession)
     learn = id_remainder("doc_id", 4) != 2 if learn is None else learn
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("at"))
     n, frequencies = document_frequencies(rows.select("text"), settings)
@@ -146,6 +147,7 @@ def train_language_model(docs: DataFrame, settings: LanguageSettings = LanguageS
 
 def predict_languages(spark: SparkSession, model: LanguageModel, text: str = "text") -> Column:
     """A struct column (lang, score) of the text column."""
+    limit_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**bits weights for each language, whatever the data
 
     def predict(texts: pa.Array) -> pa.Array:

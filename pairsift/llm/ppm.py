@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, flat, id_remainder, slices, table, written
+from .common import checkpointed, flat, id_remainder, limit_batches, slices, table, written
 
 END, BEGIN, SYMBOL = 256, 257, 9  # marks, and bits of a symbol
 CHUNK_BYTES, ROWS_A_PACK = 1 << 25, 1 << 20
@@ -298,6 +298,7 @@ _SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens
 
 def corpus_scores(docs: DataFrame, settings: PpmSettings = PpmSettings()) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of rows (doc_id, text, train)."""
+    limit_batches(docs.sparkSession)
     order = settings.order
     chunks = written(packed_texts(docs))
     counts = written(chunk_counts(chunks, order))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_KINDS, DRAWS, LOWER_BYTES, bounded_sample, boxed, flat, id_remainder, mixed, run_hashes, slices, sparse_rows, table
+from .common import BYTE_KINDS, DRAWS, LOWER_BYTES, bounded_sample, boxed, flat, id_remainder, limit_batches, mixed, run_hashes, slices, sparse_rows, table
 from .ftrl import Examples, FtrlProximal, probabilities
 
 
@@ -94,6 +94,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, settings: QualitySet
 
 def quality_scores(spark: SparkSession, model: QualityModel, text: str = "text") -> Column:
     """A double column: the probability of label 1."""
+    limit_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**bits weights, whatever the data
 
     def score(texts: pa.Array) -> pa.Array:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, flat, hot_keys, join_hot, mixed, table, written
+from .common import checkpointed, flat, hot_keys, join_hot, limit_batches, mixed, table, written
 from .components import components
 
 
@@ -148,6 +148,7 @@ def near_links(nodes: DataFrame, settings: SimHashSettings) -> DataFrame:
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, fingerprints linked at 4 or fewer bits."""
+    limit_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT.shingle).alias("f0"))
     docs = written(docs)
     # each fingerprint makes 64 keys, so few bytes of them are much work: they are dealt to all tasks
