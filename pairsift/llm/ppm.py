@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, flat, id_remainder, limit_batches, slices, table, written
 
 END, BEGIN, SYMBOL = 256, 257, 9  # marks, and bits of a symbol
-CHUNK_BYTES, ROWS_A_PACK = 1 << 25, 1 << 20
+CHUNK_BYTES, ROWS_A_PACK, GROUP_ROWS = 1 << 25, 1 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -197,24 +197,40 @@ class Level:
         return self.counts[at], self.total[context], self.distinct[context], self.below[context]
 
 
-def pair_log10(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
-    """log10 probability of each pair. The grams hold all that share their last two context bytes; ``pairs`` counts (byte, byte) over everything."""
+def low_bits(keys: np.ndarray, symbols: int) -> np.ndarray:
+    return keys & np.uint64((1 << SYMBOL * symbols) - 1)
+
+
+def pair_log10(grams: np.ndarray, counts: np.ndarray, shorter: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+    """log10 probability of each pair. The grams hold all that share all but the first of their context bytes.
+
+    ``shorter``: a row (count, total, distinct, below) of each gram at every context length from 2 to order - 2.
+    ``pairs`` counts (byte, byte) over everything.
+    """
     singles = pairs.sum(axis=0)
+    seen = pairs > 0
+    totals, kinds_of, belows = pairs.sum(axis=1), seen.sum(axis=1), (seen * singles).sum(axis=1)
     levels: dict[int, Level] = {}
-    for j in range(2, order + 1):
-        keys, sums = _counted(grams & np.uint64((1 << SYMBOL * (j + 1)) - 1), counts)
-        short = keys & np.uint64((1 << SYMBOL * j) - 1)
-        below = pairs[(short >> np.uint64(SYMBOL)).astype(np.int64), (short & np.uint64(511)).astype(np.int64)] if j == 2 else levels[j - 1].of(short)[0]
+    for j in range(max(2, order - 1), order + 1):
+        keys, first = np.unique(low_bits(grams, j + 1), return_index=True)
+        sums = np.bincount(np.searchsorted(keys, low_bits(grams, j + 1)), counts)
+        if j == order and order > 2:
+            below = levels[j - 1].of(low_bits(keys, j))[0]
+        elif j == 2:
+            below = pairs[((keys >> np.uint64(SYMBOL)) & np.uint64(511)).astype(np.int64), (keys & np.uint64(511)).astype(np.int64)]
+        else:
+            below = shorter[first, j - 3, 0]
         levels[j] = Level(keys, sums, below)
     byte, last = (grams & np.uint64(511)).astype(np.int64), ((grams >> np.uint64(SYMBOL)) & np.uint64(511)).astype(np.int64)
     out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
     less_total, less_distinct = np.zeros(len(grams)), np.zeros(len(grams))
     for j in range(order, -1, -1):
-        if j >= 2:
-            count, total, distinct, below = levels[j].of(grams & np.uint64((1 << SYMBOL * (j + 1)) - 1))
+        if j in levels:
+            count, total, distinct, below = levels[j].of(low_bits(grams, j + 1))
+        elif j >= 2:
+            count, total, distinct, below = shorter[:, j - 2].T
         elif j == 1:
-            seen = pairs > 0
-            count, total, distinct, below = pairs[last, byte], pairs.sum(axis=1)[last], seen.sum(axis=1)[last], (seen * singles).sum(axis=1)[last]
+            count, total, distinct, below = pairs[last, byte], totals[last], kinds_of[last], belows[last]
         else:
             count, total, distinct = singles[byte], np.full(len(grams), singles.sum()), np.full(len(grams), (singles > 0).sum())
             below = distinct * 0
@@ -230,24 +246,73 @@ def pair_log10(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order:
     return out
 
 
+def _low(column: str, symbols: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << SYMBOL * symbols) - 1))
+
+
+def short_level(sums: DataFrame, size: int) -> DataFrame:
+    """(key, level): of every pair with ``size`` context bytes its count, and total, distinct and below of its context.
+
+    A context has at most 257 pairs, and a pair at most 258 with one byte less before it, so no key is a hot one.
+    """
+    counts = sums.groupBy(_low("gram", size + 1).alias("key")).agg(F.sum("n").alias("n"))
+    shorter = counts.withColumn("short", F.sum("n").over(W.partitionBy(_low("key", size)))) if size > 2 else counts.join(
+        F.broadcast(sums.groupBy(_low("gram", 2).alias("last")).agg(F.sum("n").alias("short"))), _low("key", 2) == F.col("last")
+    )
+    context = W.partitionBy(F.shiftright("key", SYMBOL))
+    level = F.array(*[x.cast("double") for x in (F.col("n"), F.sum("n").over(context), F.count_if(F.col("n") > 0).over(context), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("short"))).over(context), F.lit(0)))])
+    return shorter.select("key", level.alias("level"))
+
+
 def pair_table(grams: DataFrame, order: int) -> DataFrame:
-    """(gram, value): log10 probability of every distinct pair of (gram, n)."""
+    """(gram, value): log10 probability of every distinct pair of (gram, n).
+
+    Sums of the shorter contexts come as columns; the two longest ones are worked out where all grams lie that share
+    all but their first context byte. Those are at most 258 times 257, so what a task holds at once is bounded.
+    """
     sums = written(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    short = sums.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 2 * SYMBOL) - 1)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    short = sums.groupBy(_low("gram", 2).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros((512, 512), np.int64)  # byte pairs: at most 258 * 257
     keys = short["pair"].to_numpy()
     pairs[keys >> SYMBOL, keys & 511] = short["n"].to_numpy()
     shared = grams.sparkSession.sparkContext.broadcast(pairs)
+    levels = range(2, order - 1)
+    found = sums
+    for j in levels:
+        found = found.join(short_level(sums, j).withColumnsRenamed({"key": f"key{j}", "level": f"level{j}"}), _low("gram", j + 1) == F.col(f"key{j}")).drop(f"key{j}")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if parts:
-            keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(pair_log10(keys, n, shared.value, order))], ["gram", "value"])
+        held: list[tuple[np.ndarray, ...]] = []
+        size = last = 0
+
+        def out() -> pa.RecordBatch:
+            keys, n, shorter = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(pair_log10(keys, n, shorter, shared.value, order))], ["gram", "value"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy().astype(np.uint64)
+            shorter = np.stack([batch.column(2 + i).flatten().to_numpy().reshape(-1, 4) for i in range(len(levels))], axis=1) if levels else np.zeros((len(keys), 0, 4))
+            rows = (keys, batch.column(1).to_numpy(), shorter)
+            group = low_bits(keys >> np.uint64(SYMBOL), max(1, order - 1))
+            # rows come sorted by group, so the last group held goes on at the start of the batch, if anywhere
+            edge = int((group == last).sum()) if held else 0
+            if size >= GROUP_ROWS and edge < len(group):
+                held.append(tuple(x[:edge] for x in rows))
+                yield out()
+                held, size, rows = [], 0, tuple(x[edge:] for x in rows)
+            held.append(rows)
+            size += len(rows[0])
+            last = group[-1]
+        if held:
+            yield out()
 
-    context = F.shiftright("gram", SYMBOL).bitwiseAND(F.lit((1 << 2 * SYMBOL) - 1))
+    # a number of the context without its first byte
+    context = F.shiftright("gram", SYMBOL).bitwiseAND(F.lit((1 << SYMBOL * max(1, order - 1)) - 1))
     parts = max(1, int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sums.repartition(parts, context).select("gram", "n").mapInArrow(values, "gram long, value double")
+    dealt = found.withColumn("context", context).repartition(parts, "context").sortWithinPartitions("context")
+    return dealt.select("gram", "n", *[f"level{j}" for j in levels]).mapInArrow(values, "gram long, value double")
 
 
 # ---------------------------------------------------------------- scores
@@ -323,9 +388,10 @@ def corpus_scores(docs: DataFrame, settings: PpmSettings = PpmSettings()) -> Dat
             _, texts = chunk.words()
             sums = np.zeros(len(texts))
             for first, grams, owner in chunk.grams(order):
-                keys = np.sort((grams << np.uint64(12)) | owner.astype(np.uint64))
-                found = values[np.searchsorted(pairs, (keys >> np.uint64(12)).astype(np.int64))]
-                part = np.bincount((keys & np.uint64(4095)).astype(np.int64), found)
+                if order <= 4:  # in one number, which sorts fastest
+                    keys = np.sort((grams << np.uint64(12)) | owner.astype(np.uint64))
+                    grams, owner = keys >> np.uint64(12), (keys & np.uint64(4095)).astype(np.int64)
+                part = np.bincount(owner, values[np.searchsorted(pairs, grams.astype(np.int64))])
                 sums[first : first + len(part)] = part
             n = np.array([len(t) + 1 for t in texts], np.int64)
             hits = np.array([int((known[t] > 0).sum()) for t in texts], np.int64) + int(known[-1] > 0)
