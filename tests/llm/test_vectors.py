@@ -24,7 +24,9 @@ def check(spark, rows, k=5, every=3):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CHUNK_ROWS", 40)
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(vectors, "AT_ONCE", 3)
+    monkeypatch.setattr(vectors, "PACK_CHUNKS", 2)
     monkeypatch.setattr(vectors, "CHUNKS_A_GROUP", 2)
     rng = np.random.default_rng(2)
     check(spark, [(i, rng.normal(0, 0.3, 24).astype(np.float32).tolist()) for i in range(230)])
@@ -99,6 +101,34 @@ def test_pruning_leaves_few():
     assert best.survivors < 0.6 * 20 * 4000
 
 
+def test_chunks_that_no_query_needs_are_not_sent(spark, monkeypatch, request):
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(9)
+    centres = np.repeat(rng.choice([-1.0, 1.0], (12, 16)), 4, axis=1)
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.05, 64)).astype(np.float32).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], KIND)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")  # a range each, so chunks of fifty
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    chunks = vectors.checkpointed(vectors.packed(vectors.in_order(frame.select("vec_id", "embedding")), 256.0))
+    blocks = vectors.checkpointed(vectors.query_blocks(vectors.home_queries(chunks, 3, 5)))
+    sent, all_ = vectors.meetings(chunks, blocks).count(), chunks.count() * blocks.count()
+    assert blocks.count() > 5 and sent < 0.4 * all_
+    check(spark, rows)
+
+
+def test_ranges_bound_every_product():
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e3):
+        data, queries = np.floor(scale * rng.normal(1, 3, (500, 37))), np.floor(scale * rng.normal(-1, 3, (20, 37)))
+        stats = vectors.segment_statistics(data, 16)
+        n = stats.shape[1] // 2
+        ranges = np.concatenate([stats[:, :n].min(axis=0), stats[:, :n].max(axis=0), stats[:, n:].max(axis=0)])[None, :]
+        top = (queries @ data.T).max(axis=1)
+        assert all(vectors.may_hold(q[None, :], np.array([t]), ranges)[0] for q, t in zip(queries, top, strict=True))
+    assert not vectors.may_hold(queries, top * 100 + 1e9, ranges)[0]
+
+
 def test_query_equals_sql(spark):
     pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
