@@ -162,6 +162,14 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scores, under
 
 
+def spans(ids: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
+    """(places, ids, vectors, statistics at each level) of some candidates at a time; those of large norms first, so that thresholds rise early."""
+    order = np.argsort(-norms(values), kind="stable")
+    for low in range(0, len(order), SPAN):
+        part = order[low : low + SPAN]
+        yield part, ids[part], values[part], [segment_statistics(values[part], level) for level in LEVELS]
+
+
 class Best:
     """The k best candidates of each query of a block so far."""
 
@@ -174,34 +182,42 @@ class Best:
         self.floor = np.full(len(values), -np.inf) if floor is None else floor.copy()
         self.survivors = 0
 
-    def meet(self, chunk: int, ids: np.ndarray, values: np.ndarray) -> None:
-        # candidates with large norms first: thresholds rise early
-        order = np.argsort(-norms(values), kind="stable")
-        for low in range(0, len(order), SPAN):
-            part = order[low : low + SPAN]
-            self._meet(chunk, part, ids[part], values[part])
-
-    def _meet(self, chunk: int, ats: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+    def _exact(self, open_: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, candidate, score, whether it is below the range of a long) of the open pairs."""
+        rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if not len(rows):
+            return
+        a, b = self.values[rows], values[columns]
+        if values.shape[1] * np.abs(b).max(initial=0).astype(float) * np.abs(a).max(initial=0) < 2**52:
+            # doubles hold these sums exactly, and a product of matrices is the fastest way to some of its places
+            scores = (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+            wanted = open_[np.ix_(rows, columns)] & ~(scores < self.floor[rows][:, None])
+            r, c = np.nonzero(wanted)
+            yield rows[r], columns[c], scores[r, c], np.zeros(len(r), bool)
+            return
+        r, c = np.nonzero(open_)
+        for low in range(0, len(r), 65536):
+            part = slice(low, low + 65536)
+            yield r[part], c[part], *exact_scores(self.values[r[part]], values[c[part]])
+
+    def meet(self, chunk: int, ats: np.ndarray, ids: np.ndarray, values: np.ndarray, stats: list[np.ndarray]) -> None:
+        """Hold the queries against some candidates of a chunk."""
         open_ = np.ones((len(self.values), len(ids)), bool)
         open_[(self.chunks == chunk)[:, None] & (self.ats[:, None] == ats[None, :])] = False
-        for level, mine in zip(LEVELS, self.stats, strict=True):
+        for mine, theirs in zip(self.stats, stats, strict=True):
             rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
             if not len(rows):
                 return
             with np.errstate(over="ignore", invalid="ignore"):
-                bound = mine[rows] @ segment_statistics(values[columns], level).T
+                bound = mine[rows] @ theirs[columns].T
                 bound += 1e-9 * np.abs(bound) + 1e-6
                 # a bound that overflowed to no number excludes nothing
                 open_[np.ix_(rows, columns)] &= ~(bound < self.floor[rows][:, None])
-        rows, columns = np.nonzero(open_)
-        self.survivors += len(rows)
-        small = values.shape[1] * np.abs(values).max(initial=0).astype(float) * np.abs(self.values).max(initial=0) < 2**52
-        for low in range(0, len(rows), 65536):
-            r, c = rows[low : low + 65536], columns[low : low + 65536]
-            if small:
-                scores, under = np.einsum("ij,ij->i", self.values[r].astype(np.float64), values[c].astype(np.float64)).astype(np.int64), np.zeros(len(r), bool)
-            else:
-                scores, under = exact_scores(self.values[r], values[c])
+        self.survivors += int(open_.sum())
+        for r, c, scores, under in self._exact(open_, values):
+            # what is below the threshold is not among the best; equal scores may be, by their ids
+            good = under | ~(scores < self.floor[r])
+            r, c, scores, under = r[good], c[good], scores[good], under[good]
             query, found = np.concatenate([self.query, r]), np.concatenate([self.ids, ids[c]])
             scores, under = np.concatenate([self.scores, scores]), np.concatenate([self.under, under])
             order = np.lexsort((found, ~scores, under, query))
@@ -226,8 +242,9 @@ def home_queries(chunks: DataFrame, every: int, k: int) -> DataFrame:
                 ats = np.flatnonzero(ids % every == 0).astype(np.int32)
                 if len(ats):
                     floors = [Best(np.full(len(part), chunk), part, values[part], k) for part in np.array_split(ats, -(-len(ats) // AT_ONCE))]
-                    for best in floors:
-                        best.meet(chunk, ids, values)
+                    for span in spans(ids, values):
+                        for best in floors:
+                            best.meet(chunk, *span)
                     out = (size, values.dtype == np.float64, chunk, ats.tobytes(), ids[ats].tobytes(), values[ats].tobytes(), np.concatenate([best.floor for best in floors]).tobytes())
                     kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, kinds, strict=True)], [c.split()[0] for c in _QUERIES.split(", ")])
@@ -323,13 +340,15 @@ def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0) -> DataF
         for q in left.to_pylist():
             q_ids, q_values = _matrix(q["size"], q["q_ids"], q["q_vectors"])
             q_chunks, q_ats, floors = np.frombuffer(q["q_chunks"], np.int64), np.frombuffer(q["q_ats"], np.int32), np.frombuffer(q["q_floors"], np.float64)
-            for low in range(0, len(q_ids), AT_ONCE):
-                here = slice(low, low + AT_ONCE)
-                best = Best(q_chunks[here], q_ats[here], q_values[here], k, floors[here])
-                for i in np.argsort(right["chunk"].to_numpy()):
-                    best.meet(right["chunk"][i].as_py(), *_matrix(q["size"], right["ids"][i].as_py(), right["vectors"][i].as_py()))
+            parts = [slice(low, low + AT_ONCE) for low in range(0, len(q_ids), AT_ONCE)]
+            bests = [Best(q_chunks[x], q_ats[x], q_values[x], k, floors[x]) for x in parts]
+            for i in np.argsort(right["chunk"].to_numpy()):
+                for span in spans(*_matrix(q["size"], right["ids"][i].as_py(), right["vectors"][i].as_py())):
+                    for best in bests:
+                        best.meet(right["chunk"][i].as_py(), *span)
+            for x, best in zip(parts, bests, strict=True):
                 at = best.query
-                found.append(pa.table({"chunk": best.chunks[at], "at": best.ats[at].astype(np.int32), "query_id": q_ids[here][at], "vec_id": best.ids, "score": pa.array(best.scores, mask=best.under)}))
+                found.append(pa.table({"chunk": best.chunks[at], "at": best.ats[at].astype(np.int32), "query_id": q_ids[x][at], "vec_id": best.ids, "score": pa.array(best.scores, mask=best.under)}))
         return pa.concat_tables(found) if found else pa.table({n: pa.array([], t) for n, t in (("chunk", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()))})
 
     queries = needed.select(*key).distinct().join(blocks, ["block", "size", "q_wide"]).groupBy(*key)

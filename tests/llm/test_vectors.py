@@ -97,7 +97,8 @@ def test_pruning_leaves_few():
     centres = rng.normal(0, 1, (8, 64))
     data = np.floor(256 * (centres[rng.integers(0, 8, 4000)] + rng.normal(0, 0.1, (4000, 64)))).astype(np.int32)
     best = vectors.Best(np.zeros(20, np.int64), np.arange(20, dtype=np.int32), data[:20], 5)
-    best.meet(0, np.arange(4000), data)
+    for span in vectors.spans(np.arange(4000), data):
+        best.meet(0, *span)
     assert best.survivors < 0.6 * 20 * 4000
 
 
