@@ -1,8 +1,8 @@
 """Exact statistics of score columns.
 
-Reported statistics are one aggregate. Thresholds need order statistics: they are found by narrowing, counting
-equal-width buckets of the range and going on inside the bucket that holds the rank, so no task and no driver ever
-holds more than some thousand values, however many there are.
+Thresholds and reported percentiles are order statistics. They are found by narrowing, for all groups at once: count
+equal-width buckets of the range and go on inside the bucket that holds the rank, so no task and no driver ever holds
+more than some thousand values a group, however many there are.
 """
 
 from __future__ import annotations
@@ -12,24 +12,36 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 PERCENTILES = {"p50": 50.0, "p90": 90.0, "p95": 95.0, "p99": 99.0, "p99_5": 99.5}
 CLIFF_PERCENTILES = (90.0, 95.0, 99.0, 99.5, 99.9)
 BUCKETS, ENOUGH = 1024, 4096
 
 
-def stats_columns(value: Column | str) -> list[Column]:
-    """mean, population std, min, max and percentiles, for one ``agg``; all null over no rows."""
-    value = F.col(value) if isinstance(value, str) else value
-    several = F.percentile(value, [p / 100 for p in PERCENTILES.values()])
-    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.get(several, F.lit(i)).alias(name) for i, name in enumerate(PERCENTILES)]]
+def _moments(value: str) -> list[Column]:
+    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+
+
+def grouped_stats(df: DataFrame, value: str, key: str, *more: Column) -> DataFrame:
+    """A row for each key: mean, population std, min, max, percentiles and further aggregates. There must be few keys (they are worked on by the driver)."""
+    rows = df.withColumn(value, F.col(value).cast("double"))
+    base = rows.groupBy(key).agg(*_moments(value), *more, F.count(value).alias("__n"))
+    found = base.collect()
+    groups = {r[key]: (r["__n"], r["min"], r["max"]) for r in found if r["__n"]}
+    values = grouped_percentiles(rows, value, list(PERCENTILES.values()), groups, key)
+    kept = [f for f in base.schema if f.name != "__n"]
+    schema = StructType([*kept, *[StructField(name, DoubleType()) for name in PERCENTILES]])
+    out = [(*[r[f.name] for f in kept], *values.get(r[key], [None] * len(PERCENTILES))) for r in found]
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def score_stats(df: DataFrame, value: str) -> DataFrame:
     """One row of statistics; ValueError over no values."""
-    if not df.filter(F.col(value).isNotNull()).take(1):
+    one = grouped_stats(df.select(F.col(value), F.lit(0).alias("__key")).filter(F.col(value).isNotNull()), value, "__key").drop("__key")
+    if not one.take(1):
         raise ValueError("cannot compute statistics of an empty column")
-    return df.agg(*stats_columns(value))
+    return one
 
 
 def _check(percentiles: list[float]) -> None:
@@ -37,38 +49,51 @@ def _check(percentiles: list[float]) -> None:
         raise ValueError("percentiles must be between 0 and 100")
 
 
-def _ranked(df: DataFrame, value: str, ranks: list[int], low: float, high: float, before: int) -> dict[int, float]:
-    """The values at these ranks (from 0) among those in [low, high], of which ``before`` values are smaller."""
-    held = df.filter((F.col(value) >= low) & (F.col(value) <= high))
-    if low == high:
-        return dict.fromkeys(ranks, low)
-    width = (high - low) / BUCKETS
-    if width == 0 or low + width == low:
-        rows = held.groupBy(value).agg(F.count("*").alias("n")).collect()  # neighbours in floating point
-        return _pick({r[0]: r["n"] for r in rows}, ranks, before)
-    bucket = F.least(F.floor((F.col(value) - low) / width), F.lit(BUCKETS - 1))
-    counts = sorted(held.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect())
-    found: dict[int, float] = {}
-    at = before
-    for row in counts:
-        mine = [r for r in ranks if at <= r < at + row["n"]]
-        if mine and row["low"] == row["high"]:
-            found |= dict.fromkeys(mine, row["low"])
-        elif mine and row["n"] <= ENOUGH:
-            inside = held.filter((F.col(value) >= row["low"]) & (F.col(value) <= row["high"])).groupBy(value).agg(F.count("*").alias("n")).collect()
-            found |= _pick({r[0]: r["n"] for r in inside}, mine, at)
-        elif mine:
-            found |= _ranked(df, value, mine, row["low"], row["high"], at)
-        at += row["n"]
+def order_statistics(df: DataFrame, value: str, wanted: dict, bounds: dict, key: str | None = None) -> dict:
+    """Of each key the values at its ranks (``wanted``: key to ranks from 0; ``bounds``: key to least and largest value)."""
+    rows = df.select((F.lit(0) if key is None else F.col(key)).alias("__key"), F.col(value).alias("__x"))
+    found: dict = {k: {} for k in wanted}
+    # (key, low, high, values below low, ranks, whether to look at single values)
+    open_ = [(k, *bounds[k], 0, ranks, False) for k, ranks in wanted.items() if ranks]
+    while open_:
+        for k, low, high, _, ranks, _ in open_:
+            if low == high:
+                found[k] |= dict.fromkeys(ranks, low)
+        open_ = [x for x in open_ if x[1] < x[2]]
+        if not open_:
+            break
+        widths = [(high - low) / BUCKETS for _, low, high, *_ in open_]
+        # where a bucket would be narrower than the gap between doubles, values are few
+        fine = [single or low + w == low or w == 0 for (_, low, _, _, _, single), w in zip(open_, widths, strict=True)]
+        table = [(i, x[0], x[1], x[2], w or 1.0, f) for i, (x, w, f) in enumerate(zip(open_, widths, fine, strict=True))]
+        ranges = df.sparkSession.createDataFrame(table, StructType([StructField("i", LongType()), StructField("k", rows.schema["__key"].dataType), *[StructField(n, DoubleType()) for n in ("low", "high", "width")], StructField("fine", BooleanType())]))
+        inside = rows.join(F.broadcast(ranges), F.col("__key").eqNullSafe(F.col("k")) & (F.col("__x") >= F.col("low")) & (F.col("__x") <= F.col("high")))
+        slot = F.when(F.col("fine"), F.col("__x")).otherwise(F.least(F.floor((F.col("__x") - F.col("low")) / F.col("width")), F.lit(BUCKETS - 1)).cast("double"))
+        counted = inside.groupBy("i", slot.alias("slot")).agg(F.count("*").alias("n"), F.min("__x").alias("low"), F.max("__x").alias("high")).collect()
+        closer = []
+        for i, (k, _, _, before, ranks, _) in enumerate(open_):
+            for r in sorted((r for r in counted if r["i"] == i), key=lambda r: r["low"]):
+                mine = [x for x in ranks if before <= x < before + r["n"]]
+                if mine:
+                    closer.append((k, r["low"], r["high"], before, mine, r["n"] <= ENOUGH))
+                before += r["n"]
+        open_ = closer
     return found
 
 
-def _pick(counts: dict[float, int], ranks: list[int], before: int) -> dict[int, float]:
-    found, at = {}, before
-    for value in sorted(counts):
-        found |= {r: value for r in ranks if at <= r < at + counts[value]}
-        at += counts[value]
-    return found
+def grouped_percentiles(df: DataFrame, value: str, percentiles: list[float], groups: dict, key: str | None = None) -> dict:
+    """Percentiles of each group (key to number of values, least and largest), interpolated between neighbouring order statistics."""
+    _check(percentiles)
+    places = {k: [p / 100 * (n - 1) for p in percentiles] for k, (n, _, _) in groups.items()}
+    wanted = {k: sorted({r for x in places[k] for r in (math.floor(x), min(math.floor(x) + 1, n - 1))}) for k, (n, _, _) in groups.items()}
+    values = order_statistics(df, value, wanted, {k: (low, high) for k, (_, low, high) in groups.items()}, key)
+    out = {}
+    for k, (n, _, _) in groups.items():
+        out[k] = []
+        for x in places[k]:
+            a, b, t = values[k][math.floor(x)], values[k][min(math.floor(x) + 1, n - 1)], x - math.floor(x)
+            out[k].append(a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t))
+    return out
 
 
 def exact_percentiles(df: DataFrame, value: str, percentiles: list[float]) -> list[float]:
@@ -78,14 +103,7 @@ def exact_percentiles(df: DataFrame, value: str, percentiles: list[float]) -> li
     n, low, high = df.agg(F.count("*"), F.min(value), F.max(value)).first()
     if not n:
         raise ValueError("cannot compute a percentile of an empty column")
-    places = [p / 100 * (n - 1) for p in percentiles]
-    ranks = sorted({r for x in places for r in (math.floor(x), min(math.floor(x) + 1, n - 1))})
-    values = _ranked(df, value, ranks, low, high, 0)
-    out = []
-    for x in places:
-        a, b, t = values[math.floor(x)], values[min(math.floor(x) + 1, n - 1)], x - math.floor(x)
-        out.append(a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t))
-    return out
+    return grouped_percentiles(df, value, percentiles, {0: (n, low, high)})[0]
 
 
 def threshold_cliff(df: DataFrame, value: str, percentiles: list[float] | None = None) -> tuple[float, float, float]:
@@ -118,7 +136,7 @@ def running_counts(df: DataFrame, value: str, counts: list[str]) -> DataFrame:
 
 
 def compare_distributions(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """One row: ks_statistic, mean_diff and std_diff (a - b, population), n_a and n_b; ValueError if a side is empty."""
+    """One row: ks_statistic, p_value, mean_diff and std_diff (a - b, population), n_a and n_b; ValueError if a side is empty."""
     both = a.select(F.col(value).cast("double").alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(value).cast("double").alias("value"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("value IS NOT NULL")
     side = lambda f, s: f(F.when(F.col(s) == 1, F.col("value")))
     n_a, n_b, mean_diff, std_diff = both.agg(F.sum("a"), F.sum("b"), side(F.avg, "a") - side(F.avg, "b"), side(F.stddev_pop, "a") - side(F.stddev_pop, "b")).first()
@@ -126,16 +144,17 @@ def compare_distributions(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         raise ValueError("cannot compare with an empty distribution")
     counts = both.groupBy("value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     gap = F.abs(F.col("a") / F.lit(n_a) - F.col("b") / F.lit(n_b))
-    return running_counts(counts, "value", ["a", "b"]).agg(F.max(gap).alias("ks_statistic")).select("ks_statistic", F.lit(mean_diff).alias("mean_diff"), F.lit(std_diff).alias("std_diff"), F.lit(n_a).alias("n_a"), F.lit(n_b).alias("n_b"))
+    one = running_counts(counts, "value", ["a", "b"]).agg(F.max(gap).alias("ks_statistic"))
+    return one.select("ks_statistic", ks_p_value(F.col("ks_statistic"), n_a, n_b).alias("p_value"), F.lit(mean_diff).alias("mean_diff"), F.lit(std_diff).alias("std_diff"), F.lit(n_a).alias("n_a"), F.lit(n_b).alias("n_b"))
 
 
-def ks_p_value(statistic: float, n_a: int, n_b: int) -> float:
+def ks_p_value(statistic: Column, n_a: int, n_b: int) -> Column:
     """Asymptotic two-sided p-value of the two-sample Kolmogorov-Smirnov statistic (the limiting series).
 
     Against exact small-sample values it is off by some hundredths for fewer than about 20 values a side.
     """
     effective = math.sqrt(n_a * n_b / (n_a + n_b))
-    x = (effective + 0.12 + 0.11 / effective) * statistic
-    if x < 0.2:
-        return 1.0
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+    x = F.lit(effective + 0.12 + 0.11 / effective) * statistic
+    term = lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda total, k: total + term(k))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))

@@ -6,6 +6,7 @@ percentile of the scores, and each detector has its own comparison. ``tokenised`
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.readability import fk_grade
-from ..functions.text import distinct_ratio, ngram_repetition, present, single, words
+from ..functions.text import distinct_ratio, ngram_repetition, present, single, word_hashes, words
 from .judge import judge_metadata, judge_score
 
 #: i, u and U: case and word boundaries by Unicode; d: only a line feed ends a line.
@@ -84,12 +85,13 @@ class Detector:
 
 
 def tokenised(pairs: DataFrame) -> DataFrame:
-    """The pairs with their responses' words as they are and in lower case, split once.
+    """The pairs with their responses' words as they are, in lower case, and these hashed; split once.
 
     They are columns, not expressions: inside a lambda an expression would be worked out again for every element.
     """
     split = pairs.withColumns({"chosen_words": words("chosen"), "rejected_words": words("rejected")})
-    return split.withColumns({f"{s}_lower": F.transform(f"{s}_words", lambda w: F.lower(w)) for s in ("chosen", "rejected")})
+    split = split.withColumns({f"{s}_lower": F.transform(f"{s}_words", lambda w: F.lower(w)) for s in ("chosen", "rejected")})
+    return split.withColumns({f"{s}_hashes": word_hashes(F.col(f"{s}_lower")) for s in ("chosen", "rejected")})
 
 
 def _matches(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -112,7 +114,7 @@ def repetition(ngram_size: int = 3) -> Detector:
 
     def metadata() -> Column:
         ratios = [distinct_ratio(F.col(f"{s}_lower")).alias(f"{s}_unique_ratio") for s in ("chosen", "rejected")]
-        rates = [ngram_repetition(F.col(f"{s}_lower"), ngram_size).alias(f"{s}_ngram_rep") for s in ("chosen", "rejected")]
+        rates = [ngram_repetition(F.col(f"{s}_hashes"), ngram_size).alias(f"{s}_ngram_rep") for s in ("chosen", "rejected")]
         return F.struct(*ratios, *rates, F.lit(ngram_size).alias("ngram_size"))
 
     return Detector("repetition", ("chosen", "rejected"), score, metadata, "le", default_percentile=0.5)
@@ -162,7 +164,29 @@ def llm_judge() -> Detector:
     return Detector("llm_judge", ("response",), lambda: judge_score("response"), lambda: judge_metadata("response"), "lt", fixed_threshold=3.0)
 
 
+#: How the detectors are made, by name and in order; ``register`` adds to it.
+MAKERS: dict[str, Callable[[], Detector]] = {
+    "semantic_similarity": semantic_similarity,
+    "readability_mismatch": readability_mismatch,
+    "repetition": repetition,
+    "length_ratio": length_ratio,
+    "refusal_bias": refusal_bias,
+    "unsafe_prompt": unsafe_prompt,
+    "llm_judge": llm_judge,
+}
+
+
+def register(name: str, make: Callable[[], Detector]) -> None:
+    """Add a detector of one's own, or put another in place of one."""
+    MAKERS[name] = make
+
+
 def registry() -> dict[str, Detector]:
-    """All detectors in their order."""
-    made = [semantic_similarity(), readability_mismatch(), repetition(), length_ratio(), refusal_bias(), unsafe_prompt(), llm_judge()]
-    return {d.name: d for d in made}
+    """All detectors that can be made, in their order; one that can't be is left out with a warning."""
+    made = {}
+    for name, make in MAKERS.items():
+        try:
+            made[name] = make()
+        except Exception as why:  # a detector may need what is not installed; the others run
+            logging.getLogger(__name__).warning("detector %s is left out: %s", name, why)
+    return made

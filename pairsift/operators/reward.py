@@ -7,6 +7,9 @@ so deep scorers plug in as columns.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,38 @@ def fit_linear(pairs: DataFrame, l2: float = 1e-3) -> dict[str, float]:
     return dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True))
 
 
+@dataclass(frozen=True)
+class Trained:
+    weights: dict[str, float]
+    final_loss: float
+    final_accuracy: float
+    history: dict[str, list[float]]  # epoch_loss and epoch_accuracy, of the weights that each epoch began with
+
+
+def train_linear(pairs: DataFrame, epochs: int = 20, rate: float = 1.0, l2: float = 1e-3) -> Trained:
+    """Bradley-Terry training by gradient descent on the mean pairwise loss, from weights of zero; an epoch is one aggregate.
+
+    Features are divided by their root mean square, found in one aggregate before. ValueError without pairs.
+    """
+    rows = differences(pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, *squares = rows.agg(F.count("*"), *[F.avg(F.col(f) * F.col(f)) for f in FEATURES]).first()
+        if not n:
+            raise ValueError("no pairs to train on")
+        scale = [x**0.5 or 1.0 for x in squares]
+        weights, history = [0.0] * len(FEATURES), {"epoch_loss": [], "epoch_accuracy": []}
+        for _ in range(epochs):
+            gap = sum((F.lit(w) * F.col(f) / F.lit(d) for w, f, d in zip(weights, FEATURES, scale, strict=True)), F.lit(0.0))
+            missed = F.lit(1.0) / (1.0 + F.exp(gap))
+            loss, accuracy, *slopes = rows.agg(F.avg(pair_loss(gap, F.lit(0.0))), F.avg((gap > 0).cast("double")), *[F.avg(missed * F.col(f) / F.lit(d)) for f, d in zip(FEATURES, scale, strict=True)]).first()
+            history["epoch_loss"].append(loss)
+            history["epoch_accuracy"].append(accuracy)
+            weights = [w + rate * (s - l2 * w) for w, s in zip(weights, slopes, strict=True)]
+        return Trained({f: w / d for f, w, d in zip(FEATURES, weights, scale, strict=True)}, history["epoch_loss"][-1], history["epoch_accuracy"][-1], history)
+    finally:
+        rows.unpersist()
+
+
 def linear_rewards(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """dataset_index, chosen_reward and rejected_reward under the weights."""
     both = pairs.withColumns({**features("chosen", "c"), **features("rejected", "r")})

@@ -226,6 +226,18 @@ _add("meta_repetition", TOKENS, f"SELECT example_id, {_UNIQUE.format('cl')} AS c
 _found = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any('chosen', [p])} THEN {_quoted(p)} END" for p in REFUSALS) + "], lambda x: x IS NOT NULL), ' & ')"
 _add("meta_refusal_bias", TOKENS, f"SELECT example_id, {_REFUSAL} AS chosen_is_refusal, len(rw) >= 20 AS rejected_is_substantive, {_found} AS matched_patterns, CAST(len(rw) AS INTEGER) AS rejected_word_count FROM tok")
 _add("meta_unsafe_prompt", TOKENS, f"SELECT example_id, array_to_string({_CATEGORIES}, ',') AS unsafe_categories, CAST(len({_CATEGORIES}) AS INTEGER) AS category_count FROM tok")
+_add("meta_readability", TOKENS, f"SELECT example_id, round({_GRADE.format('chosen', 'cw')}, 9) AS chosen_grade_level, round({_GRADE.format('rejected', 'rw')}, 9) AS rejected_grade_level, round({_GRADE.format('chosen', 'cw')} - {_GRADE.format('rejected', 'rw')}, 9) AS grade_difference FROM tok")
+_add("meta_semantic_similarity", EMBEDDINGS, "SELECT example_id, score AS similarity, 'all-MiniLM-L6-v2' AS model FROM vectors")
+# The detectors in their order, how scores meet thresholds, constant thresholds, usual and configured percentiles.
+_REGISTRY = """
+(0, 'semantic_similarity', 'ge', NULL, 99.5, 99.5),
+(1, 'readability_mismatch', 'ge', NULL, 99.5, 95.0),
+(2, 'repetition', 'le', NULL, 0.5, 1.0),
+(3, 'length_ratio', 'le', NULL, 0.5, 5.0),
+(4, 'refusal_bias', 'ge', 0.5, 99.0, 99.0),
+(5, 'unsafe_prompt', 'ge', 1.0, 99.0, 99.0),
+(6, 'llm_judge', 'lt', 3.0, 99.5, 99.5)"""
+ORACLES["detector_registry"] = f"SELECT position::INTEGER AS position, name, comparison, fixed_threshold::DOUBLE AS fixed_threshold, default_percentile::DOUBLE AS default_percentile, percentile::DOUBLE AS percentile FROM (VALUES {_REGISTRY}) AS t(position, name, comparison, fixed_threshold, default_percentile, percentile)"
 _docs = f"d AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, {_WORDS.format('lower(text)')} AS l FROM documents)"
 _add("ngram_repetition", _docs, f"SELECT doc_id, {_ngram('l', 2)} AS rate2, {_ngram('l', 4)} AS rate4, {_UNIQUE.format('l')} AS unique_ratio FROM d")
 _add("fk_grade", _docs, f"SELECT doc_id, round({_GRADE.format('text', 'w')}, 9) AS grade FROM d")
@@ -241,7 +253,7 @@ _add("threshold_cliff", _LENGTHS + f", v(p, x) AS (VALUES {_cliff})", "SELECT p
 _add(
     "compare_distributions",
     _LENGTHS + ", n AS (SELECT count(*) FILTER (example_id % 3 = 0) AS n_a, count(*) FILTER (example_id % 3 <> 0) AS n_b FROM s), k AS (SELECT DISTINCT score, count(*) FILTER (example_id % 3 = 0) OVER w AS a, count(*) FILTER (example_id % 3 <> 0) OVER w AS b FROM s WINDOW w AS (ORDER BY score RANGE UNBOUNDED PRECEDING))",
-    "SELECT round((SELECT max(abs(a / n_a - b / n_b)) FROM k), 9) AS ks_statistic, round((SELECT avg(score) FILTER (example_id % 3 = 0) - avg(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS mean_diff, round((SELECT stddev_pop(score) FILTER (example_id % 3 = 0) - stddev_pop(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS std_diff, n_a, n_b FROM n",
+    "SELECT round((SELECT max(abs(a / n_a - b / n_b)) FROM k), 9) AS ks_statistic, (SELECT round(CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * exp(-2.0::DOUBLE * i * i * x * x))))) END, 9) FROM (SELECT (e + 0.12::DOUBLE + 0.11::DOUBLE / e) * (SELECT max(abs(a / n_a - b / n_b)) FROM k) AS x FROM (SELECT sqrt(n_a::DOUBLE * n_b / (n_a + n_b)) AS e))) AS p_value, round((SELECT avg(score) FILTER (example_id % 3 = 0) - avg(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS mean_diff, round((SELECT stddev_pop(score) FILTER (example_id % 3 = 0) - stddev_pop(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS std_diff, n_a, n_b FROM n",
 )
 
 _all = []
@@ -276,3 +288,8 @@ _add("training_pairs_clean", _EMPTIED, f"SELECT dataset_index, prompt, chosen, r
 _add("valid_to_original", _EMPTIED, f"SELECT row_number() OVER (ORDER BY dataset_index) - 1 AS position, dataset_index FROM emptied WHERE {_VALID}")
 _add("bt_loss", REWARDS, "SELECT round(avg(greatest(-gap, 0) + ln(1 + exp(-abs(gap)))), 9) AS loss, round(avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM gaps")
 _add("reward_eval", REWARDS, "SELECT round(avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy, count(*) FILTER (gap > 0) AS correct, count(*) AS total, round(avg(gap), 9) AS avg_reward_gap FROM gaps")
+_add(
+    "experiment_winner",
+    TOKENS + f", gaps AS (SELECT example_id, {_REWARD('c', 'chosen')} - {_REWARD('r', 'rejected')} AS gap FROM tok), e AS (SELECT avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (example_id % 4 <> 0) AS ca, avg(gap) FILTER (example_id % 4 <> 0) AS cg, avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END) AS ua, avg(gap) AS ug FROM gaps)",
+    "SELECT round(ca, 9) AS clean_accuracy, round(cg, 9) AS clean_gap, round(ua, 9) AS unfiltered_accuracy, round(ug, 9) AS unfiltered_gap, round(ca - ua, 9) AS accuracy_diff, round(cg - ug, 9) AS gap_diff, CASE WHEN ca - ua > 0 THEN 'clean' ELSE 'unfiltered' END AS winner FROM e",
+)

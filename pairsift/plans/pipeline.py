@@ -6,13 +6,15 @@ steps of a run (thresholds need all scores); detectors with a constant threshold
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_percentiles, stats_columns
+from ..functions.stats import PERCENTILES, exact_percentiles, grouped_stats
 from ..operators.detectors import Detector, registry, tokenised
 from .config import Settings
 
@@ -27,7 +29,13 @@ class DetectorRun:
 
     def summary(self) -> DataFrame:
         """One row: id, detector_name, threshold, percentile_used, total_examples, flagged_count and the statistics, null for no scores."""
-        one = self.signals.agg(F.count("*").alias("total_examples"), F.count_if("flagged").alias("flagged_count"), *stats_columns("score"))
+        rows = self.signals.select("score", "flagged", F.lit(0).alias("__key"))
+        one = grouped_stats(rows, "score", "__key", F.count("*").alias("total_examples"), F.count_if("flagged").alias("flagged_count")).drop("__key")
+        names = ["total_examples", "flagged_count", "mean", "std", "min", "max", *PERCENTILES]
+        if not one.take(1):
+            nothing = ", ".join(f"{n} {'long' if n in names[:2] else 'double'}" for n in names)
+            one = self.signals.sparkSession.createDataFrame([(0, 0, *[None] * (len(names) - 2))], nothing)
+        one = one.select(*names)
         return one.select(F.lit(self.run_id).cast("long").alias("id"), F.lit(self.detector.name).alias("detector_name"), F.lit(self.threshold).alias("threshold"), F.lit(self.percentile).alias("percentile_used"), "*")
 
 
@@ -58,6 +66,30 @@ def run_detector(pairs: DataFrame, detector: Detector, percentile: float = 99.5,
     return DetectorRun(run_id, detector, threshold, percentile, signals)
 
 
+@contextmanager
+def scored(pairs: DataFrame, detectors: dict[str, Detector], settings: Settings, run_ids: dict[str, int], done: DataFrame | None = None) -> Iterator[tuple[dict[str, float], DataFrame]]:
+    """Thresholds and signals of runs of several detectors, from one pass over the pairs; scores are kept as long as the context is open.
+
+    ``done`` (example_id, and an array of detectors) says which examples a detector leaves out.
+    """
+    split = tokenised(pairs) if {"chosen", "rejected"} <= set(pairs.columns) else pairs
+    columns = [c for n, d in detectors.items() for c in (d.score().alias(f"score_{n}"), F.to_json(d.metadata()).alias(f"meta_{n}"))]
+    wide = split.select("example_id", *columns)
+    wide = wide.withColumn("done", F.array().cast("array<string>")) if done is None else wide.join(done, "example_id", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
+    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        thresholds, rows = {}, []
+        for name, detector in detectors.items():
+            mine = wide.filter(~F.array_contains("done", name)).select(F.col(f"score_{name}").alias("score"))
+            thresholds[name] = threshold_of(detector, mine, "score", settings.detector(name).threshold_percentile)
+            flag = detector.flags(F.col(f"score_{name}"), F.lit(thresholds[name]))
+            rows.append(F.struct(F.lit(run_ids[name]).cast("long").alias("run_id"), F.lit(name).alias("detector_name"), F.col(f"score_{name}").alias("score"), flag.alias("flagged"), F.col(f"meta_{name}").alias("metadata")))
+        signals = wide.select("example_id", "done", F.explode(F.array(*rows)).alias("signal")).filter(~F.array_contains("done", F.col("signal.detector_name")))
+        yield thresholds, signals.select("example_id", "signal.*")
+    finally:
+        wide.unpersist()
+
+
 def run_all(pairs: DataFrame, settings: Settings | None = None, names: list[str] | None = None) -> DataFrame:
     """Signals (example_id, detector_name, threshold, score, flagged) of all enabled detectors, from one pass over the pairs."""
     settings = settings or Settings()

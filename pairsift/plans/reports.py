@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import stats_columns
+from ..functions.stats import grouped_stats
 from .config import Settings
 
 
@@ -46,7 +46,7 @@ def quality_report(signals: DataFrame, runs: DataFrame, settings: Settings | Non
     names = spark.createDataFrame([(n,) for n in settings.detectors], "detector_name string")
     latest = latest_runs(runs).withColumnRenamed("id", "run_id")
     mine = signals.join(F.broadcast(latest.select("detector_name", "run_id")), ["detector_name", "run_id"], "left_semi")
-    sums = mine.groupBy("detector_name").agg(F.count("*").alias("total_scored"), F.count_if("flagged").alias("flagged"), *stats_columns("score"))
+    sums = grouped_stats(mine, "score", "detector_name", F.count("*").alias("total_scored"), F.count_if("flagged").alias("flagged"))
     rows = names.join(latest, "detector_name", "left").join(sums, "detector_name", "left")
     ran = F.col("run_id").isNotNull()
     counts = rows.withColumns({c: F.when(ran, F.coalesce(c, F.lit(0))) for c in ("total_scored", "flagged")})
@@ -93,6 +93,30 @@ def write_flagged(examples: DataFrame, signals: DataFrame, path: str) -> None:
     export_flagged(examples, signals).write.mode("overwrite").json(path)
 
 
+def write_flagged_array(examples: DataFrame, signals: DataFrame, path: str) -> int:
+    """The same as one JSON array in one file, streamed through the driver a partition at a time; returns how many. The file is there once it is whole."""
+    spark = examples.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, aside = where.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    stream, n = files.create(aside, True), 0
+    try:
+        stream.write(bytearray(b"["))
+        held: list[str] = []
+        for row in export_flagged(examples, signals).toLocalIterator():
+            held.append(str(row[0]))
+            n += 1
+            if len(held) == 10_000:
+                stream.write(bytearray((", " * (n > 10_000) + ", ".join(held)).encode()))
+                held = []
+        stream.write(bytearray(((", " if held and n > len(held) else "") + ", ".join(held) + "]").encode()))
+    finally:
+        stream.close()
+    files.delete(where, False)
+    if not files.rename(aside, where):
+        raise OSError(f"could not move {path}.part into place")
+    return n
+
+
 def flagged_explorer(examples: DataFrame, signals: DataFrame, runs: DataFrame, detector: str, limit: int = 200) -> DataFrame:
     """Flagged examples of a detector's latest completed run (of signals without a run if it has none), by id."""
     latest = latest_runs(runs.filter(F.col("detector_name") == detector)).select("id").first()

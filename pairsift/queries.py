@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dialogue, stats
 from .functions.readability import fk_grade
-from .functions.text import distinct_ratio, ngram_repetition, words
+from .functions.text import distinct_ratio, ngram_repetition, word_hashes, words
 from .operators import detectors, judge, reviews, reward
 from .plans import pipeline, reports
 from .plans.config import Settings
@@ -186,15 +186,21 @@ def _detector_queries(name: str, source: Callable[[SparkSession, str], DataFrame
 
     QUERIES[f"run_{short}"] = run
     if meta:
-        QUERIES[f"meta_{short}"] = lambda spark, sf_dir: prepared(spark, sf_dir).select("example_id", detector.metadata().alias("m")).select("example_id", "m.*")
+
+        def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = prepared(spark, sf_dir).select("example_id", detector.metadata().alias("m")).select("example_id", "m.*")
+            # the grades are sums of products, whose last digit depends on their order
+            return rows.select(*[F.round(c, 9).alias(c) if "grade" in c else F.col(c) for c in rows.columns])
+
+        QUERIES[f"meta_{short}"] = metadata
 
 
 _detector_queries("length_ratio", _pairs)
 _detector_queries("repetition", _pairs)
 _detector_queries("unsafe_prompt", _pairs, meta=False)
 _detector_queries("refusal_bias", _pairs, meta=False)
-_detector_queries("readability_mismatch", _pairs, meta=False)
-_detector_queries("semantic_similarity", lambda spark, sf_dir: inputs.embedding_pairs(spark, sf_dir).withColumnRenamed("pair_id", "example_id"), meta=False)
+_detector_queries("readability_mismatch", _pairs)
+_detector_queries("semantic_similarity", lambda spark, sf_dir: inputs.embedding_pairs(spark, sf_dir).withColumnRenamed("pair_id", "example_id"))
 _detector_queries("llm_judge", lambda spark, sf_dir: inputs.judge_responses(spark, sf_dir).withColumnRenamed("pair_id", "example_id"))
 
 
@@ -213,7 +219,8 @@ def meta_unsafe_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ngram_repetition_(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.transform(words("text"), lambda w: F.lower(w))
-    return inputs.table(spark, sf_dir, "documents").select("doc_id", tokens.alias("w")).select("doc_id", ngram_repetition(F.col("w"), 2).alias("rate2"), ngram_repetition(F.col("w"), 4).alias("rate4"), distinct_ratio(F.col("w")).alias("unique_ratio"))
+    hashed = inputs.table(spark, sf_dir, "documents").select("doc_id", tokens.alias("w")).withColumn("h", word_hashes(F.col("w")))
+    return hashed.select("doc_id", ngram_repetition(F.col("h"), 2).alias("rate2"), ngram_repetition(F.col("h"), 4).alias("rate4"), distinct_ratio(F.col("w")).alias("unique_ratio"))
 
 
 QUERIES["ngram_repetition"] = QUERIES.pop("ngram_repetition_")
@@ -248,7 +255,7 @@ def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = stats.score_stats(_ratios(spark, sf_dir), "score")
+    one = stats.score_stats(_ratios(spark, sf_dir).persist(), "score")
     return one.select(*[F.round(c, 9).alias(c) for c in one.columns])
 
 
@@ -269,7 +276,7 @@ def threshold_cliff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _ratios(spark, sf_dir).persist()
     one = stats.compare_distributions(scores.filter("example_id % 3 = 0"), scores.filter("example_id % 3 <> 0"), "score")
-    return one.select(*[F.round(c, 9).alias(c) for c in ("ks_statistic", "mean_diff", "std_diff")], "n_a", "n_b")
+    return one.select(*[F.round(c, 9).alias(c) for c in ("ks_statistic", "p_value", "mean_diff", "std_diff")], "n_a", "n_b")
 
 
 # ---------------------------------------------------------------- runs and reports
@@ -436,7 +443,8 @@ def reward_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reward_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = inputs.pairs(spark, sf_dir)
-    return reward.evaluated(reward.linear_rewards(pairs.filter("dataset_index % 5 = 0"), reward.fit_linear(pairs.filter("dataset_index % 5 <> 0"))))
+    trained = reward.train_linear(pairs.filter("dataset_index % 5 <> 0"))
+    return reward.evaluated(reward.linear_rewards(pairs.filter("dataset_index % 5 = 0"), trained.weights))
 
 
 @query
@@ -445,3 +453,10 @@ def experiment_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = pairs.filter("dataset_index % 5 <> 0"), pairs.filter("dataset_index % 5 = 0")
     clean = train.join(_clean_index(spark, sf_dir), "dataset_index", "left_anti")
     return reward.compare(*[reward.evaluated(reward.linear_rewards(test, reward.fit_linear(rows))) for rows in (clean, train)])
+
+
+@query
+def experiment_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rewards = _rewards(spark, sf_dir)
+    one = reward.compare(reward.evaluated(rewards.filter("dataset_index % 4 <> 0")), reward.evaluated(rewards))
+    return one.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in one.dtypes])

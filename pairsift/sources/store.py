@@ -1,12 +1,17 @@
-"""Parquet tables: appends, staged overwrites, keyed latest rows, and consecutive ids.
+"""Parquet tables: appends, overwrites, transactions, keyed latest rows, and consecutive ids.
 
-Signals are partitioned by detector and run, so a report or a flag lookup reads only the runs it needs. A staged
-overwrite writes next to the table and renames, so readers see the old rows or the new ones.
+Signals are partitioned by detector and run, so a report or a flag lookup reads only the runs it needs. An overwrite
+writes next to the table and renames twice; between the renames there is no table for a moment, and if the second one
+fails the old table is put back. Appends inside a transaction are written aside and moved into their tables at its end,
+or deleted if it fails.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,7 +37,10 @@ def with_ids(df: DataFrame, order: str, start: int = 1) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        root = context.getConf().get("spark.checkpoint.dir")
+        if root is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="pairsift-"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(tasks, order).withColumn("__part", F.spark_partition_id()).checkpoint()
     inside = F.row_number().over(W.partitionBy("__part").orderBy(order))
@@ -52,6 +60,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._aside: dict[str, list[str]] | None = None  # folders of an open transaction, by table
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -66,30 +75,79 @@ class Store:
         return files.exists(where)
 
     def read(self, name: str) -> DataFrame:
+        """The rows of a table; inside a transaction with what it has added."""
         schema = StructType.fromDDL(SCHEMAS[name])
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.names)
+        rows = self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.names) if self.exists(name) else self.spark.createDataFrame([], schema)
+        for folder in (self._aside or {}).get(name, []):
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(folder).select(*schema.names))
+        return rows
 
-    def append(self, name: str, rows: DataFrame, order: str) -> DataFrame:
-        """Add rows with new ids; what is missing among the columns is null. Returns the rows as written."""
+    def _full(self, name: str, rows: DataFrame, order: str) -> DataFrame:
+        """The rows with new ids and all columns of the table; those that are missing are null."""
         start = (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
-        schema = StructType.fromDDL(SCHEMAS[name])
         numbered = with_ids(rows.drop("id"), order, start)
         stamped = numbered if "created_at" in numbered.columns else numbered.withColumn("created_at", F.to_timestamp_ntz(F.current_timestamp().cast("string")))
-        full = stamped.select(*[(F.col(f.name) if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        full.write.mode("append").partitionBy(*PARTITIONS.get(name, [])).parquet(self.path(name))
+        return stamped.select(*[(F.col(f.name) if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])])
+
+    def append(self, name: str, rows: DataFrame, order: str) -> DataFrame:
+        """Add rows with new ids. Returns the rows as written."""
+        full = self._full(name, rows, order)
+        folder = self.path(name)
+        if self._aside is not None:
+            folder = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+            self._aside.setdefault(name, []).append(folder)
+        full.write.mode("append").partitionBy(*PARTITIONS.get(name, [])).parquet(folder)
         return full
 
+    def replace_partitions(self, name: str, rows: DataFrame, order: str) -> None:
+        """Add rows, in place of all that their partitions held, so a repeated write leaves no row twice."""
+        full = self._full(name, rows, order)
+        full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS[name]).parquet(self.path(name))
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Appends inside come into the tables together at the end, or not at all if something fails before."""
+        if self._aside is not None:
+            raise RuntimeError("a transaction is open already")
+        self._aside = {}
+        try:
+            yield
+            for name, folders in self._aside.items():
+                for folder in folders:
+                    self._move(folder, self.path(name))
+        finally:
+            aside, self._aside = self._aside, None
+            for folder in (f for folders in aside.values() for f in folders):
+                where, files = self._files(folder)
+                files.delete(where, True)
+
+    def _move(self, source: str, target: str) -> None:
+        """Move the data files of a folder into another one; their names hold a job's id, so none is there twice."""
+        start, files = self._files(source)
+        found, moves = files.listFiles(start, True), []
+        base = files.makeQualified(start).toString()
+        while found.hasNext():
+            path = found.next().getPath()
+            if path.getName().startswith("part-"):
+                moves.append((path, f"{target}{path.toString().removeprefix(base)}"))
+        for path, to in moves:
+            end = self._files(to)[0]
+            files.mkdirs(end.getParent())
+            if not files.rename(path, end):
+                raise OSError(f"could not move {path.toString()} into place")
+
     def overwrite(self, name: str, rows: DataFrame) -> None:
         """Replace a table: write aside, then rename."""
         aside, old = f"{self.root}/.{name}-{uuid.uuid4().hex}", f"{self.root}/.{name}-old-{uuid.uuid4().hex}"
         rows.write.partitionBy(*PARTITIONS.get(name, [])).parquet(aside)
         new, files = self._files(aside)
         now, past = self._files(self.path(name))[0], self._files(old)[0]
-        if files.exists(now):
-            files.rename(now, past)
+        there = files.exists(now)
+        if there and not files.rename(now, past):
+            raise OSError(f"could not move {self.path(name)} aside")
         if not files.rename(new, now):
+            if there:
+                files.rename(past, now)
             raise OSError(f"could not move {aside} into place")
         files.delete(past, True)
 
@@ -98,6 +156,22 @@ class Store:
         runs = self.read("detector_runs")
         self.overwrite("detector_runs", updated(runs, run_id, values))
 
+    def insert(self, name: str, /, **values: object) -> int:
+        """Add one row; returns its id. ValueError for a column that the table does not have."""
+        schema = StructType.fromDDL(SCHEMAS[name])
+        unknown = set(values) - set(schema.names)
+        if unknown:
+            raise ValueError(f"{name} has no columns {', '.join(sorted(unknown))}")
+        row = self.spark.range(1).select(*[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in schema if f.name in values], F.lit(0).alias("__order"))
+        start = (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
+        self.append(name, row, "__order")
+        return start
+
+    def get(self, name: str, row_id: int) -> dict | None:
+        """The row with this id."""
+        found = self.read(name).filter(F.col("id") == row_id).first()
+        return None if found is None else found.asDict()
+
 
 def updated(rows: DataFrame, row_id: int, values: dict[str, object]) -> DataFrame:
     """The rows with columns of one id set; ValueError if no row has it."""

@@ -1,7 +1,8 @@
 """Streaming ingest: a folder of raw pairs, parsed and scored in micro-batches by the same functions as in batch.
 
 Percentile thresholds need all scores, so only detectors with a constant threshold flag in the stream; the scores of
-the others are stored for a later batch run. Batch ids make a repeated batch overwrite itself.
+the others are stored for a later batch run. Batch ids make a repeated batch overwrite itself. Indices that an earlier
+batch has stored are left out, and rows of null text go to a folder of errors.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detectors import tokenised
 from ..plans.pipeline import usable
-from ..sources.ingest import parsed_examples
+from ..sources.ingest import ingest
 
 RAW = "dataset_index long, chosen string, rejected string"
 
@@ -29,12 +30,26 @@ def streamed_signals(examples: DataFrame) -> DataFrame:
 
 
 def start_ingest(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write examples and signals of every micro-batch under ``out``, in folders by batch id."""
+    """Write examples, errors and signals of every micro-batch under ``out``, in folders by batch id."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        examples = parsed_examples(rows).persist()
-        examples.write.mode("overwrite").parquet(f"{out}/examples/batch={batch_id}")
+        rows = rows.dropDuplicates(["dataset_index"])
+        folder = f"{out}/examples"
+        if _exists(rows.sparkSession, folder):
+            before = rows.sparkSession.read.schema("dataset_index long, batch long").parquet(folder).filter(F.col("batch") != batch_id)
+            rows = rows.join(before, "dataset_index", "left_anti")
+        rows = rows.persist()
+        done = ingest(rows)
+        examples = done.examples.persist()
+        examples.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        done.errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
         streamed_signals(examples).write.mode("overwrite").parquet(f"{out}/signals/batch={batch_id}")
         examples.unpersist()
+        rows.unpersist()
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -99,16 +99,52 @@ def test_backends(spark):
     factory = lambda: lambda texts: np.array([[len(t), t.count("a") + 1.0] for t in texts])
     scores = {r[0]: r[1] for r in backends.with_embeddings(pairs, factory).select("example_id", detectors.semantic_similarity().score()).collect()}
     assert scores[1] == pytest.approx(1.0) and scores[2] < 1.0
-    answers = backends.with_responses(pairs, lambda: lambda prompts: ['{"helpfulness_delta": 1}'] * len(prompts))
-    assert [r[0] for r in answers.select(detectors.llm_judge().score()).collect()] == [1.0, 1.0]
+    def judge_of(request):
+        assert request.temperature == 0.0 and request.json_mode and request.concurrency == 50
 
-    def failing():
-        def call(prompts):
-            raise OSError("down")
+        def call(messages):
+            assert [m["role"] for m in messages] == ["system", "user"] and messages[0]["content"] == judge.SYSTEM_PROMPT
+            if "Chosen: a" in messages[1]["content"]:
+                raise OSError("down")
+            return '{"helpfulness_delta": 1}'
 
         return call
 
-    assert backends.with_responses(pairs, failing).select(judge.judge_metadata("response").alias("m")).first()["m"]["error"]
+    answers = backends.with_responses(pairs, judge_of).select("example_id", detectors.llm_judge().score().alias("s"), judge.judge_metadata("response").alias("m")).collect()
+    assert [(r["s"], r["m"]["error"] is None) for r in answers] == [(1.0, True), (3.0, False)]
+
+
+def test_rewards_and_tokens(spark):
+    pairs = spark.createDataFrame([(1, "p q", "a b c", None), (2, None, "a", "b " * 30)], "example_id long, prompt string, chosen string, rejected string")
+    rewards = backends.with_rewards(pairs, lambda: lambda both: [len(p) + len(t) for p, t in both], 1).collect()
+    assert [(r["chosen_reward"], r["rejected_reward"]) for r in rewards] == [(8.0, 3.0), (1.0, 60.0)]
+    settings = backends.TokenSettings(max_length=8, pad_id=9, first=(101,), between=(102,), last=(102,))
+    rows = backends.tokenised_pairs(pairs, lambda: lambda text: [ord(w[0]) for w in text.split()], settings).collect()
+    assert rows[0]["chosen_input_ids"] == [101, 112, 113, 102, 97, 98, 99, 102] and rows[0]["chosen_attention_mask"] == [1] * 8
+    assert rows[0]["rejected_input_ids"] == [101, 112, 113, 102, 102, 9, 9, 9] and rows[0]["rejected_attention_mask"] == [1] * 5 + [0] * 3
+    assert rows[1]["rejected_input_ids"] == [101, 102, 98, 98, 98, 98, 98, 102]
+
+
+def test_pairs_are_cut_one_id_at_a_time():
+    for n, m, room in [(5, 5, 20), (9, 3, 8), (3, 9, 8), (6, 6, 5), (1, 9, 2), (4, 4, 0)]:
+        a, b = list(range(n)), list(range(m))
+        while len(a) + len(b) > room:
+            (a if len(a) > len(b) else b).pop()
+        assert backends.cut_pair(list(range(n)), list(range(m)), room) == (a, b)
+
+
+def test_own_detectors(spark, monkeypatch, caplog):
+    monkeypatch.setattr(detectors, "MAKERS", dict(detectors.MAKERS))
+    detectors.register("prompt_length", lambda: detectors.Detector("prompt_length", ("prompt",), lambda: F.length("prompt").cast("double"), lambda: F.struct(F.length("prompt").alias("n")), fixed_threshold=3.0))
+
+    def broken():
+        raise ImportError("no such model")
+
+    detectors.register("semantic_similarity", broken)
+    assert "semantic_similarity" not in detectors.registry() and "no such model" in caplog.text
+    pairs = spark.createDataFrame([(1, "four", "a", "b"), (2, "x", "a", "b")], "example_id long, prompt string, chosen string, rejected string")
+    config = Settings(detectors={"prompt_length": DetectorConfig()})
+    assert [(r["score"], r["flagged"]) for r in pipeline.run_all(pairs, config).collect()] == [(4.0, True), (1.0, False)]
 
 
 EIGHT = pd.DataFrame(
@@ -150,6 +186,18 @@ def test_empty_run(spark):
     assert (one["threshold"], one["total_examples"], one["flagged_count"], one["mean"]) == (0.0, 0, 0, None)
 
 
+def test_settings_from_the_environment(tmp_path):
+    file = tmp_path / ".env"
+    file.write_text("# comment\nexport PAIRSIFT_BATCH_SIZE=8\nPAIRSIFT_LOG_LEVEL='debug'\nOTHER=1\nPAIRSIFT_UNKNOWN=2\n")
+    detectors_ = '{"repetition": {"threshold_percentile": 2.5}, "llm_judge": {"enabled": false}, "own": {}}'
+    got = Settings.load(str(file), {"PAIRSIFT_BATCH_SIZE": "16", "PAIRSIFT_DETECTORS": detectors_, "PAIRSIFT_DEBUG": "yes"})
+    assert (got.batch_size, got.log_level, got.debug) == (16, "DEBUG", True)
+    assert got.detector("repetition") == DetectorConfig(True, 2.5) and not got.detector("llm_judge").enabled and got.detector("length_ratio").threshold_percentile == 5.0
+    assert Settings.load(str(tmp_path / "none"), {}) == Settings()
+    with pytest.raises(ValueError):
+        Settings.load(str(file), {"PAIRSIFT_BATCH_SIZE": "0"})
+
+
 def test_settings():
     assert Settings().detector("repetition").threshold_percentile == 1.0
     assert Settings().detector("other").threshold_percentile == 99.5

@@ -44,3 +44,49 @@ def test_from_ingest_to_reviews(spark, engine, tmp_path):
         engine.review(77, "refusal_bias", "true_positive")
     with pytest.raises(ValueError):
         engine.review(2, "refusal_bias", "perhaps")
+
+
+def test_a_failed_run_is_taken_up(spark, engine, monkeypatch):
+    engine.ingest(raw(spark))
+
+    def fail(*_):
+        raise OSError("lost the store")
+
+    for broken in ("replace_partitions", "overwrite"):
+        with monkeypatch.context() as m, pytest.raises(OSError):
+            m.setattr(engine.store, broken, fail)
+            engine.score()
+        assert {r["status"] for r in engine.report().collect()} == {"not_run"}
+    engine.score()
+    runs = engine.store.read("detector_runs").collect()
+    assert sorted(r["id"] for r in runs) == [1, 2, 3] and all(r["completed_at"] and r["total_examples"] == 4 for r in runs)
+    assert engine.store.read("quality_signals").count() == 12
+    assert engine.store.read("quality_signals").select("id").distinct().count() == 12
+
+
+def test_resume_scores_new_examples_only(spark, engine):
+    engine.ingest(raw(spark), limit=3)
+    engine.score(["repetition"])
+    engine.score(["repetition"], resume=True)
+    engine.ingest(raw(spark))
+    engine.score(["repetition"], resume=True)
+    engine.score(["repetition"])
+    runs = {r["id"]: r["total_examples"] for r in engine.store.read("detector_runs").collect()}
+    assert runs == {1: 3, 2: 0, 3: 1, 4: 4}
+
+
+def test_an_empty_store_is_scored(spark, engine):
+    report = {r["detector_name"]: r for r in engine.score().collect()}
+    assert (report["repetition"]["status"], report["repetition"]["total_scored"], report["repetition"]["mean"]) == ("complete", 0, None)
+
+
+def test_models_and_evaluations(spark, engine):
+    first = engine.record_model("base", "all", {"epochs": 1}, {"loss": 0.5}, "/models/1")
+    second = engine.record_model("clean", "flagged left out", {}, {})
+    assert (first, second) == (1, 2) and engine.reward_model(1)["training_config"] == {"epochs": 1} and engine.reward_model(9) is None
+    assert engine.record_evaluation(2, "held out", {"accuracy": 0.6}) == 1
+    assert [r["results"] for r in engine.evaluations(2).collect()] == ['{"accuracy": 0.6}']
+    with pytest.raises(LookupError):
+        engine.record_evaluation(7, "held out", {})
+    with pytest.raises(ValueError):
+        engine.store.insert("reward_models", colour="red")

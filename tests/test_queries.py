@@ -22,7 +22,7 @@ def sql():
 
 def test_every_oracle_has_a_query():
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"detector_registry", "reward_train_eval", "experiment_compare"}
+    assert set(queries) - set(oracles) == {"reward_train_eval", "experiment_compare"}
 
 
 @pytest.mark.parametrize("name", sorted(oracles))
@@ -37,7 +37,7 @@ def test_equals_sql(spark, sql, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", ["detector_registry", "reward_train_eval", "experiment_compare"])
+@pytest.mark.parametrize("name", ["reward_train_eval", "experiment_compare"])
 def test_rows_only(spark, name):
     assert queries[name](spark, SF).count() > 0
 

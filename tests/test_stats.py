@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pairsift.functions import stats
 
@@ -70,7 +71,35 @@ def test_compare_equals_brute_force(spark):
     assert stats.compare_distributions(frame(spark, a), frame(spark, b), "x").first()["ks_statistic"] == pytest.approx(want, abs=1e-12)
 
 
-def test_p_value():
-    assert stats.ks_p_value(0.0, 100, 100) == 1.0
-    assert stats.ks_p_value(1.0, 100, 100) < 1e-20
-    assert stats.ks_p_value(0.136, 200, 200) == pytest.approx(0.05, abs=0.01)
+def test_p_value(spark):
+    p = lambda statistic, n: spark.range(1).select(stats.ks_p_value(F.lit(statistic), n, n)).first()[0]
+    assert p(0.0, 100) == 1.0
+    assert p(1.0, 100) < 1e-20
+    assert p(0.136, 200) == pytest.approx(0.05, abs=0.01)
+    drift = stats.compare_distributions(frame(spark, range(100)), frame(spark, [x + 40 for x in range(100)]), "x").first()
+    assert drift["p_value"] < 1e-6
+
+
+def test_grouped_stats_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(stats, "ENOUGH", 3)
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1, 500).round(3), "b": np.concatenate([rng.exponential(1e-7, 300), [1e9]]), "c": np.array([2.0]), None: rng.integers(0, 4, 200) / 4}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("a", None), ("d", None)]
+    got = {r["k"]: r for r in stats.grouped_stats(spark.createDataFrame(rows, "k string, x double"), "x", "k", F.count("*").alias("rows")).collect()}
+    assert got["d"]["mean"] is got["d"]["p50"] is None and got["a"]["rows"] == 501
+    for k, values in groups.items():
+        assert got[k]["std"] == pytest.approx(np.std(values), rel=1e-9, abs=1e-12)
+        assert [got[k][name] for name in stats.PERCENTILES] == [float(np.percentile(values, p)) for p in stats.PERCENTILES.values()]
+
+
+def test_ngrams_equal_brute_force(spark):
+    from pairsift.functions.text import ngram_repetition, word_hashes
+
+    texts = ["", "a", "a b", "a b a b a b", "x " * 40, "a b c d e f g a b c d"]
+    rows = spark.createDataFrame([(t.split(),) for t in texts], "w array<string>").withColumn("h", word_hashes(F.col("w")))
+    got = rows.select(*[ngram_repetition(F.col("h"), n) for n in (1, 2, 4)]).collect()
+    for text, row in zip(texts, got, strict=True):
+        words = text.split()
+        for n, rate in zip((1, 2, 4), row, strict=True):
+            grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+            assert rate == pytest.approx((len(grams) - len(set(grams))) / len(grams) if grams else 0.0)

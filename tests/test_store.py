@@ -1,5 +1,8 @@
 import datetime
+import gzip
+import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from pairsift.operators import reviews, reward
 from pairsift.plans import reports
 from pairsift.plans.config import DetectorConfig, Settings
 from pairsift.sources.ingest import ingest, progress, source_limit
+from pairsift.sources.loader import load_pairs
 from pairsift.sources.store import Store, duplicate_keys, with_ids
 from pairsift.streaming.ingest import raw_stream, start_ingest
 
@@ -118,6 +122,107 @@ def test_reward(spark):
     assert reward.training_pairs(pairs.unionByName(spark.createDataFrame([(99, "", "a", "b")], pairs.schema)), pairs.limit(0)).count() == 40
 
 
+def test_training_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(1, 12))) for _ in range(120)]
+    pairs = spark.createDataFrame([(i, "p", texts[2 * i], texts[2 * i + 1]) for i in range(60)], "dataset_index long, prompt string, chosen string, rejected string")
+    got = reward.train_linear(pairs, epochs=12)
+    feature = lambda t: np.array([np.log1p(len(t.split())), len(set(t.split())) / len(t.split()), np.log1p(len(t))])
+    x = np.array([feature(texts[2 * i]) - feature(texts[2 * i + 1]) for i in range(60)])
+    scale = np.sqrt((x * x).mean(axis=0))
+    w, losses, hits = np.zeros(3), [], []
+    for _ in range(12):
+        gap = (x / scale) @ w
+        losses.append(np.log1p(np.exp(-gap)).mean())
+        hits.append((gap > 0).mean())
+        w = w + ((x / scale) / (1 + np.exp(gap))[:, None]).mean(axis=0) - 1e-3 * w
+    assert got.history["epoch_loss"] == pytest.approx(losses) and got.history["epoch_accuracy"] == pytest.approx(hits)
+    assert list(got.weights.values()) == pytest.approx(w / scale) and got.final_loss == pytest.approx(losses[-1])
+    assert got.final_loss < losses[0]
+    with pytest.raises(ValueError, match="no pairs"):
+        reward.train_linear(pairs.limit(0))
+
+
+def test_transactions(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda n: spark.createDataFrame([(i, 0.5, True, "repetition", 1) for i in range(n)], "example_id long, score double, flagged boolean, detector_name string, run_id long")
+    store.append("quality_signals", rows(2), "example_id")
+    with pytest.raises(OSError), store.transaction():
+        store.append("quality_signals", rows(3), "example_id")
+        store.insert("reward_models", name="m")
+        assert store.read("quality_signals").count() == 5
+        raise OSError("stop")
+    assert store.read("quality_signals").count() == 2 and not store.exists("reward_models")
+    with store.transaction():
+        store.append("quality_signals", rows(3), "example_id")
+        store.append("quality_signals", rows(1), "example_id")
+        store.insert("reward_models", name="m")
+    assert sorted(r["id"] for r in store.read("quality_signals").collect()) == list(range(1, 7)) and store.get("reward_models", 1)["name"] == "m"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["quality_signals", "reward_models"]
+    store.replace_partitions("quality_signals", rows(1), "example_id")
+    assert store.read("quality_signals").count() == 1
+
+
+def test_a_failed_overwrite_puts_the_table_back(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.insert("reward_models", name="m")
+    real = store._files
+
+    class Stuck:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def rename(self, source, target):
+            return False if "-old-" not in source.toString() and target.toString().endswith("/reward_models") else self.files.rename(source, target)
+
+    monkeypatch.setattr(store, "_files", lambda path: (real(path)[0], Stuck(real(path)[1])))
+    with pytest.raises(OSError):
+        store.overwrite("reward_models", store.read("reward_models").limit(0))
+    assert store.read("reward_models").count() == 1
+
+
+def test_loader(spark, tmp_path):
+    (tmp_path / "train").mkdir()
+    lines = [json.dumps({"chosen": f"c{i}", "rejected": f"r{i}", "more": 1}) for i in range(30)]
+    (tmp_path / "train" / "b.jsonl").write_text("\n".join(lines[20:]))
+    with gzip.open(tmp_path / "train" / "a.jsonl.gz", "wt") as f:
+        f.write("\n".join([*lines[:19], "no object"]))
+    (tmp_path / "test.jsonl").write_text(lines[0])
+    got = load_pairs(spark, str(tmp_path)).orderBy("dataset_index").collect()
+    assert [(r["dataset_index"], r["chosen"], r["rejected"]) for r in got] == [(i, *((f"c{i}", f"r{i}") if i != 19 else (None, None))) for i in range(30)]
+    assert load_pairs(spark, str(tmp_path), "test").count() == 1
+    spark.createDataFrame([("c", "r")], "chosen string, rejected string").write.parquet(str(tmp_path / "valid"))
+    assert load_pairs(spark, str(tmp_path), "valid", "parquet").first()["dataset_index"] == 0
+    assert ingest(load_pairs(spark, str(tmp_path))).summary.first()["errors"] == 1
+    with pytest.raises(LookupError):
+        load_pairs(spark, str(tmp_path), "other")
+    with pytest.raises(ValueError):
+        load_pairs(spark, str(tmp_path), form="xml")
+
+
+def test_flagged_as_one_array(spark, tmp_path):
+    examples = spark.range(25_000).select((F.col("id") + 1).alias("id"), F.col("id").alias("dataset_index"))
+    signals = examples.select(F.col("id").alias("example_id"), F.lit(True).alias("flagged"))
+    for n in (0, 1, 10_000, 20_000, 25_000):
+        path = tmp_path / f"{n}.json"
+        assert reports.write_flagged_array(examples, signals.filter(F.col("example_id") <= n), str(path)) == n
+        assert json.loads(path.read_text()) == list(range(n))
+
+
+def test_streaming_errors_and_repeats(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("raw", "out", "mark"))
+    rows = raw(spark, 4).unionByName(spark.createDataFrame([(9, None, "x")], "dataset_index long, chosen string, rejected string"))
+    rows.coalesce(1).write.parquet(source)
+    start_ingest(raw_stream(spark, source, 1), out, mark).awaitTermination()
+    raw(spark, 6).coalesce(1).write.mode("append").parquet(source)
+    start_ingest(raw_stream(spark, source, 1), out, mark).awaitTermination()
+    assert sorted(r["dataset_index"] for r in spark.read.parquet(f"{out}/examples").collect()) == [0, 1, 2, 3, 4, 5]
+    assert [r["index"] for r in spark.read.parquet(f"{out}/errors").collect()] == [9]
+
+
 def test_streaming(spark, tmp_path):
     source = str(tmp_path / "raw")
     raw(spark, 6).repartition(3).write.parquet(source)
