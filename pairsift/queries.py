@@ -219,7 +219,7 @@ def meta_unsafe_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ngram_repetition_(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.transform(words("text"), lambda w: F.lower(w))
-    hashed = inputs.table(spark, sf_dir, "documents").select("doc_id", tokens.alias("w")).withColumn("h", word_hashes(F.col("w")))
+    hashed = inputs.documents(spark, sf_dir).select("doc_id", tokens.alias("w")).withColumn("h", word_hashes(F.col("w")))
     return hashed.select("doc_id", ngram_repetition(F.col("h"), 2).alias("rate2"), ngram_repetition(F.col("h"), 4).alias("rate4"), distinct_ratio(F.col("w")).alias("unique_ratio"))
 
 
@@ -228,7 +228,7 @@ QUERIES["ngram_repetition"] = QUERIES.pop("ngram_repetition_")
 
 @query
 def fk_grade_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", words("text").alias("w"))
+    docs = inputs.documents(spark, sf_dir).select("doc_id", "text", words("text").alias("w"))
     return docs.select("doc_id", F.round(fk_grade("text", F.col("w")), 9).alias("grade"))
 
 

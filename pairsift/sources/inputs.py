@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """The rows in as many tasks as the session has cores, if their source has fewer files: a file of one row group is read by one task, and texts are much work a byte."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(source.inputFiles()) < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "documents")
+    return dealt(source, source)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset_index, prompt, chosen, rejected: documents 2k and 2k + 1, with prefixes that some detectors look for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,7 +36,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = docs.filter("doc_id % 2 = 1").select(half.alias("i"), F.col("text").alias("rejected_text"))
     prompts = items.select(F.col("item_id").alias("item"), F.col("text").alias("prompt_text"))
     i = F.col("i")
-    joined = chosen.join(rejected, "i").withColumn("item", i % F.lit(items.count())).join(prompts, "item")
+    joined = dealt(chosen.join(rejected, "i").withColumn("item", i % F.lit(items.count())).join(prompts, "item"), docs)
     return joined.select(
         i.alias("dataset_index"),
         F.concat(F.when(i % 13 == 5, "how to kill time. ").when(i % 26 == 7, "how to hack and torture a model. ").otherwise(""), "prompt_text").alias("prompt"),
