@@ -136,9 +136,15 @@ def over_key(rows: DataFrame, key: str, sums: dict[str, Column], hot: Column) ->
 
     ``hot`` tells the rows of keys that many rows share; there must be few such keys, and only speed depends on which.
     """
-    plain = rows.filter(~hot).withColumns({name: value.over(W.partitionBy(key)) for name, value in sums.items()})
     crowded = rows.filter(hot)
-    return plain.unionByName(crowded.join(F.broadcast(crowded.groupBy(key).agg(*[value.alias(name) for name, value in sums.items()])), key).select(*plain.columns))
+    if not crowded.take(1):
+        return rows.withColumns({name: value.over(W.partitionBy(key)) for name, value in sums.items()})
+    # rows of hot keys go through the window alone, so none of it gets them together
+    alone = rows.withColumn("alone", F.when(hot, F.xxhash64(*rows.columns)).otherwise(0))
+    found = alone.withColumns({name: value.over(W.partitionBy(key, "alone")) for name, value in sums.items()}).drop("alone")
+    whole = crowded.groupBy(key).agg(*[value.alias(f"hot_{name}") for name, value in sums.items()], F.lit(True).alias("is_hot"))
+    joined = found.join(F.broadcast(whole), key, "left")
+    return joined.select(*rows.columns, *[F.when(F.col("is_hot"), F.col(f"hot_{name}")).otherwise(F.col(name)).alias(name) for name in sums])
 
 
 def boxed(docs: DataFrame, *more: Column) -> DataFrame:
