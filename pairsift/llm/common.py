@@ -131,14 +131,15 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None
     return salted.join(copied, [key, "salt"]).drop("salt")
 
 
-def over_key(rows: DataFrame, key: str, sums: dict[str, Column], hot: Column) -> DataFrame:
+def over_key(rows: DataFrame, key: str, sums: dict[str, Column], hot: Column | None) -> DataFrame:
     """``rows`` with aggregates over all rows of the same key; those of hot keys by partial sums, which are joined as a broadcast.
 
-    ``hot`` tells the rows of keys that many rows share; there must be few such keys, and only speed depends on which.
+    ``hot`` tells the rows of keys that many rows share (None: there are none); there must be few such keys, and only
+    speed depends on which.
     """
-    crowded = rows.filter(hot)
-    if not crowded.take(1):
+    if hot is None:
         return rows.withColumns({name: value.over(W.partitionBy(key)) for name, value in sums.items()})
+    crowded = rows.filter(hot)
     # rows of hot keys go through the window alone, so none of it gets them together
     alone = rows.withColumn("alone", F.when(hot, F.xxhash64(*rows.columns)).otherwise(0))
     found = alone.withColumns({name: value.over(W.partitionBy(key, "alone")) for name, value in sums.items()}).drop("alone")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hot_keys, join_hot
+from .common import checkpointed
 
 
 def _stars(edges: DataFrame, mine: str) -> DataFrame:
-    """Each edge with the least neighbour of its ``u`` (or ``u`` itself) as ``mine``; hubs are joined apart, so their edges do not gather."""
-    least = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
-    return join_hot(edges, least.select("u", F.least("u", "low").alias(mine)), "u", hot_keys(least, "u", "n"))
+    """Each edge with the least neighbour of its ``u`` (or ``u`` itself) as ``mine``.
+
+    Least neighbours are partial sums first. The join then has one row a node on one side and narrow edges on the other;
+    adaptive execution splits a hub's partition of those over several tasks.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias(mine))
+    return edges.join(least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
