@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -100,12 +99,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver forget plans that are done with: only then are their shuffle files deleted, which else wait for its next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for a table; what is left there is deleted when the driver ends."""
     folder = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
