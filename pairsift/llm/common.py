@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -89,16 +90,22 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder; for wide rows it takes less disk than a checkpoint."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     if _SCOPES:
         _SCOPES[-1].append(folder)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect plans that are done with, as their shuffle files are deleted no sooner."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for a table; what is left there is deleted when the driver ends."""
     folder = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
