@@ -208,6 +208,30 @@ def test_no_pair_that_differs_by_a_block_is_missed(spark):
     assert {tuple(sorted(r)) for r in links.collect()} == want
 
 
+@pytest.mark.parametrize("dense", [4096, 3])
+def test_simhash_pairs_equal_brute_force(spark, dense):
+    rng = random.Random(dense)
+    bases = [rng.getrandbits(63) for _ in range(10)]
+    rows = [(i, close(bases[i % 10], rng, rng.randint(0, 3)) & ((1 << 63) - 1)) for i in range(120)]
+    rows += [(1000 + i, bases[0]) for i in range(20)]
+    got = neardup.simhash_pairs(spark.createDataFrame(rows, "node long, f0 long"), simhash.SimHashSettings(dense=dense)).collect()
+    lows = {}
+    for node, f0 in rows:
+        lows[f0] = min(node, lows.get(f0, node))
+    same = {(node, lows[f0]) for node, f0 in rows if node != lows[f0]}
+    near = {f: [x for x in lows if x < f and (x ^ f).bit_count() <= 4] for f in lows}
+    found = {(r["a"], r["b"]) for r in got}
+    assert len(got) == len(found) and same <= found and {r["fame"] for r in got} == {0}
+    if dense == 3:  # links of crowded keys connect, but need not be to the least within the radius
+        pairs = {tuple(sorted(x)) for x in found}
+        roots = joined(sorted(n for n, _ in rows), lambda a, b: (a, b) in pairs)
+        whole = dict(rows)
+        want = joined(sorted(whole), lambda a, b: (whole[a] ^ whole[b]).bit_count() <= 4)
+        assert all(want[a] == want[b] for a, b in found) and all(want[n] == want[roots[n]] for n in whole)
+    else:
+        assert found == same | {(lows[f], lows[min(n)]) for f, n in near.items() if n}
+
+
 def test_hot_keys_give_the_same(spark, make_docs, tmp_path, hot):
     test_query_equals_brute_force(spark, make_docs, tmp_path)
     test_components(spark)
