@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import ORACLE_OP1, op1_chat
 from .decontaminate import op5_decontaminate
 from .html import op6_html
+from .infill import ORACLE_OP13, op13_infill
 from .language import op4_language
 from .quality import op8_quality
 from .license import ORACLE_OP3, op3_license
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_lm": op10_lm,
+    "op13_infill": op13_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op2_mixing": ORACLE_OP2,
     "op3_license": ORACLE_OP3,
     "op7_topk": ORACLE_OP7,
+    "op13_infill": ORACLE_OP13,
 }
