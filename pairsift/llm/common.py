@@ -126,16 +126,16 @@ def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
     return counts.filter(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("salts"))
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """``rows`` joined by a key with ``lookup`` (one row a key); the rows of hot keys are dealt to several tasks, each with a copy of the lookup's row."""
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) by a key with ``lookup`` (one row a key); the rows of hot keys are dealt to several tasks, each with a copy of the lookup's row."""
     if hot is None:
-        return rows.join(lookup, key)
+        return rows.join(lookup, key, how)
     several = F.coalesce("salts", F.lit(1))
     # the partition too, as all columns may be alike
     place = F.xxhash64(F.spark_partition_id(), *rows.columns)
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(place, several).cast("int")).drop("salts")
     copied = lookup.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), several - 1))).drop("salts")
-    return salted.join(copied, [key, "salt"]).drop("salt")
+    return salted.join(copied, [key, "salt"], how).drop("salt")
 
 
 def over_key(rows: DataFrame, key: str, sums: dict[str, Column], hot: Column | None) -> DataFrame:

@@ -12,7 +12,9 @@ from .license import ORACLE_OP3, op3_license
 from .mixing import ORACLE_OP2, op2_mixing
 from .ppm import op10_lm
 from .simhash import op9_neardup
+from .trie import ORACLE_OP12, op12_trie
 from .vectors import ORACLE_OP7, op7_topk
+from .warc import ORACLE_OP11, op11_warc
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_lm": op10_lm,
+    "op11_warc": op11_warc,
+    "op12_trie": op12_trie,
     "op13_infill": op13_infill,
 }
 
@@ -33,5 +37,7 @@ ORACLES: dict[str, str] = {
     "op2_mixing": ORACLE_OP2,
     "op3_license": ORACLE_OP3,
     "op7_topk": ORACLE_OP7,
+    "op11_warc": ORACLE_OP11,
+    "op12_trie": ORACLE_OP12,
     "op13_infill": ORACLE_OP13,
 }
