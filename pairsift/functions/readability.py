@@ -1,7 +1,6 @@
-"""Flesch-Kincaid grade (Kincaid 1975) with counted heuristics.
+"""Flesch-Kincaid grade (Kincaid 1975), with syllables by letter patterns and sentences that abbreviations do not end.
 
-Sentences are runs of ``.!?``, one at least; syllables are vowel groups, one a word at least. A text without words
-has neither term, so its grade is the constant.
+A text without words has neither term, so its grade is the constant.
 """
 
 from __future__ import annotations
@@ -9,15 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .syllables import sentences, syllables
 from .text import present
 
 
-def syllables(text: Column, tokens: Column) -> Column:
-    """No vowel group spans white space, so groups are counted over the text and words without any are added."""
-    return F.regexp_count(F.lower(text), F.lit("[aeiouy]+")) + F.size(F.filter(tokens, lambda w: ~F.lower(w).rlike("[aeiouy]")))
-
-
 def fk_grade(text: Column | str, tokens: Column) -> Column:
-    text = present(text)
-    n, sentences = F.size(tokens), F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
-    return F.lit(0.39) * n / sentences + F.lit(11.8) * F.when(n > 0, syllables(text, tokens) / n).otherwise(0.0) - 15.59
+    text, n = present(text), F.size(tokens)
+    return F.when(n > 0, F.lit(0.39) * n / sentences(text) + F.lit(11.8) * syllables(text, tokens) / n).otherwise(0.0) - 15.59

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.syllables import ABBREVIATIONS, MARKED, PATTERNS, placed
 from .operators.detectors import REFUSALS, UNSAFE
 from .operators.judge import USER_PROMPT
 from .queries import WEIGHTS
@@ -106,8 +107,40 @@ log AS (
 _F32 = "CAST(CAST({0} AS FLOAT) AS DOUBLE)"
 _RATIO = "CASE WHEN greatest(len(cw), len(rw)) = 0 THEN 1.0 ELSE least(len(cw), len(rw))::DOUBLE / greatest(len(cw), len(rw), 1) END"
 _UNIQUE = "CASE WHEN len({0}) = 0 THEN 1.0 ELSE len(list_distinct({0}))::DOUBLE / len({0}) END"
-_SYLLABLES = "(len(regexp_extract_all(lower({0}), '[aeiouy]+')) + len(list_filter({1}, lambda w: NOT regexp_matches(lower(w), '[aeiouy]'))))"
-_GRADE = "(0.39::DOUBLE * len({1}) / greatest(len(regexp_extract_all({0}, '[.!?]+')), 1) + 11.8::DOUBLE * CASE WHEN len({1}) > 0 THEN " + _SYLLABLES + "::DOUBLE / len({1}) ELSE 0 END - 15.59::DOUBLE)"
+_GRADE = "CASE WHEN len({1}) > 0 THEN 0.39::DOUBLE * len({1}) / {2}_sentences + 11.8::DOUBLE * {2}_syllables / len({1}) ELSE 0 END - 15.59::DOUBLE"
+_CLOSED = "[)\\]}\"''”’»]*$"
+
+
+def _reading(source: str, key: str, tokens: dict[str, str]) -> str:
+    """CTE reading: the key, and NAME_syllables and NAME_sentences of the words in the columns ``tokens`` of a table.
+
+    Patterns are joined with the pieces of each distinct word; sentences are seen from neighbouring words.
+    """
+    table = ", ".join(f"('{before + behind}', {len(before)}, {priority})" for before, priority, behind in map(placed, PATTERNS))
+    every = " UNION ALL ".join(f"SELECT {key} AS id, '{name}' AS side, unnest({column}) AS w FROM {source}" for name, column in tokens.items())
+    short = "|".join(ABBREVIATIONS)
+
+    def ends(w: str, i: str) -> str:
+        single = rf"regexp_matches({w}[{i}], '(^|[^.!?…])\.{_CLOSED}') AND regexp_matches({w}[{i}], '(^|[^\p{{L}}])((?i:{short})|\p{{L}})\.{_CLOSED}')"
+        return f"regexp_matches({w}[{i}], '[.!?…]{_CLOSED}') AND NOT ({single})"
+
+    def counted(w: str) -> str:
+        inside = rf"len(list_filter(range(1, len({w}) + 1), lambda i: {ends(w, 'i')} AND (i = len({w}) OR NOT regexp_matches({w}[i + 1], '^\p{{Ll}}'))))"
+        return f"{inside} + CASE WHEN len({w}) > 0 AND {ends(w, f'len({w})')} THEN 0 ELSE 1 END"
+
+    sums = ", ".join(f"coalesce((SELECT n FROM spoken s WHERE s.id = {key} AND s.side = '{name}'), 0) AS {name}_syllables, {counted(column)} AS {name}_sentences" for name, column in tokens.items())
+    return f""", pat(letters, place, priority) AS (VALUES {table}),
+every AS ({every}),
+padded AS (SELECT w, '.' || regexp_replace(translate(lower(w), '{MARKED[0]}', '{MARKED[1]}'), '[^a-z]', '.', 'g') || '.' AS p FROM (SELECT DISTINCT w FROM every)),
+pieces AS (SELECT w, pos, substr(p, pos, size) AS letters FROM (SELECT w, p, unnest(range(1, length(p) + 1)) AS pos FROM padded), range(1, 13) AS r(size) WHERE pos + size <= length(p) + 1),
+tops AS (SELECT w, pos + place AS spot, max(priority) AS top FROM pieces JOIN pat USING (letters) GROUP BY ALL),
+cores AS (SELECT w, greatest(count(*) FILTER (top % 2 = 1), 1) AS n FROM tops GROUP BY w),
+spoken AS (SELECT id, side, sum(coalesce(n, 1)) AS n FROM every LEFT JOIN cores USING (w) GROUP BY id, side),
+reading AS (SELECT *, {sums} FROM {source})"""
+
+
+_BOTH = {"chosen": "cw", "rejected": "rw"}
+GRADED = TOKENS + _reading("tok", "example_id", _BOTH)
 
 
 def _ngram(tokens: str, n: int) -> str:
@@ -126,7 +159,7 @@ SCORES = {
     "repetition": _F32.format(f"least({_UNIQUE.format('cl')}, {_UNIQUE.format('rl')})"),
     "unsafe_prompt": f"len({_CATEGORIES})::DOUBLE",
     "refusal_bias": f"CASE WHEN len(rw) >= 20 AND {_REFUSAL} THEN 1.0 ELSE 0.0 END::DOUBLE",
-    "readability_mismatch": _F32.format(f"CASE WHEN least(len(cw), len(rw)) >= 10 THEN {_GRADE.format('chosen', 'cw')} - {_GRADE.format('rejected', 'rw')} ELSE 0.0 END"),
+    "readability_mismatch": _F32.format(f"CASE WHEN least(len(cw), len(rw)) >= 10 THEN ({_GRADE.format('', 'cw', 'chosen')}) - ({_GRADE.format('', 'rw', 'rejected')}) ELSE 0.0 END"),
 }
 COMPARE = {"length_ratio": "<=", "repetition": "<=", "llm_judge": "<"}
 FIXED = {"unsafe_prompt": "1.0", "refusal_bias": "0.5", "llm_judge": "3.0"}
@@ -200,6 +233,22 @@ _add("ingest_errors", TRANSCRIPTS, "SELECT dataset_index AS \"index\", 'text is
 _add("ingest_summary", TRANSCRIPTS, "SELECT count(*) AS total_processed, count(*) FILTER (dataset_index % 3 <> 0 AND chosen IS NOT NULL AND rejected IS NOT NULL) AS total_inserted, count(*) FILTER (dataset_index % 3 = 0) AS skipped, count(*) FILTER (dataset_index % 3 <> 0 AND (chosen IS NULL OR rejected IS NULL)) AS errors FROM raw WHERE dataset_index >= 5")
 _add("ingest_progress", _PARSED, "SELECT count(*) AS \"count\", coalesce(max(dataset_index), -1) AS max_index FROM parsed")
 
+_add("stream_examples", _PARSED, "SELECT * FROM parsed")
+_STREAM = _PARSED + f""", tok AS (
+  SELECT *, {_WORDS.format("chosen")} AS cw, {_WORDS.format("rejected")} AS rw, {_WORDS.format("lower(chosen)")} AS cl, {_WORDS.format("lower(rejected)")} AS rl
+  FROM (SELECT dataset_index, prompt, chosen_last_assistant AS chosen, rejected_last_assistant AS rejected FROM parsed)
+)""" + _reading("tok", "dataset_index", _BOTH)
+_streams = []
+for _name, _score in SCORES.items():
+    if _name in FIXED:
+        _streams.append(f"SELECT dataset_index, '{_name}' AS detector_name, {_score} AS score, {_score} >= {FIXED[_name]} AS flagged FROM reading")
+    else:
+        _at = lambda p: f"(SELECT quantile_cont({_score}, {p}) FROM reading)"  # noqa: B023, E731
+        _p = _PERCENTILES[_name] / 100
+        _free = f"{_score} BETWEEN {_at(max(0, round(_p - 0.01, 4)))} AND {_at(min(1, round(_p + 0.01, 4)))}"
+        _streams.append(f"SELECT dataset_index, '{_name}' AS detector_name, {_score} AS score, CASE WHEN NOT ({_free}) THEN {_score} {COMPARE.get(_name, '>=')} {_at(_p)} END AS flagged FROM reading")
+_add("stream_signals", _STREAM, " UNION ALL ".join(_streams))
+
 _add("example_by_index", PAIRS, "SELECT id, dataset_index, prompt FROM examples WHERE dataset_index = 5")
 _add("example_by_id", PAIRS, "SELECT id, dataset_index, prompt FROM examples WHERE id = 8")
 _add("examples_page", PAIRS, "SELECT id, dataset_index, prompt FROM examples ORDER BY id LIMIT 15 OFFSET 20")
@@ -213,9 +262,10 @@ _add("signal_exists", HISTORY, "SELECT count(*) > 0 AS found FROM signals WHERE
 
 for _name, _score in SCORES.items():
     _short = {"readability_mismatch": "readability"}.get(_name, _name)
-    _add(f"score_{_short}", TOKENS, f"SELECT example_id, {_score} AS score FROM tok")
+    _ctes, _from = (GRADED, "reading") if _name == "readability_mismatch" else (TOKENS, "tok")
+    _add(f"score_{_short}", _ctes, f"SELECT example_id, {_score} AS score FROM {_from}")
     _threshold = FIXED.get(_name) or f"(SELECT quantile_cont(score, {_PERCENTILES[_name] / 100}) FROM s)"
-    _add(f"run_{_short}", TOKENS + f", s AS (SELECT example_id, {_score} AS score FROM tok)", f"SELECT example_id, score, score {COMPARE.get(_name, '>=')} {_threshold} AS flagged, round({_threshold}::DOUBLE, 9) AS threshold FROM s")
+    _add(f"run_{_short}", _ctes + f", s AS (SELECT example_id, {_score} AS score FROM {_from})", f"SELECT example_id, score, score {COMPARE.get(_name, '>=')} {_threshold} AS flagged, round({_threshold}::DOUBLE, 9) AS threshold FROM s")
 _add("score_semantic_similarity", EMBEDDINGS, "SELECT * FROM vectors")
 _add("run_semantic_similarity", EMBEDDINGS, "SELECT example_id, score, score >= t.threshold AS flagged, round(t.threshold, 9) AS threshold FROM vectors, (SELECT quantile_cont(score, 0.995) AS threshold FROM vectors) t")
 _add("score_llm_judge", JUDGE, f"SELECT example_id, {_LEAST}::DOUBLE AS score FROM judged")
@@ -226,8 +276,28 @@ _add("meta_repetition", TOKENS, f"SELECT example_id, {_UNIQUE.format('cl')} AS c
 _found = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any('chosen', [p])} THEN {_quoted(p)} END" for p in REFUSALS) + "], lambda x: x IS NOT NULL), ' & ')"
 _add("meta_refusal_bias", TOKENS, f"SELECT example_id, {_REFUSAL} AS chosen_is_refusal, len(rw) >= 20 AS rejected_is_substantive, {_found} AS matched_patterns, CAST(len(rw) AS INTEGER) AS rejected_word_count FROM tok")
 _add("meta_unsafe_prompt", TOKENS, f"SELECT example_id, array_to_string({_CATEGORIES}, ',') AS unsafe_categories, CAST(len({_CATEGORIES}) AS INTEGER) AS category_count FROM tok")
-_add("meta_readability", TOKENS, f"SELECT example_id, round({_GRADE.format('chosen', 'cw')}, 9) AS chosen_grade_level, round({_GRADE.format('rejected', 'rw')}, 9) AS rejected_grade_level, round({_GRADE.format('chosen', 'cw')} - {_GRADE.format('rejected', 'rw')}, 9) AS grade_difference FROM tok")
+_add("meta_readability", GRADED, f"SELECT example_id, round({_GRADE.format('', 'cw', 'chosen')}, 9) AS chosen_grade_level, round({_GRADE.format('', 'rw', 'rejected')}, 9) AS rejected_grade_level, round(({_GRADE.format('', 'cw', 'chosen')}) - ({_GRADE.format('', 'rw', 'rejected')}), 9) AS grade_difference FROM reading")
 _add("meta_semantic_similarity", EMBEDDINGS, "SELECT example_id, score AS similarity, 'all-MiniLM-L6-v2' AS model FROM vectors")
+_add(
+    "score_own_similarity",
+    PAIRS
+    + r""", texts AS (
+  SELECT dataset_index * 2 AS id, lower(chosen) AS text FROM pairs UNION ALL SELECT dataset_index * 2 + 1, lower(rejected) FROM pairs
+), tf AS (
+  SELECT id, w, count(*) AS n FROM (SELECT id, unnest(CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN regexp_extract_all(text, '[\p{L}\p{N}]+') ELSE [''] END) AS w FROM texts) GROUP BY id, w
+), hashed AS (
+  SELECT w, sha256(w) AS h FROM (SELECT DISTINCT w FROM tf)
+), df AS (
+  SELECT h[1:5] AS bucket, count(DISTINCT id) AS n FROM tf JOIN hashed USING (w) GROUP BY bucket
+), weights AS (
+  SELECT w, h, floor(1024 * (ln((1 + (SELECT count(*) FROM texts)) / (1.0::DOUBLE + df.n)) + 1) + 0.5) AS idf FROM hashed JOIN df ON df.bucket = h[1:5]
+), signs AS (
+  SELECT w, idf, j, 2 * (((strpos('0123456789abcdef', h[j // 4 + 1]) - 1) >> (3 - j % 4)) & 1) - 1 AS s FROM weights, range(256) AS r(j)
+), vectors AS (
+  SELECT id, j, sum(floor(idf * (1 + ln(n)) + 0.5) * s) AS x FROM tf JOIN signs USING (w) GROUP BY id, j
+)""",
+    "SELECT a.id // 2 AS example_id, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 9) AS similarity FROM vectors a JOIN vectors b ON b.id = a.id + 1 AND b.j = a.j WHERE a.id % 2 = 0 GROUP BY a.id",
+)
 # The detectors in their order, how scores meet thresholds, constant thresholds, usual and configured percentiles.
 _REGISTRY = """
 (0, 'semantic_similarity', 'ge', NULL, 99.5, 99.5),
@@ -240,7 +310,7 @@ _REGISTRY = """
 ORACLES["detector_registry"] = f"SELECT position::INTEGER AS position, name, comparison, fixed_threshold::DOUBLE AS fixed_threshold, default_percentile::DOUBLE AS default_percentile, percentile::DOUBLE AS percentile FROM (VALUES {_REGISTRY}) AS t(position, name, comparison, fixed_threshold, default_percentile, percentile)"
 _docs = f"d AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, {_WORDS.format('lower(text)')} AS l FROM documents)"
 _add("ngram_repetition", _docs, f"SELECT doc_id, {_ngram('l', 2)} AS rate2, {_ngram('l', 4)} AS rate4, {_UNIQUE.format('l')} AS unique_ratio FROM d")
-_add("fk_grade", _docs, f"SELECT doc_id, round({_GRADE.format('text', 'w')}, 9) AS grade FROM d")
+_add("fk_grade", _docs + _reading("d", "doc_id", {"text": "w"}), f"SELECT doc_id, round({_GRADE.format('', 'w', 'text')}, 9) AS grade FROM reading")
 _message = " || ".join(_quoted(part) + ("" if i == 3 else f" || substr({('prompt', 'chosen', 'rejected')[i]}, 1, 2000)") for i, part in enumerate(USER_PROMPT.split("%s")))
 _add("judge_prompt", TOKENS, f"SELECT example_id, {_message} AS message FROM tok")
 
@@ -252,15 +322,30 @@ _cliff = ", ".join(f"({p}::DOUBLE, (SELECT quantile_cont(score, {p / 100}) FROM
 _add("threshold_cliff", _LENGTHS + f", v(p, x) AS (VALUES {_cliff})", "SELECT p AS percentile, round(x, 9) AS threshold_value, round(j, 9) AS jump_size FROM (SELECT p, x, abs(x - lag(x) OVER (ORDER BY p)) AS j FROM v) WHERE j IS NOT NULL ORDER BY j DESC, p LIMIT 1")
 _add(
     "compare_distributions",
-    _LENGTHS + ", n AS (SELECT count(*) FILTER (example_id % 3 = 0) AS n_a, count(*) FILTER (example_id % 3 <> 0) AS n_b FROM s), k AS (SELECT DISTINCT score, count(*) FILTER (example_id % 3 = 0) OVER w AS a, count(*) FILTER (example_id % 3 <> 0) OVER w AS b FROM s WINDOW w AS (ORDER BY score RANGE UNBOUNDED PRECEDING))",
-    "SELECT round((SELECT max(abs(a / n_a - b / n_b)) FROM k), 9) AS ks_statistic, (SELECT round(CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * exp(-2.0::DOUBLE * i * i * x * x))))) END, 9) FROM (SELECT (e + 0.12::DOUBLE + 0.11::DOUBLE / e) * (SELECT max(abs(a / n_a - b / n_b)) FROM k) AS x FROM (SELECT sqrt(n_a::DOUBLE * n_b / (n_a + n_b)) AS e))) AS p_value, round((SELECT avg(score) FILTER (example_id % 3 = 0) - avg(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS mean_diff, round((SELECT stddev_pop(score) FILTER (example_id % 3 = 0) - stddev_pop(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS std_diff, n_a, n_b FROM n",
+    _LENGTHS
+    + """, n AS (
+  SELECT count(*) FILTER (example_id % 3 = 0) AS n_a, count(*) FILTER (example_id % 3 <> 0) AS n_b FROM s
+), k AS (
+  SELECT DISTINCT score, count(*) FILTER (example_id % 3 = 0) OVER w AS a, count(*) FILTER (example_id % 3 <> 0) OVER w AS b FROM s WINDOW w AS (ORDER BY score RANGE UNBOUNDED PRECEDING)
+), d AS (
+  SELECT max(abs(a * n_b - b * n_a)) AS far FROM k, n
+), walks(t, inside) AS (
+  -- the share of the paths to the points (i, t - i) that have stayed nearer than far
+  SELECT 0::BIGINT, [1.0::DOUBLE]
+  UNION ALL
+  SELECT t + 1, list_transform(range(least(t + 1, n_a) + 1), lambda i: CASE WHEN t + 1 - i > n_b OR abs(i * n_b - (t + 1 - i) * n_a) >= far THEN 0.0::DOUBLE
+    ELSE (CASE WHEN i > 0 THEN inside[i] * i ELSE 0 END + coalesce(inside[i + 1], 0) * (t + 1 - i)) / (t + 1) END)
+  FROM walks, n, d WHERE t < n_a + n_b
+)""",
+    "SELECT round(far / (n_a * n_b), 9) AS ks_statistic, (SELECT round(1 - inside[n_a + 1], 9) FROM walks WHERE t = n_a + n_b) AS p_value, round((SELECT avg(score) FILTER (example_id % 3 = 0) - avg(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS mean_diff, round((SELECT stddev_pop(score) FILTER (example_id % 3 = 0) - stddev_pop(score) FILTER (example_id % 3 <> 0) FROM s), 9) AS std_diff, n_a, n_b FROM n, d",
 )
+ORACLES["compare_distributions"] = ORACLES["compare_distributions"].replace("WITH", "WITH RECURSIVE", 1)
 
 _all = []
 for _name, _score in SCORES.items():
-    _threshold = FIXED.get(_name) or f"(SELECT quantile_cont({_score}, {_PERCENTILES[_name] / 100}) FROM tok)"
-    _all.append(f"SELECT example_id, '{_name}' AS detector_name, round({_score}, 6) AS score, {_score} {COMPARE.get(_name, '>=')} {_threshold} AS flagged FROM tok")
-_add("run_all_signals", TOKENS, " UNION ALL ".join(_all))
+    _threshold = FIXED.get(_name) or f"(SELECT quantile_cont({_score}, {_PERCENTILES[_name] / 100}) FROM reading)"
+    _all.append(f"SELECT example_id, '{_name}' AS detector_name, round({_score}, 6) AS score, {_score} {COMPARE.get(_name, '>=')} {_threshold} AS flagged FROM reading")
+_add("run_all_signals", GRADED, " UNION ALL ".join(_all))
 _add("detector_run_summary", TOKENS + f", s AS (SELECT {SCORES['repetition']} AS score FROM tok), t AS (SELECT quantile_cont(score, 0.01) AS t FROM s)", f"SELECT 7::BIGINT AS id, 'repetition' AS detector_name, round(any_value(t), 9) AS threshold, 1.0::DOUBLE AS percentile_used, count(*) AS total_examples, count(*) FILTER (score <= t) AS flagged_count, {_STATS.format('score')} FROM s, t")
 _add("update_run", HISTORY, "SELECT id, detector_name, CASE WHEN id = 6 THEN 0.75 ELSE threshold END::DOUBLE AS threshold, CASE WHEN id = 6 THEN 11 ELSE total_examples END AS total_examples FROM runs")
 _RUNS = "* REPLACE (threshold::DOUBLE AS threshold, percentile_used::DOUBLE AS percentile_used)"

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .functions import dialogue, stats
 from .functions.readability import fk_grade
 from .functions.text import distinct_ratio, ngram_repetition, word_hashes, words
-from .operators import detectors, judge, reviews, reward
+from .operators import detectors, embedding, judge, reviews, reward
 from .plans import pipeline, reports
 from .plans.config import Settings
 from .sources import inputs, store
 from .sources.ingest import ingest, progress, source_limit
+from .streaming.ingest import raw_stream, settled, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +105,37 @@ def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress(ingest(inputs.raw_transcripts(spark, sf_dir)).examples)
 
 
+# ---------------------------------------------------------------- streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a finished stream over the raw transcripts, a third of which come once more in late files."""
+    root = store.shared_folder(spark)
+    raw = inputs.raw_transcripts(spark, sf_dir)
+    raw.write.parquet(f"{root}/raw")
+    raw.filter("dataset_index % 3 = 0").write.mode("append").parquet(f"{root}/raw")
+    start_ingest(raw_stream(spark, f"{root}/raw", 4), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+@query
+def stream_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/examples").drop("batch")
+
+
+@query
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags are null between the exact quantiles that stand the sketch's error from a threshold."""
+    rows = settled(spark, _streamed(spark, sf_dir))
+    free = F.lit(False)
+    for name in ("length_ratio", "repetition", "readability_mismatch"):
+        scores = rows.filter(F.col("detector_name") == name)
+        rank = Settings().detector(name).threshold_percentile
+        low, high = stats.exact_percentiles(scores, "score", [max(0.0, rank - 1.0), min(100.0, rank + 1.0)])
+        free = free | ((F.col("detector_name") == name) & F.col("score").between(low, high))
+    return rows.select("dataset_index", "detector_name", "score", F.when(~free, F.col("flagged")).alias("flagged"))
+
+
 # ---------------------------------------------------------------- lookups
 
 
@@ -216,6 +248,12 @@ def meta_unsafe_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("unsafe_categories", F.array_join("unsafe_categories", ","))
 
 
+@query
+def score_own_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir)
+    return embedding.own_similarity(pairs, embedding.fit_embedder(pairs, "chosen", "rejected")).select("example_id", F.round("similarity", 9).alias("similarity"))
+
+
 @query
 def ngram_repetition_(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.transform(words("text"), lambda w: F.lower(w))

@@ -29,18 +29,32 @@ SCHEMAS = {
 PARTITIONS = {"quality_signals": ["detector_name", "run_id"]}
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, where checkpoints go too: ``spark.checkpoint.dir``; in a local session without it, a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        root = context.getConf().get("spark.checkpoint.dir")
+        if root is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="pairsift-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables, deleted when the driver ends."""
+    folder = f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return folder
+
+
 def with_ids(df: DataFrame, order: str, start: int = 1) -> DataFrame:
     """The rows with consecutive ids in the order of a column, without sorting all of them in one task.
 
     Rows are range-partitioned and numbered inside each partition; counts of the partitions, one row each, give the
     starts. The dealt rows are checkpointed, as another run of the sampling could deal them otherwise.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = context.getConf().get("spark.checkpoint.dir")
-        if root is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="pairsift-"))
+    shared_root(df.sparkSession)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(tasks, order).withColumn("__part", F.spark_partition_id()).checkpoint()
     inside = F.row_number().over(W.partitionBy("__part").orderBy(order))

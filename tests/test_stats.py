@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -71,13 +74,45 @@ def test_compare_equals_brute_force(spark):
     assert stats.compare_distributions(frame(spark, a), frame(spark, b), "x").first()["ks_statistic"] == pytest.approx(want, abs=1e-12)
 
 
-def test_p_value(spark):
-    p = lambda statistic, n: spark.range(1).select(stats.ks_p_value(F.lit(statistic), n, n)).first()[0]
-    assert p(0.0, 100) == 1.0
-    assert p(1.0, 100) < 1e-20
-    assert p(0.136, 200) == pytest.approx(0.05, abs=0.01)
+def test_exact_p_values_equal_all_orders():
+    """Every order of the two samples' values is as likely: count those that are as far apart."""
+    for n_a, n_b in ((1, 1), (1, 8), (2, 3), (5, 5), (4, 7), (6, 6)):
+        reached = []
+        for places in itertools.combinations(range(n_a + n_b), n_a):
+            a, far = 0, 0
+            for k in range(n_a + n_b):
+                a += k in places
+                far = max(far, abs(a * n_b - (k + 1 - a) * n_a))
+            reached.append(far)
+        for far in {*reached, 0}:
+            want = sum(x >= far for x in reached) / math.comb(n_a + n_b, n_a)
+            assert stats.exact_ks_p_value(far / (n_a * n_b), n_a, n_b) == pytest.approx(want, abs=1e-12)
+
+
+# Of two samples of n values each, 2 * (C(2n, n - k) - C(2n, n - 2k) + ...) / C(2n, n) for a statistic of k / n.
+@pytest.mark.parametrize(
+    ("n", "k", "p"),
+    [(3, 3, 0.1), (4, 3, 0.228571429), (5, 4, 0.079365079), (8, 5, 0.087024087), (10, 6, 0.052447552), (10, 7, 0.012340601), (12, 12, 0.00000074), (15, 8, 0.026248486), (18, 6, 0.275418463), (19, 9, 0.02674948)],
+)
+def test_exact_p_values_of_equal_sizes(n, k, p):
+    closed = 2 * sum((-1) ** (i - 1) * math.comb(2 * n, n - i * k) for i in range(1, n // k + 1)) / math.comb(2 * n, n)
+    assert stats.exact_ks_p_value(k / n, n, n) == pytest.approx(closed, rel=1e-12)
+    assert stats.ks_p_value(k / n, n, n) == pytest.approx(p, abs=5e-10)
+
+
+def test_p_values_beyond_the_exact_ones(monkeypatch):
+    assert stats.ks_p_value(0.0, 100, 100) == 1.0
+    assert 0 < stats.ks_p_value(1.0, 100, 100) < 1e-50
+    assert stats.ks_p_value(0.136, 200, 200) == pytest.approx(0.05, abs=0.01)
+    for statistic, n_a, n_b in ((0.05, 2000, 1500), (0.03, 4000, 4000), (0.1, 700, 300)):
+        assert stats.asymptotic_ks_p_value(statistic, n_a, n_b) == pytest.approx(stats.exact_ks_p_value(statistic, n_a, n_b), rel=0.06)
+    monkeypatch.setattr(stats, "EXACT", 10)
+    assert stats.ks_p_value(0.2, 50, 40) == stats.asymptotic_ks_p_value(0.2, 50, 40)
+
+
+def test_drift_has_a_small_p_value(spark):
     drift = stats.compare_distributions(frame(spark, range(100)), frame(spark, [x + 40 for x in range(100)]), "x").first()
-    assert drift["p_value"] < 1e-6
+    assert drift["p_value"] == pytest.approx(stats.exact_ks_p_value(0.4, 100, 100)) and drift["p_value"] < 1e-6
 
 
 def test_grouped_stats_equal_numpy(spark, monkeypatch):

@@ -231,4 +231,4 @@ def test_streaming(spark, tmp_path):
     start_ingest(raw_stream(spark, source, 1), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "examples")).select("dataset_index").distinct().count() == 9
     signals = spark.read.parquet(str(tmp_path / "out" / "signals"))
-    assert signals.count() == 9 * 5 and signals.filter("detector_name = 'length_ratio' AND flagged IS NOT NULL").count() == 0
+    assert signals.count() == 9 * 5 and signals.filter("detector_name = 'length_ratio' AND flagged IS NOT NULL").count() == 9
