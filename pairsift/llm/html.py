@@ -2,17 +2,20 @@
 
 Each page is parsed into lines: the text of its blocks, menus and notices included. Pages of a host are ordered by URL
 path; each is paired with the neighbour that shares the longer path prefix, their lines are aligned by longest common
-subsequence, and shared lines are deleted.
+subsequence, and shared lines are deleted. The alignment is found exactly, in memory for a few rows of lines: bits of a
+whole row are worked on at once, and long pages are halved where a longest alignment passes.
 
 The markup guards on both sides. Lines inside an article or main element stay though they are shared: pages of a host
 may have articles in common. Lines that markup calls no article text (menus, headers, footers, sidebars, forms,
-adverts, notices, comments, and what stands beside an article) go though no neighbour shares them. All others are
-open, and the differencing alone decides on them: those of pages without such elements, and link lists inside an
-article. If no line would be left, the page is a copy of its neighbour, and no open line is deleted. Scripts and
-styles are no lines.
+adverts, notices, comments, and what stands beside an article that has more text) go though no neighbour shares them. All
+others are open, and the differencing alone decides on them: those of pages without such elements, and link lists inside
+an article. On a page without article or main whose every line is in parts told by class or id alone, those lines are
+open too, unless all such names are of adverts or notices. If no line would be left, the page is a copy of its
+neighbour, and no open line is deleted. Scripts and styles are no lines.
 
 All pages are cut into ranges of the order (host, path, id, a hash of the html, url), so no task gets a whole host. The first
 and the last pages of a range are sent to the ranges beside it too, so each page meets its nearest URLs of the whole host.
+There are ``RANGES_A_TASK`` ranges for each shuffle partition at most (or 1,024), dealt to them in turn.
 
 Nulls and edges: null html is empty; a null url is a host of its own; repeated pages are pages of their own (ties in
 the path are ordered by id, a hash of the html and url); tags cut off at the end of a page are dropped; empty tables give no rows.
@@ -22,10 +25,11 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,8 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form head header iframe input menu nav noscript object option select svg template textarea title video".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
+#: Without an end tag these take the rest of the page; of the others only the tag itself goes.
+_TO_END = frozenset({"script", "style", "textarea", "title"})
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Words that may stand beside a part's name in a dashed class; beside others (ad-free-content) the name says nothing.
@@ -45,15 +51,21 @@ FRAMES = frozenset("area bar block bottom box button buttons container form fram
 _CLOSED_BY = {"p": BLOCK - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 _SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S | re.I)
+#: A quote opens a value only behind an equals sign, and only if it is closed again.
+_VALUES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){_VALUES}>|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>{_VALUES})(?:>|\Z)", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 DROPPED_LINE, OPEN, ARTICLE = 0, 1, 2
+#: Names of parts that a page without article and main may also give its article.
+_VAGUE = frozenset("header masthead menu related sidebar toolbar widget".split())
+_NAMED = 1 << 20  # depth of a dropped element that is none but by such a name
 #: The order of the pages.
 KEY = ("host", "path", "id", "mark", "address")
 #: Each range costs the driver a sample of some hundred keys.
-MOST_RANGES = 1024
+RANGES_A_TASK = 4
 
 
 def _names_part(word: str) -> bool:
@@ -62,17 +74,19 @@ def _names_part(word: str) -> bool:
     return pieces[-1] in PARTS or pieces[0] in PARTS and all(x in PARTS or x in FRAMES or x.isdigit() for x in pieces[1:])
 
 
-def _is_part(name: str, attrs: str) -> bool:
-    """Whether an element is no article text by its name, role, class or id."""
+def _part(name: str, attrs: str) -> int:
+    """Whether an element is no article text: 2 by its name, role, class or id, 1 by a vague class or id alone, else 0."""
     if name in DROPPED:
-        return True
+        return 2
+    found = 0
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(map(_names_part, re.split(r"[\s_]+", value))):
-            return True
-    return False
+            return 2
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            for word in filter(_names_part, re.split(r"[\s_]+", value)):
+                found = max(found, 1 if set(word.split("-")) & PARTS <= _VAGUE else 2)
+    return found
 
 
 def parse_blocks(html: str) -> list[tuple[int, str]]:
@@ -80,22 +94,28 @@ def parse_blocks(html: str) -> list[tuple[int, str]]:
     stack: list[tuple[str, int, int]] = []  # element, dropped depth, article depth
     dropped = article = 0
     lines: list[tuple[int, str, int]] = []
+    vague: set[int] = set()  # places of lines that are dropped by vague names alone
+    endless: set[str] = set()  # raw elements without a further end tag
     text: list[str] = []
     beside: list[str] = []  # of dropped elements inside the block
     linked = total = 0
     links = 0
+    named = True  # whether all of ``beside`` is dropped by vague names alone
 
     def flush() -> None:
-        nonlocal linked, total
+        nonlocal linked, total, named
         for pieces in (text, beside):
             if pieces:
                 block = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
                 if block and pieces is beside:
+                    if named:
+                        vague.add(len(lines))
                     lines.append((DROPPED_LINE, block, 0))
                 elif block:
                     lines.append((ARTICLE if article and not (total and linked > 0.5 * total) else OPEN, block, article))
                 pieces.clear()
         linked = total = 0
+        named = True
 
     def leave(depth: int) -> None:
         nonlocal dropped, article, links
@@ -106,9 +126,10 @@ def parse_blocks(html: str) -> list[tuple[int, str]]:
             dropped, article = was_dropped, was_article
 
     def words(piece: str) -> None:
-        nonlocal linked, total
+        nonlocal linked, total, named
         if piece and dropped:
             beside.append(piece)
+            named = named and (dropped % _NAMED == 0 or not piece.strip())
         elif piece:
             text.append(piece)
             size = len(piece.strip())
@@ -116,14 +137,24 @@ def parse_blocks(html: str) -> list[tuple[int, str]]:
             linked += size if links else 0
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         words(html[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
-        if not name:
-            if m["raw"] and m["raw"].lower() in ("title", "textarea"):
+        if m["raw"]:
+            raw = m["raw"].lower()
+            if not (raw == "svg" and m[0].endswith("/>") or raw in endless):
+                if end := _RAW_END[raw].search(html, at):
+                    at = end.end()
+                elif raw in _TO_END:
+                    at = len(html)
+                else:
+                    endless.add(raw)
+            if raw in ("title", "textarea"):
                 flush()
             continue
+        if not name:
+            continue
         if name in BLOCK:
             flush()
         if m["close"]:
@@ -142,36 +173,92 @@ def parse_blocks(html: str) -> list[tuple[int, str]]:
         stack.append((name, dropped, article))
         if name == "a":
             links += 1
-        if dropped or _is_part(name, m["attrs"] or ""):
-            dropped += 1
+        if part := _part(name, m["attrs"] or "") or 2 * bool(dropped % _NAMED):
+            dropped += _NAMED if part == 1 else 1
+        elif dropped:
+            dropped += _NAMED
         elif name in ("article", "main"):
             article += 1
     words(re.sub(r"</?\Z", "", html[at:]))
     flush()
+    size = lambda inner: sum(len(x) for state, x, a in lines if state != DROPPED_LINE and bool(a) == inner)
     inside = any(a for _, _, a in lines)
-    return [(state if a or not inside else DROPPED_LINE, block) for state, block, a in lines]
+    if inside and size(True) < size(False):
+        inside = False  # what is marked as the article is its smaller part: its title, say
+        vague.clear()
+    elif not lines or any(state != DROPPED_LINE for state, _, _ in lines):
+        vague.clear()
+    return [(OPEN if i in vague and not inside else state if a or not inside else DROPPED_LINE, x) for i, (state, x, a) in enumerate(lines)]
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of one longest common subsequence with ``b``."""
+#: Bits of the rows that are kept to trace an alignment back.
+_AREA = 1 << 23
+
+
+def _masks(b: list[str], wanted: set[str]) -> dict[str, int]:
+    """For each wanted line the bits of its places in ``b``."""
     places = defaultdict(list)
     for j, line in enumerate(b):
-        places[line].append(j)
-    ends: list[int] = []
-    nodes: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                nodes.append(node)
+        if line in wanted:
+            places[line].append(j)
+    masks = {}
+    for line, at in places.items():
+        if len(at) < 16:
+            masks[line] = sum(1 << j for j in at)
+        else:
+            bits = np.zeros(len(b), np.uint8)
+            bits[at] = 1
+            masks[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return masks
+
+
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each line of ``a``, the places j of ``b`` where a longest common subsequence with b[: j + 1] is no longer than with b[:j], as bits."""
+    masks, every = _masks(b, set(a)), (1 << len(b)) - 1
+    row = every
+    for line in a:
+        hits = row & masks.get(line, 0)
+        row = (row + hits | row - hits) & every
+        yield row
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The lengths of longest common subsequences of ``a`` with b[:j], for each j."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of one longest common subsequence with ``b``."""
+    out: set[int] = set()
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        low, high, left, right = parts.pop()
+        n, m = high - low, right - left
+        if not n or not m:
+            continue
+        if n > 1 and n * m > _AREA:
+            # halves of ``a`` meet where their longest ones add up to the longest of all
+            middle = low + n // 2
+            head = _lengths(a[low:middle], b[left:right])
+            tail = _lengths(a[middle:high][::-1], b[left:right][::-1])[::-1]
+            cut = left + int(np.argmax(head + tail))
+            parts += [(low, middle, left, cut), (middle, high, cut, right)]
+            continue
+        rows = [x.to_bytes(m // 8 + 1, "little") for x in _rows(a[low:high], b[left:right])]
+        flat_at = lambda i, j: rows[i][j >> 3] >> (j & 7) & 1  # noqa: B023, E731
+        i, j = n, m
+        while i and j:
+            if flat_at(i - 1, j - 1):
+                j -= 1
             else:
-                ends[k], nodes[k] = j, node
-    out, node = set(), nodes[-1] if nodes else None
-    while node is not None:
-        out.add(node[0])
-        node = node[1]
+                i -= 1
+                if not i or flat_at(i - 1, j - 1):
+                    out.add(low + i)
+                    j -= 1
     return out
 
 
@@ -188,15 +275,13 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def difference(lines: list[tuple[int, str]], other: list[tuple[int, str]]) -> tuple[str, int, int]:
-    """The text of the kept lines of a page, held against its neighbour's; how many lines the alignment deleted, and how many more the markup."""
+    """The text of the kept lines of a page, held against its neighbour's; how many lines are not in it only because of the alignment, and how many by their markup."""
     shared = shared_lines([x for _, x in lines], [x for _, x in other])
     kept = [i for i, (state, _) in enumerate(lines) if state != DROPPED_LINE]
     gone = {i for i in kept if i in shared and lines[i][0] == OPEN}
     if len(gone) == len(kept):
         gone = set()
-    dropped = [i for i, (state, _) in enumerate(lines) if state == DROPPED_LINE]
-    aligned = len(gone) + sum(i in shared for i in dropped)
-    return "\n".join(lines[i][1] for i in kept if i not in gone), aligned, len(gone) + len(dropped) - aligned
+    return "\n".join(lines[i][1] for i in kept if i not in gone), len(gone), len(lines) - len(kept)
 
 
 def placed(pages: DataFrame) -> DataFrame:
@@ -256,14 +341,14 @@ def _prefix(a: str, b: str) -> int:
 
 
 def main_text(pages: DataFrame, group: int = 400) -> DataFrame:
-    """page_id, url, text, n_shared (lines deleted because a neighbour shares them) and n_marked (others deleted by their markup) of every row of (page_id, url, html).
+    """page_id, url, text, n_shared (lines that would be in the text without the neighbour) and n_marked (lines deleted by their markup) of every row of (page_id, url, html).
 
     ``group`` pages or more are a range, the result is the same for all.
     """
     limit_batches(pages.sparkSession)
     rows = placed(pages)
     tasks = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ends = range_ends(rows, min(MOST_RANGES, -(-pages.count() // group)))
+    ends = range_ends(rows, min(max(1024, RANGES_A_TASK * tasks), -(-pages.count() // group)))
     kind = dict(pages.dtypes)["page_id"]
     names = ["range", "own", "host", "path", "blocks", "page_id", "url"]
 
@@ -295,7 +380,7 @@ def main_text(pages: DataFrame, group: int = 400) -> DataFrame:
         if now is not None and now[1]:
             yield result([(*now[5:], *text(last, now, None))])
 
-    dealt = parsed(rows, ends).repartition(tasks, "range").sortWithinPartitions("range", *KEY)
+    dealt = parsed(rows, ends).repartitionById(tasks, F.col("range") % tasks).sortWithinPartitions("range", *KEY)
     return dealt.select(*names).mapInArrow(differ, f"page_id {kind}, url string, text string, n_shared int, n_marked int")
 
 
