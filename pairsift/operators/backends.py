@@ -5,9 +5,11 @@ A callable gets a list and returns one result for each of its items. It is made
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -83,9 +85,40 @@ def with_rewards(pairs: DataFrame, factory: Callable[[], Callable[[list[tuple[st
     return pairs.withColumns({"chosen_reward": score("prompt", "chosen"), "rejected_reward": score("prompt", "rejected")})
 
 
+def file_tokenizer(path: str, pattern: str | None = None) -> Callable[[], Callable[[str], list[int]]]:
+    """A factory, for ``tokenised_pairs``, of a tokenizer's file: .json (tokenizers), .model (sentencepiece) or .tiktoken (ranks, split by ``pattern``).
+
+    The driver reads the file and sends its bytes along, so workers need none. Strings of special tokens are ordinary text.
+    """
+    kind = path.rsplit(".", 1)[-1]
+    if kind not in ("json", "model", "tiktoken") or (kind == "tiktoken") != (pattern is not None):
+        raise ValueError("a tokenizer is a .json or .model file, or a .tiktoken file with its pattern")
+    body = Path(path).read_bytes()
+
+    def make() -> Callable[[str], list[int]]:
+        if kind == "json":
+            from tokenizers import Tokenizer
+
+            fast = Tokenizer.from_str(body.decode())
+            fast.no_truncation()
+            fast.no_padding()
+            fast.encode_special_tokens = True
+            return lambda text: fast.encode(text, add_special_tokens=False).ids
+        if kind == "model":
+            from sentencepiece import SentencePieceProcessor
+
+            return SentencePieceProcessor(model_proto=body).encode
+        import tiktoken
+
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, body.splitlines())}
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    return make
+
+
 @dataclass(frozen=True)
 class TokenSettings:
-    max_length: int = 512
+    max_length: int = 256
     pad_id: int = 0
     first: tuple[int, ...] = field(default=())  # ids before the prompt, between the texts, and at the end
     between: tuple[int, ...] = field(default=())

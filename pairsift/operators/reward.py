@@ -1,8 +1,7 @@
 """Reward models: pairwise loss, evaluation, training sets, and a linear Bradley-Terry model.
 
-The linear model is a logistic regression without intercept on the difference of the two responses' features. As
-only "chosen wins" is observed, each row also enters mirrored, with the other label. ``evaluated`` takes any rewards,
-so deep scorers plug in as columns.
+The linear model here has three features and fixed or fitted weights; ``trainer`` has one over hashed words. ``evaluated``
+takes any rewards, so deep scorers plug in as columns.
 """
 
 from __future__ import annotations
@@ -59,18 +58,6 @@ def differences(pairs: DataFrame) -> DataFrame:
     return both.select("dataset_index", *[(F.col(f"c_{f}") - F.col(f"r_{f}")).alias(f) for f in FEATURES])
 
 
-def fit_linear(pairs: DataFrame, l2: float = 1e-3) -> dict[str, float]:
-    """Weights of the features."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = differences(pairs)
-    mirrored = rows.withColumn("label", F.lit(1.0)).unionByName(rows.select("dataset_index", *[(-F.col(f)).alias(f) for f in FEATURES]).withColumn("label", F.lit(0.0)))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(mirrored)
-    model = LogisticRegression(fitIntercept=False, regParam=l2, standardization=False).fit(vectors)
-    return dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True))
-
-
 @dataclass(frozen=True)
 class Trained:
     weights: dict[str, float]

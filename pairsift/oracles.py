@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions.syllables import ABBREVIATIONS, MARKED, PATTERNS, placed
 from .operators.detectors import REFUSALS, UNSAFE
-from .operators.judge import USER_PROMPT
+from .operators.judge import SYSTEM_PROMPT, USER_PROMPT
 from .queries import WEIGHTS
 from .sources.inputs import DETECTORS, ODD_RESPONSES
 
@@ -311,8 +311,11 @@ ORACLES["detector_registry"] = f"SELECT position::INTEGER AS position, name, com
 _docs = f"d AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, {_WORDS.format('lower(text)')} AS l FROM documents)"
 _add("ngram_repetition", _docs, f"SELECT doc_id, {_ngram('l', 2)} AS rate2, {_ngram('l', 4)} AS rate4, {_UNIQUE.format('l')} AS unique_ratio FROM d")
 _add("fk_grade", _docs + _reading("d", "doc_id", {"text": "w"}), f"SELECT doc_id, round({_GRADE.format('', 'w', 'text')}, 9) AS grade FROM reading")
+# What a judge is asked with by default.
+_REQUEST = f"gpt-4o-mini\n0.0\n300\nTrue\n{SYSTEM_PROMPT}\n"
 _message = " || ".join(_quoted(part) + ("" if i == 3 else f" || substr({('prompt', 'chosen', 'rejected')[i]}, 1, 2000)") for i, part in enumerate(USER_PROMPT.split("%s")))
 _add("judge_prompt", TOKENS, f"SELECT example_id, {_message} AS message FROM tok")
+_add("judge_requests", TOKENS, f"SELECT sha256({_quoted(_REQUEST)} || message) AS request, count(*) AS pairs FROM (SELECT {_message} AS message FROM tok UNION ALL SELECT {_message} FROM tok WHERE example_id % 2 = 0) GROUP BY 1")
 
 _LENGTHS = TOKENS + f", s AS (SELECT example_id, {SCORES['length_ratio']} AS score FROM tok)"
 _STATS = "round(avg({0}), 9) AS mean, round(stddev_pop({0}), 9) AS std, round(min({0}), 9) AS min, round(max({0}), 9) AS max, " + ", ".join(f"round(quantile_cont({{0}}, {q}), 9) AS {n}" for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p99_5", 0.995)))
@@ -373,6 +376,60 @@ _add("training_pairs_clean", _EMPTIED, f"SELECT dataset_index, prompt, chosen, r
 _add("valid_to_original", _EMPTIED, f"SELECT row_number() OVER (ORDER BY dataset_index) - 1 AS position, dataset_index FROM emptied WHERE {_VALID}")
 _add("bt_loss", REWARDS, "SELECT round(avg(greatest(-gap, 0) + ln(1 + exp(-abs(gap)))), 9) AS loss, round(avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM gaps")
 _add("reward_eval", REWARDS, "SELECT round(avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy, count(*) FILTER (gap > 0) AS correct, count(*) AS total, round(avg(gap), 9) AS avg_reward_gap FROM gaps")
+_HASHED = "CAST('0x' || md5({0})[1:8] AS BIGINT)"
+_FEATURES = "list_transform(list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])), lambda f: " + _HASHED.format("f") + " % 64)"
+_SPREAD = "list_transform(range(64), lambda k: len(list_filter({0}, lambda b: b = k)) / sqrt(greatest(len({0}), 1)))"
+
+
+def _training(name: str, where: str) -> str:
+    """CTEs that end in NAME(t, w, m, v): weights and moments after each step over the pairs ``where`` holds for."""
+    return f""", {name}_rows AS (
+  SELECT example_id, d, epoch, {_HASHED.format("'1:' || epoch || ':' || example_id")} % (SELECT ceil(count(*) / 100) FROM spread WHERE {where})::BIGINT AS batch
+  FROM spread, range(2) AS r(epoch) WHERE {where}
+), {name}_steps AS (
+  SELECT row_number() OVER (ORDER BY epoch, batch) AS t, list(d) AS ds FROM {name}_rows GROUP BY epoch, batch
+), {name}(t, w, m, v) AS (
+  SELECT 0::BIGINT, list_transform(range(64), lambda k: 0.0::DOUBLE), list_transform(range(64), lambda k: 0.0::DOUBLE), list_transform(range(64), lambda k: 0.0::DOUBLE)
+  UNION ALL
+  SELECT t, list_transform(range(1, 65), lambda k: w[k] * (1 - 0.05::DOUBLE * 0.01::DOUBLE) - 0.05::DOUBLE * (m[k] / (1 - pow(0.9::DOUBLE, t))) / (sqrt(v[k] / (1 - pow(0.999::DOUBLE, t))) + 1e-8::DOUBLE)), m, v
+  FROM (
+    SELECT t, w, list_transform(range(1, 65), lambda k: 0.9::DOUBLE * m[k] + 0.1::DOUBLE * g[k]) AS m, list_transform(range(1, 65), lambda k: 0.999::DOUBLE * v[k] + 0.001::DOUBLE * g[k] * g[k]) AS v
+    FROM (
+      SELECT t, w, m, v, list_transform(range(1, 65), lambda k: list_sum(list_transform(range(1, len(ds) + 1), lambda i: -ds[i][k] * miss[i])) / len(ds)) AS g
+      FROM (SELECT s.t, w, m, v, ds, list_transform(ds, lambda d: 1 / (1 + exp(list_dot_product(w, d)))) AS miss FROM {name} n JOIN {name}_steps s ON s.t = n.t + 1)
+    )
+  )
+)"""
+
+
+def _tested(name: str) -> str:
+    return f"(SELECT list_dot_product(w, d) AS gap FROM spread, (SELECT w FROM {name} ORDER BY t DESC LIMIT 1) WHERE example_id % 5 = 0)"
+
+
+_SPREADS = f""", features AS (
+  SELECT example_id, {_FEATURES.format("cl")} AS c, {_FEATURES.format("rl")} AS r FROM tok
+), sides AS (
+  SELECT example_id, {_SPREAD.format("c")} AS c, {_SPREAD.format("r")} AS r FROM features
+), spread AS (
+  SELECT example_id, list_transform(range(1, 65), lambda k: c[k] - r[k]) AS d FROM sides
+)"""
+_add(
+    "reward_train_eval",
+    TOKENS + _SPREADS + _training("model", "example_id % 5 <> 0"),
+    f"SELECT round(avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy, count(*) FILTER (gap > 0) AS correct, count(*) AS total, round(avg(gap), 7) AS avg_reward_gap FROM {_tested('model')}",
+)
+_add(
+    "experiment_compare",
+    HISTORY
+    + TOKENS.replace(PAIRS, "")
+    + _SPREADS
+    + _training("clean", f"example_id % 5 <> 0 AND example_id + 1 NOT IN (SELECT s.example_id FROM signals s JOIN latest l ON l.id = s.run_id WHERE s.flagged AND s.detector_name IN {_LATE})")
+    + _training("whole", "example_id % 5 <> 0")
+    + f", e AS (SELECT * FROM (SELECT avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END) AS ca, avg(gap) AS cg FROM {_tested('clean')}), (SELECT avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END) AS ua, avg(gap) AS ug FROM {_tested('whole')}))",
+    "SELECT round(ca, 7) AS clean_accuracy, round(cg, 7) AS clean_gap, round(ua, 7) AS unfiltered_accuracy, round(ug, 7) AS unfiltered_gap, round(ca - ua, 7) AS accuracy_diff, round(cg - ug, 7) AS gap_diff, CASE WHEN ca - ua > 0 THEN 'clean' ELSE 'unfiltered' END AS winner FROM e",
+)
+for _name in ("reward_train_eval", "experiment_compare"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH", "WITH RECURSIVE", 1)
 _add(
     "experiment_winner",
     TOKENS + f", gaps AS (SELECT example_id, {_REWARD('c', 'chosen')} - {_REWARD('r', 'rejected')} AS gap FROM tok), e AS (SELECT avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (example_id % 4 <> 0) AS ca, avg(gap) FILTER (example_id % 4 <> 0) AS cg, avg(CASE WHEN gap > 0 THEN 1.0::DOUBLE ELSE 0 END) AS ua, avg(gap) AS ug FROM gaps)",

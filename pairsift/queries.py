@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import dialogue, stats
 from .functions.readability import fk_grade
 from .functions.text import distinct_ratio, ngram_repetition, word_hashes, words
-from .operators import detectors, embedding, judge, reviews, reward
+from .operators import detectors, embedding, judge, memo, reviews, reward, trainer
 from .plans import pipeline, reports
 from .plans.config import Settings
 from .sources import inputs, store
@@ -278,6 +278,14 @@ def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("example_id", judge.judge_prompt().alias("message"))
 
 
+@query
+def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs share a request, of all pairs and of half of them once more."""
+    pairs = _pairs(spark, sf_dir)
+    every = pairs.unionByName(pairs.filter("example_id % 2 = 0"))
+    return every.groupBy(memo.request_key(judge.judge_prompt()).alias("request")).agg(F.count("*").alias("pairs"))
+
+
 @query
 def detector_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(i, d.name, d.comparison, d.fixed_threshold, d.default_percentile, Settings().detector(d.name).threshold_percentile) for i, d in enumerate(detectors.registry().values())]
@@ -478,11 +486,19 @@ def reward_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.round("accuracy", 9).alias("accuracy"), "correct", "total", F.round("avg_reward_gap", 9).alias("avg_reward_gap"))
 
 
+#: Few weights, so that SQL can train the same model.
+SMALL = trainer.TrainSettings(bits=6, epochs=2, batch_size=100, rate=0.05)
+
+
+def _trained(train: DataFrame, test: DataFrame) -> DataFrame:
+    return reward.evaluated(trainer.rewards(test, trainer.train(train, SMALL)))
+
+
 @query
 def reward_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = inputs.pairs(spark, sf_dir)
-    trained = reward.train_linear(pairs.filter("dataset_index % 5 <> 0"))
-    return reward.evaluated(reward.linear_rewards(pairs.filter("dataset_index % 5 = 0"), trained.weights))
+    one = _trained(pairs.filter("dataset_index % 5 <> 0"), pairs.filter("dataset_index % 5 = 0"))
+    return one.select(F.round("accuracy", 9).alias("accuracy"), "correct", "total", F.round("avg_reward_gap", 7).alias("avg_reward_gap"))
 
 
 @query
@@ -490,7 +506,8 @@ def experiment_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = inputs.pairs(spark, sf_dir)
     train, test = pairs.filter("dataset_index % 5 <> 0"), pairs.filter("dataset_index % 5 = 0")
     clean = train.join(_clean_index(spark, sf_dir), "dataset_index", "left_anti")
-    return reward.compare(*[reward.evaluated(reward.linear_rewards(test, reward.fit_linear(rows))) for rows in (clean, train)])
+    one = reward.compare(_trained(clean, test), _trained(train, test))
+    return one.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in one.dtypes])
 
 
 @query

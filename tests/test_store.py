@@ -117,7 +117,7 @@ def test_reward(spark):
     empty = reward.evaluated(rewards.limit(0)).first()
     assert (empty["accuracy"], empty["total"], empty["avg_reward_gap"]) == (0.0, 0, 0.0)
     pairs = spark.createDataFrame([(i, "p", "word " * (i % 5 + 3), "word " * (i % 3 + 1)) for i in range(40)], "dataset_index long, prompt string, chosen string, rejected string")
-    weights = reward.fit_linear(pairs)
+    weights = reward.train_linear(pairs).weights
     assert reward.evaluated(reward.linear_rewards(pairs, weights)).first()["accuracy"] > 0.9
     assert reward.training_pairs(pairs.unionByName(spark.createDataFrame([(99, "", "a", "b")], pairs.schema)), pairs.limit(0)).count() == 40
 

@@ -1,0 +1,51 @@
+import os
+
+import pytest
+
+from pairsift.operators.backends import TokenSettings, cut_pair, file_tokenizer, tokenised_pairs
+
+FOLDER = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tokenizer files here")
+TEXTS = ["", "Hello world, how are you?", "Ünïcode 😀 日本", "<|endoftext|> is plain text", " spaces  and\nlines\t", "x" * 3000, None]
+
+
+def pattern():
+    return pytest.importorskip("public_tokenizers").PATTERN
+
+
+def files():
+    yield "byte_bpe_50k.json", None
+    yield "piece_bpe_32k.model", None
+    yield "byte_bpe_50k.tiktoken", pattern()
+
+
+def test_ids_are_those_of_the_library(spark):
+    pairs = spark.createDataFrame([(i, "A prompt.", t, "no") for i, t in enumerate(TEXTS)], "example_id long, prompt string, chosen string, rejected string").repartition(2)
+    for name, how in files():
+        factory = file_tokenizer(f"{FOLDER}/{name}", how)
+        direct = factory()
+        for settings in (TokenSettings(), TokenSettings(max_length=12, pad_id=7, first=(1,), between=(2, 2), last=(3,))):
+            room = settings.max_length - len(settings.first) - len(settings.between) - len(settings.last)
+            for r in tokenised_pairs(pairs, factory, settings).collect():
+                a, b = cut_pair(list(direct("A prompt.")), list(direct(TEXTS[r["example_id"]] or "")), room)
+                row = [*settings.first, *a, *settings.between, *b, *settings.last]
+                assert r["chosen_input_ids"] == row + [settings.pad_id] * (settings.max_length - len(row))
+                assert r["chosen_attention_mask"] == [1] * len(row) + [0] * (settings.max_length - len(row))
+
+
+def test_byte_level_files_agree_and_give_texts_back():
+    from tokenizers import Tokenizer
+
+    fast, ranks = file_tokenizer(f"{FOLDER}/byte_bpe_50k.json")(), file_tokenizer(f"{FOLDER}/byte_bpe_50k.tiktoken", pattern())()
+    whole = Tokenizer.from_file(f"{FOLDER}/byte_bpe_50k.json")
+    for text in filter(None, TEXTS):
+        assert list(fast(text)) == list(ranks(text)) and 50256 not in fast(text)
+        assert whole.decode(fast(text), skip_special_tokens=False) == text
+
+
+def test_other_files():
+    for wrong in ("x.txt", "x.tiktoken"):
+        with pytest.raises(ValueError):
+            file_tokenizer(wrong)
+    with pytest.raises(FileNotFoundError):
+        file_tokenizer(f"{FOLDER}/none.json")
