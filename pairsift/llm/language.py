@@ -3,7 +3,8 @@
 Document frequencies are counted over every training document, in one distributed pass; the regression is
 fitted on a bounded sample of them, and every whole text is scored. The sample is drawn by a hash: ``sample_rows`` rows
 in expectation, but of each language at least ``language_rows`` (all, if it has fewer), so rare languages are learned
-too; the ``most_languages`` most frequent ones are told apart, and the sample holds ``sample_bytes`` of text at most.
+too, and the sample holds ``sample_bytes`` of text at most. All languages are told apart; if they are more than a model of
+``model_bytes`` has room for (2,048 by default), that is a ValueError.
 
 Nulls and edges: a null text, or one without a letter, is ``und`` with score 0; rows with a null language or a
 null id teach nothing; a null id is not held out; without any training row every text is ``und``. Repeated rows
@@ -32,7 +33,7 @@ class LanguageSettings:
     bits: int = 15
     sample_rows: int = 2500  # the regression's training rows; an upper bound in expectation
     language_rows: int = 100  # of each language, at least
-    most_languages: int = 256
+    model_bytes: int = 1 << 30  # of the regression while it learns, 16 a weight
     sample_bytes: int = 1 << 26
     epochs: int = 3
     alpha: float = 0.5
@@ -40,6 +41,10 @@ class LanguageSettings:
     l1: float = 0.02
     l2: float = 0.1
 
+    @property
+    def most_languages(self) -> int:
+        return self.model_bytes >> self.bits + 4
+
 
 @dataclass
 class LanguageModel:
@@ -115,7 +120,9 @@ def train_language_model(docs: DataFrame, settings: LanguageSettings = LanguageS
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("at"))
     n, frequencies = document_frequencies(rows.select("text"), settings)
     idf = np.log((1.0 + n) / (1.0 + frequencies)) + 1.0
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.most_languages + 1).collect()
+    if len(sizes) > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages: raise model_bytes or lower bits")
     share = min(1.0, settings.sample_rows / max(n, 1))
     shares = {r["lang"]: max(share, min(1.0, settings.language_rows / r["n"])) for r in sizes}
     limits = F.create_map(*[F.lit(x) for lang, part in shares.items() for x in (lang, int(part * DRAWS) or 1)]) if shares else F.lit(None).cast("map<string,long>")
