@@ -307,7 +307,11 @@ _REGISTRY = """
 (4, 'refusal_bias', 'ge', 0.5, 99.0, 99.0),
 (5, 'unsafe_prompt', 'ge', 1.0, 99.0, 99.0),
 (6, 'llm_judge', 'lt', 3.0, 99.5, 99.5)"""
-ORACLES["detector_registry"] = f"SELECT position::INTEGER AS position, name, comparison, fixed_threshold::DOUBLE AS fixed_threshold, default_percentile::DOUBLE AS default_percentile, percentile::DOUBLE AS percentile FROM (VALUES {_REGISTRY}) AS t(position, name, comparison, fixed_threshold, default_percentile, percentile)"
+_add(
+    "detector_registry",
+    HISTORY + f", known(position, name, comparison, fixed_threshold, default_percentile, percentile) AS (VALUES {_REGISTRY})",
+    "SELECT position::INTEGER AS position, name, comparison, fixed_threshold::DOUBLE AS fixed_threshold, default_percentile::DOUBLE AS default_percentile, percentile::DOUBLE AS percentile, (SELECT count(*) FROM signals WHERE detector_name = name) AS signals, (SELECT count(*) FROM signals WHERE detector_name = name AND flagged) AS flagged FROM known",
+)
 _docs = f"d AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, {_WORDS.format('lower(text)')} AS l FROM documents)"
 _add("ngram_repetition", _docs, f"SELECT doc_id, {_ngram('l', 2)} AS rate2, {_ngram('l', 4)} AS rate4, {_UNIQUE.format('l')} AS unique_ratio FROM d")
 _add("fk_grade", _docs + _reading("d", "doc_id", {"text": "w"}), f"SELECT doc_id, round({_GRADE.format('', 'w', 'text')}, 9) AS grade FROM reading")
@@ -371,6 +375,14 @@ _add("reviews_for_examples", HISTORY + "," + REVIEWS, "SELECT example_id, label
 _add("review_stats", REVIEWS, "SELECT *, 0::BIGINT AS other FROM counts")
 _add("reviewer_precision", REVIEWS, "SELECT *, true_positive + false_positive + needs_review AS total, CASE WHEN true_positive + false_positive > 0 THEN round(100 * true_positive::DOUBLE / (true_positive + false_positive), 1) END AS precision FROM counts")
 
+_add("review_cube", REVIEWS, "SELECT detector_name, label, count(*) AS n FROM reviews GROUP BY CUBE (detector_name, label)")
+_add("review_thresholds", HISTORY + "," + REVIEWS, "SELECT l.example_id, l.detector_name, l.label, l.updated_at, r.id AS run_id, r.threshold::DOUBLE AS threshold FROM log l ASOF LEFT JOIN (SELECT * FROM runs WHERE completed_at IS NOT NULL) r ON l.detector_name = r.detector_name AND l.updated_at >= r.completed_at")
+_add(
+    "flag_set_sizes",
+    HISTORY + ", f AS (SELECT s.detector_name, s.run_id, s.example_id FROM signals s JOIN latest l ON l.id = s.run_id WHERE s.flagged), n AS (SELECT example_id, count(*) AS n FROM f GROUP BY example_id)",
+    "SELECT l.detector_name, l.id AS run_id, count(f.example_id) AS flagged, (SELECT count(*) FROM n) AS flagged_any, (SELECT count(*) FROM n) - count(*) FILTER (n.n = 1) AS flagged_without, count(*) FILTER (n.n = 1) AS flagged_only, count(*) FILTER (n.n > 1) AS flagged_also FROM latest l LEFT JOIN f ON f.run_id = l.id LEFT JOIN n USING (example_id) GROUP BY l.detector_name, l.id",
+)
+
 _add("training_from_db", HISTORY, "SELECT id, prompt, chosen, rejected FROM examples WHERE id IN (SELECT example_id FROM signals WHERE run_id = 5 AND NOT flagged)")
 _add("training_pairs_clean", _EMPTIED, f"SELECT dataset_index, prompt, chosen, rejected FROM emptied WHERE {_VALID} AND id NOT IN (SELECT s.example_id FROM signals s JOIN latest l ON l.id = s.run_id WHERE s.flagged AND s.detector_name IN {_LATE})")
 _add("valid_to_original", _EMPTIED, f"SELECT row_number() OVER (ORDER BY dataset_index) - 1 AS position, dataset_index FROM emptied WHERE {_VALID}")

@@ -1,7 +1,8 @@
 """Runs of detectors: score all pairs, find thresholds, flag, summarise.
 
 The scores of all detectors come from one pass over the texts. Only narrow score columns are kept between the two
-steps of a run (thresholds need all scores); detectors with a constant threshold need no second step.
+steps of a run (thresholds need all scores), as a table in the shared folder, so a lost executor costs no second pass over the
+texts; detectors with a constant threshold need no second step.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import PERCENTILES, exact_percentiles, grouped_stats
 from ..operators.detectors import Detector, registry, tokenised
+from ..sources.store import stored
 from .config import Settings
 
 
@@ -60,7 +62,7 @@ def run_detector(pairs: DataFrame, detector: Detector, percentile: float = 99.5,
     split = tokenised(pairs) if {"chosen", "rejected"} <= set(pairs.columns) else pairs
     scored = split.select("example_id", detector.score().alias("score"), (F.to_json(detector.metadata()) if metadata else F.lit(None).cast("string")).alias("metadata"))
     if detector.fixed_threshold is None:
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        scored = stored(scored)
     threshold = threshold_of(detector, scored.select("score"), "score", percentile)
     signals = scored.select("example_id", F.lit(run_id).cast("long").alias("run_id"), F.lit(detector.name).alias("detector_name"), "score", detector.flags(F.col("score"), F.lit(threshold)).alias("flagged"), "metadata")
     return DetectorRun(run_id, detector, threshold, percentile, signals)
@@ -98,7 +100,7 @@ def run_all(pairs: DataFrame, settings: Settings | None = None, names: list[str]
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
     detectors = usable(pairs, settings, names)
     split = tokenised(pairs) if {"chosen", "rejected"} <= set(pairs.columns) else pairs
-    scores = split.select("example_id", *[d.score().alias(n) for n, d in detectors.items()]).persist(StorageLevel.MEMORY_AND_DISK)
+    scores = stored(split.select("example_id", *[d.score().alias(n) for n, d in detectors.items()]))
     rows = []
     for name, detector in detectors.items():
         threshold = threshold_of(detector, scores.select(name), name, settings.detector(name).threshold_percentile)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dialogue, stats
 from .functions.readability import fk_grade
 from .functions.text import distinct_ratio, ngram_repetition, word_hashes, words
-from .operators import detectors, embedding, judge, memo, reviews, reward, trainer
+from .operators import detectors, embedding, history, judge, memo, reviews, reward, trainer
 from .plans import pipeline, reports
 from .plans.config import Settings
 from .sources import inputs, store
@@ -288,40 +290,56 @@ def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def detector_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detectors there are, and the signals that the store holds of each."""
     rows = [(i, d.name, d.comparison, d.fixed_threshold, d.default_percentile, Settings().detector(d.name).threshold_percentile) for i, d in enumerate(detectors.registry().values())]
-    return spark.createDataFrame(rows, "position int, name string, comparison string, fixed_threshold double, default_percentile double, percentile double")
+    known = spark.createDataFrame(rows, "position int, name string, comparison string, fixed_threshold double, default_percentile double, percentile double")
+    used = inputs.history_signals(spark, sf_dir).groupBy(F.col("detector_name").alias("name")).agg(F.count("*").alias("signals"), F.count_if("flagged").alias("flagged"))
+    return known.join(used, "name", "left")
 
 
 # ---------------------------------------------------------------- statistics
 
 
+@contextmanager
+def _kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """The rows kept while the statistics, which are found at once, read them."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["score_length_ratio"](spark, sf_dir)
 
 
 @query
 def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = stats.score_stats(_ratios(spark, sf_dir).persist(), "score")
+    with _kept(_ratios(spark, sf_dir)) as scores:
+        one = stats.score_stats(scores, "score")
     return one.select(*[F.round(c, 9).alias(c) for c in one.columns])
 
 
 @query
 def score_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = [0.0, 1.0, 37.5, 50.0, 99.9, 100.0]
-    values = stats.exact_percentiles(_ratios(spark, sf_dir).persist(), "score", wanted)
+    with _kept(_ratios(spark, sf_dir)) as scores:
+        values = stats.exact_percentiles(scores, "score", wanted)
     return spark.createDataFrame(list(zip(wanted, values, strict=True)), "percentile double, value double").select("percentile", F.round("value", 9).alias("value"))
 
 
 @query
 def threshold_cliff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.threshold_cliff(_ratios(spark, sf_dir).persist(), "score", [50.0, 75.0, 90.0, 95.0, 99.0])
+    with _kept(_ratios(spark, sf_dir)) as scores:
+        found = stats.threshold_cliff(scores, "score", [50.0, 75.0, 90.0, 95.0, 99.0])
     return spark.createDataFrame([found], "percentile double, threshold_value double, jump_size double").select("percentile", F.round("threshold_value", 9).alias("threshold_value"), F.round("jump_size", 9).alias("jump_size"))
 
 
 @query
 def compare_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _ratios(spark, sf_dir).persist()
-    one = stats.compare_distributions(scores.filter("example_id % 3 = 0"), scores.filter("example_id % 3 <> 0"), "score")
+    with _kept(_ratios(spark, sf_dir)) as scores:
+        one = stats.compare_distributions(scores.filter("example_id % 3 = 0"), scores.filter("example_id % 3 <> 0"), "score")
     return one.select(*[F.round(c, 9).alias(c) for c in ("ks_statistic", "p_value", "mean_diff", "std_diff")], "n_a", "n_b")
 
 
@@ -437,6 +455,23 @@ def reviewer_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.reviewer_precision(reviews.upserted(inputs.review_log(spark, sf_dir)))
 
 
+@query
+def review_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.review_cube(reviews.upserted(inputs.review_log(spark, sf_dir)))
+
+
+@query
+def review_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.runs_at_reviews(inputs.review_log(spark, sf_dir), inputs.history_runs(spark, sf_dir))
+
+
+@query
+def flag_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals, runs = _history(spark, sf_dir)
+    latest = reports.latest_runs(runs).select("detector_name", F.col("id").alias("run_id"))
+    return history.flag_set_sizes(history.flag_sketches(signals).join(latest, ["detector_name", "run_id"], "left_semi"))
+
+
 # ---------------------------------------------------------------- reward models
 
 

@@ -16,10 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a scan for each core, from which it is cut finely enough by itself.
+ENOUGH_BYTES = 32 << 20
+
+
 def dealt(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """The rows in as many tasks as the session has cores, if their source has fewer files: a file of one row group is read by one task, and texts are much work a byte."""
+    """The rows in as many tasks as the session has cores, if their source is small and comes in fewer pieces: texts are much work a byte.
+
+    What is shuffled is bounded by ``ENOUGH_BYTES`` a core; a large source is never shuffled, however few files it has.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(source.inputFiles()) < cores else rows
+    size = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if size < cores * ENOUGH_BYTES and len(source.inputFiles()) < cores else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

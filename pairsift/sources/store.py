@@ -4,10 +4,15 @@ Signals are partitioned by detector and run, so a report or a flag lookup reads
 writes next to the table and renames twice; between the renames there is no table for a moment, and if the second one
 fails the old table is put back. Appends inside a transaction are written aside and moved into their tables at its end,
 or deleted if it fails.
+
+Both first write down what they are about to move, in one file that appears whole, and delete it when all is in place. If the
+driver dies in between, the next store that is opened there moves the rest: a transaction comes about whole or not at all, over
+all its tables. There is one writer at a time: ids count on from the largest one, without a lock.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,6 +45,13 @@ def shared_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what is read again and again, and must outlive an executor."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for tables, deleted when the driver ends."""
     folder = f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
@@ -75,6 +87,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._aside: dict[str, list[str]] | None = None  # folders of an open transaction, by table
+        self.recover()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -126,14 +139,62 @@ class Store:
         self._aside = {}
         try:
             yield
-            for name, folders in self._aside.items():
-                for folder in folders:
-                    self._move(folder, self.path(name))
-        finally:
+        except BaseException:
             aside, self._aside = self._aside, None
             for folder in (f for folders in aside.values() for f in folders):
-                where, files = self._files(folder)
-                files.delete(where, True)
+                self._delete(folder)
+            raise
+        aside, self._aside = self._aside, None
+        self._commit([{"kind": "append", "table": name, "aside": folder} for name, folders in aside.items() for folder in folders])
+
+    def _delete(self, path: str) -> None:
+        where, files = self._files(path)
+        files.delete(where, True)
+
+    def _commit(self, steps: list[dict[str, str]]) -> None:
+        """Write the steps down, take them, and forget them."""
+        if not steps:
+            return
+        path = f"{self.root}/.intent-{uuid.uuid4().hex}"
+        where, files = self._files(f"{path}.part")
+        stream = files.create(where, True)
+        stream.write(bytearray(json.dumps(steps).encode()))
+        stream.close()
+        files.rename(where, self._files(path)[0])
+        self._take(path, steps)
+
+    def _take(self, path: str, steps: list[dict[str, str]]) -> None:
+        """Take the steps of an intent as far as they have not been taken, and delete it."""
+        for step in steps:
+            aside, files = self._files(step["aside"])
+            if step["kind"] == "append":
+                if files.exists(aside):
+                    self._move(step["aside"], self.path(step["table"]))
+                    files.delete(aside, True)
+                continue
+            now, old = self._files(self.path(step["table"]))[0], self._files(step["old"])[0]
+            if files.exists(aside):
+                if files.exists(now) and not files.rename(now, old):
+                    self._delete(path)
+                    raise OSError(f"could not move {self.path(step['table'])} aside")
+                if not files.rename(aside, now):
+                    if files.exists(old):
+                        files.rename(old, now)
+                    self._delete(path)
+                    raise OSError(f"could not move {step['aside']} into place")
+            files.delete(old, True)
+        self._delete(path)
+
+    def recover(self) -> int:
+        """Take the rest of what a driver that died had written down; returns how many intents there were."""
+        where, files = self._files(f"{self.root}/.intent-*")
+        found = [x.getPath() for x in files.globStatus(where) or [] if not x.getPath().getName().endswith(".part")]
+        for path in sorted(found, key=lambda p: p.getName()):
+            stream = files.open(path)
+            steps = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            self._take(path.toString(), steps)
+        return len(found)
 
     def _move(self, source: str, target: str) -> None:
         """Move the data files of a folder into another one; their names hold a job's id, so none is there twice."""
@@ -154,16 +215,7 @@ class Store:
         """Replace a table: write aside, then rename."""
         aside, old = f"{self.root}/.{name}-{uuid.uuid4().hex}", f"{self.root}/.{name}-old-{uuid.uuid4().hex}"
         rows.write.partitionBy(*PARTITIONS.get(name, [])).parquet(aside)
-        new, files = self._files(aside)
-        now, past = self._files(self.path(name))[0], self._files(old)[0]
-        there = files.exists(now)
-        if there and not files.rename(now, past):
-            raise OSError(f"could not move {self.path(name)} aside")
-        if not files.rename(new, now):
-            if there:
-                files.rename(past, now)
-            raise OSError(f"could not move {aside} into place")
-        files.delete(past, True)
+        self._commit([{"kind": "replace", "table": name, "aside": aside, "old": old}])
 
     def update_run(self, run_id: int, **values: object) -> None:
         """Set columns of a run; ValueError if it does not exist."""

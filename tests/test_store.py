@@ -1,6 +1,8 @@
 import datetime
 import gzip
 import json
+import os
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
@@ -163,6 +165,64 @@ def test_transactions(spark, tmp_path):
     assert store.read("quality_signals").count() == 1
 
 
+class Dies:
+    """A file system that lets the driver die at its n-th rename."""
+
+    def __init__(self, files, left):
+        self.files, self.left = files, left
+
+    def __getattr__(self, name):
+        return getattr(self.files, name)
+
+    def rename(self, source, target):
+        self.left[0] -= 1
+        if self.left[0] == 0:
+            raise KeyboardInterrupt
+        return self.files.rename(source, target)
+
+
+@pytest.mark.parametrize("n", range(1, 7))
+def test_a_transaction_is_whole_after_a_crash(spark, tmp_path, monkeypatch, n):
+    rows = lambda n: spark.createDataFrame([(i, 0.5, True, "repetition", 1 + i % 2) for i in range(n)], "example_id long, score double, flagged boolean, detector_name string, run_id long")
+    store = Store(spark, str(tmp_path))
+    store.append("quality_signals", rows(4), "example_id")
+    real, left = store._files, [n]
+    with pytest.raises(KeyboardInterrupt) if n < 6 else nullcontext(), store.transaction():
+        store.append("quality_signals", rows(2).coalesce(1), "example_id")
+        store.insert("reward_models", name="m")
+        store.insert("evaluations", eval_type="t")
+        monkeypatch.setattr(store, "_files", lambda path: (real(path)[0], Dies(real(path)[1], left)))
+    again = Store(spark, str(tmp_path))
+    counts = (again.read("quality_signals").count(), again.read("reward_models").count(), again.read("evaluations").count())
+    # the first rename is that of the intent: before it nothing has come about, after it all
+    assert counts == ((4, 0, 0) if n == 1 else (6, 1, 1))
+    assert again.recover() == 0 and not [p for p in tmp_path.iterdir() if p.name.startswith(".intent") and not p.name.endswith((".part", ".crc"))]
+
+
+@pytest.mark.parametrize("n", range(1, 5))
+def test_an_overwrite_is_whole_after_a_crash(spark, tmp_path, monkeypatch, n):
+    store = Store(spark, str(tmp_path))
+    store.insert("reward_models", name="old")
+    new = store.read("reward_models").withColumn("name", F.lit("new"))
+    real, left = store._files, [n]
+    monkeypatch.setattr(store, "_files", lambda path: (real(path)[0], Dies(real(path)[1], left)))
+    with pytest.raises(KeyboardInterrupt) if n < 4 else nullcontext():
+        store.overwrite("reward_models", new)
+    assert [r["name"] for r in Store(spark, str(tmp_path)).read("reward_models").collect()] == ["old" if n == 1 else "new"]
+
+
+def test_small_sources_are_dealt_and_large_ones_are_not(spark, monkeypatch):
+    from pairsift.sources import inputs
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data here")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = lambda: inputs.dealt(docs, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan()
+    monkeypatch.setattr(inputs, "ENOUGH_BYTES", 1)
+    assert "Repartition" not in plan()
+
+
 def test_a_failed_overwrite_puts_the_table_back(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     store.insert("reward_models", name="m")
