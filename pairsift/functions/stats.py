@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 PERCENTILES = {"p50": 50.0, "p90": 90.0, "p95": 95.0, "p99": 99.0, "p99_5": 99.5}
 CLIFF_PERCENTILES = (90.0, 95.0, 99.0, 99.5, 99.9)
-BUCKETS, ENOUGH = 1024, 4096
+BUCKETS, ENOUGH = 1024, 16_384
 #: Values a side up to which p-values are exact.
 EXACT = 10_000
 
@@ -52,12 +52,15 @@ def _check(percentiles: list[float]) -> None:
         raise ValueError("percentiles must be between 0 and 100")
 
 
-def order_statistics(df: DataFrame, value: str, wanted: dict, bounds: dict, key: str | None = None) -> dict:
-    """Of each key the values at its ranks (``wanted``: key to ranks from 0; ``bounds``: key to least and largest value)."""
+def order_statistics(df: DataFrame, value: str, wanted: dict, bounds: dict, key: str | None = None, sizes: dict | None = None) -> dict:
+    """Of each key the values at its ranks (``wanted``: key to ranks from 0; ``bounds``: key to least and largest value).
+
+    Keys with ``ENOUGH`` values or fewer (``sizes``, if known) are looked at value by value at once.
+    """
     rows = df.select((F.lit(0) if key is None else F.col(key)).alias("__key"), F.col(value).alias("__x"))
     found: dict = {k: {} for k in wanted}
     # (key, low, high, values below low, ranks, whether to look at single values)
-    open_ = [(k, *bounds[k], 0, ranks, False) for k, ranks in wanted.items() if ranks]
+    open_ = [(k, *bounds[k], 0, ranks, (sizes or {}).get(k, ENOUGH + 1) <= ENOUGH) for k, ranks in wanted.items() if ranks]
     while open_:
         for k, low, high, _, ranks, _ in open_:
             if low == high:
@@ -89,7 +92,7 @@ def grouped_percentiles(df: DataFrame, value: str, percentiles: list[float], gro
     _check(percentiles)
     places = {k: [p / 100 * (n - 1) for p in percentiles] for k, (n, _, _) in groups.items()}
     wanted = {k: sorted({r for x in places[k] for r in (math.floor(x), min(math.floor(x) + 1, n - 1))}) for k, (n, _, _) in groups.items()}
-    values = order_statistics(df, value, wanted, {k: (low, high) for k, (_, low, high) in groups.items()}, key)
+    values = order_statistics(df, value, wanted, {k: (low, high) for k, (_, low, high) in groups.items()}, key, {k: n for k, (n, _, _) in groups.items()})
     out = {}
     for k, (n, _, _) in groups.items():
         out[k] = []

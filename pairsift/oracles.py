@@ -266,6 +266,7 @@ for _name, _score in SCORES.items():
     _add(f"score_{_short}", _ctes, f"SELECT example_id, {_score} AS score FROM {_from}")
     _threshold = FIXED.get(_name) or f"(SELECT quantile_cont(score, {_PERCENTILES[_name] / 100}) FROM s)"
     _add(f"run_{_short}", _ctes + f", s AS (SELECT example_id, {_score} AS score FROM {_from})", f"SELECT example_id, score, score {COMPARE.get(_name, '>=')} {_threshold} AS flagged, round({_threshold}::DOUBLE, 9) AS threshold FROM s")
+_add("sql_repetition", TOKENS + f", s AS (SELECT example_id, {SCORES['repetition']} AS score FROM tok)", "SELECT example_id, score, score <= (SELECT quantile_cont(score, 0.01) FROM s) AS flagged FROM s")
 _add("score_semantic_similarity", EMBEDDINGS, "SELECT * FROM vectors")
 _add("run_semantic_similarity", EMBEDDINGS, "SELECT example_id, score, score >= t.threshold AS flagged, round(t.threshold, 9) AS threshold FROM vectors, (SELECT quantile_cont(score, 0.995) AS threshold FROM vectors) t")
 _add("score_llm_judge", JUDGE, f"SELECT example_id, {_LEAST}::DOUBLE AS score FROM judged")
@@ -369,6 +370,8 @@ _add("experiments", HISTORY, f"SELECT *, CASE WHEN total_examples > 0 THEN round
 _add("export_flagged", HISTORY, "SELECT DISTINCT e.dataset_index FROM examples e JOIN signals s ON s.example_id = e.id WHERE s.flagged AND s.detector_name <> 'repetition' ORDER BY 1")
 _add("flagged_explorer", HISTORY, "SELECT s.example_id, e.dataset_index, e.prompt, e.chosen, e.rejected, round(s.score, 4) AS score, coalesce(s.metadata, '{}') AS metadata FROM signals s JOIN latest l ON l.id = s.run_id JOIN examples e ON e.id = s.example_id WHERE s.flagged AND s.detector_name = 'length_ratio' ORDER BY s.example_id LIMIT 20")
 
+_add("explorer_by_metadata", HISTORY, "SELECT s.example_id, s.example_id - 1 AS dataset_index, round(s.score, 4) AS score, s.metadata FROM signals s JOIN latest l ON l.id = s.run_id WHERE s.flagged AND s.detector_name = 'repetition' AND CAST(json_extract_string(s.metadata, '$.n') AS BIGINT) BETWEEN 10 AND 300 ORDER BY s.example_id LIMIT 200")
+
 _add("upsert_review", REVIEWS, "SELECT * FROM reviews")
 _add("submit_review", REVIEWS, "SELECT example_id, detector_name, label FROM (SELECT * FROM log UNION ALL SELECT * FROM (VALUES (1, 'repetition', 'false_positive', TIMESTAMP '2026-02-01'), (4, 'semantic_similarity', 'needs_review', TIMESTAMP '2026-02-01'))) QUALIFY row_number() OVER (PARTITION BY example_id, detector_name ORDER BY updated_at DESC, label DESC) = 1")
 _add("reviews_for_examples", HISTORY + "," + REVIEWS, "SELECT example_id, label FROM reviews WHERE detector_name = 'semantic_similarity' AND example_id IN (SELECT example_id FROM signals WHERE run_id = 2 AND flagged)")

@@ -27,7 +27,7 @@ class DetectorRun:
     detector: Detector
     threshold: float
     percentile: float
-    signals: DataFrame  # example_id, run_id, detector_name, score, flagged, metadata
+    signals: DataFrame  # example_id, run_id, detector_name, score, flagged, metadata (a variant)
 
     def summary(self) -> DataFrame:
         """One row: id, detector_name, threshold, percentile_used, total_examples, flagged_count and the statistics, null for no scores."""
@@ -60,7 +60,7 @@ def run_detector(pairs: DataFrame, detector: Detector, percentile: float = 99.5,
     if done is not None:
         pairs = pairs.join(done.select("example_id"), "example_id", "left_anti")
     split = tokenised(pairs) if {"chosen", "rejected"} <= set(pairs.columns) else pairs
-    scored = split.select("example_id", detector.score().alias("score"), (F.to_json(detector.metadata()) if metadata else F.lit(None).cast("string")).alias("metadata"))
+    scored = split.select("example_id", detector.score().alias("score"), (F.to_variant_object(detector.metadata()) if metadata else F.lit(None).cast("variant")).alias("metadata"))
     if detector.fixed_threshold is None:
         scored = stored(scored)
     threshold = threshold_of(detector, scored.select("score"), "score", percentile)
@@ -75,7 +75,7 @@ def scored(pairs: DataFrame, detectors: dict[str, Detector], settings: Settings,
     ``done`` (example_id, and an array of detectors) says which examples a detector leaves out.
     """
     split = tokenised(pairs) if {"chosen", "rejected"} <= set(pairs.columns) else pairs
-    columns = [c for n, d in detectors.items() for c in (d.score().alias(f"score_{n}"), F.to_json(d.metadata()).alias(f"meta_{n}"))]
+    columns = [c for n, d in detectors.items() for c in (d.score().alias(f"score_{n}"), F.to_variant_object(d.metadata()).alias(f"meta_{n}"))]
     wide = split.select("example_id", *columns)
     wide = wide.withColumn("done", F.array().cast("array<string>")) if done is None else wide.join(done, "example_id", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
     wide = wide.persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,7 +7,7 @@ are small; signals are filtered by run before anything else is joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import grouped_stats
@@ -117,13 +117,31 @@ def write_flagged_array(examples: DataFrame, signals: DataFrame, path: str) -> i
     return n
 
 
-def flagged_explorer(examples: DataFrame, signals: DataFrame, runs: DataFrame, detector: str, limit: int = 200) -> DataFrame:
-    """Flagged examples of a detector's latest completed run (of signals without a run if it has none), by id."""
+def metadata_text(signals: DataFrame) -> Column:
+    """The metadata as JSON, whether it is a variant or a text."""
+    found = F.to_json("metadata") if dict(signals.dtypes)["metadata"] == "variant" else F.col("metadata")
+    return F.coalesce(found, F.lit("{}"))
+
+
+def metadata_number(signals: DataFrame, path: str) -> Column:
+    """A number of the metadata by its path; null where there is none."""
+    found = F.col("metadata") if dict(signals.dtypes)["metadata"] == "variant" else F.try_parse_json("metadata")
+    return F.try_variant_get(found, path, "double")
+
+
+def flagged_explorer(examples: DataFrame, signals: DataFrame, runs: DataFrame, detector: str, limit: int = 200, between: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Flagged examples of a detector's latest completed run (of signals without a run if it has none), by id.
+
+    ``between`` has paths of metadata and the least and the largest number that they may have.
+    """
     latest = latest_runs(runs.filter(F.col("detector_name") == detector)).select("id").first()
     run = F.col("run_id").isNull() if latest is None else F.col("run_id") == latest["id"]
     hits = signals.filter((F.col("detector_name") == detector) & F.col("flagged") & run)
+    for path, (least, most) in (between or {}).items():
+        hits = hits.filter(metadata_number(signals, path).between(least, most))
+    hits = hits.select("example_id", "score", metadata_text(signals).alias("metadata"))
     joined = hits.join(examples, hits["example_id"] == examples["id"])
-    return joined.select("example_id", "dataset_index", "prompt", "chosen", "rejected", F.round("score", 4).alias("score"), F.coalesce("metadata", F.lit("{}")).alias("metadata")).orderBy("example_id").limit(limit)
+    return joined.select("example_id", "dataset_index", "prompt", "chosen", "rejected", F.round("score", 4).alias("score"), "metadata").orderBy("example_id").limit(limit)
 
 
 def detector_names(signals: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import dialogue, stats
 from .functions.readability import fk_grade
 from .functions.text import distinct_ratio, ngram_repetition, word_hashes, words
-from .operators import detectors, embedding, history, judge, memo, reviews, reward, trainer
+from .operators import detectors, embedding, history, judge, memo, reviews, reward, table_function, trainer
 from .plans import pipeline, reports
 from .plans.config import Settings
 from .sources import inputs, store
@@ -178,7 +178,7 @@ def example_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signals_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.history_signals(spark, sf_dir).filter("detector_name = 'repetition'")
+    return inputs.history_signals(spark, sf_dir).filter("detector_name = 'repetition'").withColumn("metadata", F.to_json("metadata"))
 
 
 @query
@@ -238,6 +238,17 @@ _detector_queries("semantic_similarity", lambda spark, sf_dir: inputs.embedding_
 _detector_queries("llm_judge", lambda spark, sf_dir: inputs.judge_responses(spark, sf_dir).withColumnRenamed("pair_id", "example_id"))
 
 
+@query
+def sql_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector as a table function, flagged by the threshold that a run finds."""
+    pairs = _pairs(spark, sf_dir)
+    percentile = Settings().detector("repetition").threshold_percentile
+    threshold = pipeline.run_detector(pairs, detectors.repetition(), percentile, metadata=False).threshold
+    pairs.createOrReplaceTempView("pairsift_pairs")
+    name = table_function.register(spark)
+    return spark.sql(f"SELECT example_id, score, flagged FROM {name}(TABLE(SELECT example_id, chosen, rejected FROM pairsift_pairs), 'repetition', {threshold!r}D)")
+
+
 @query
 def meta_refusal_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detectors.tokenised(_pairs(spark, sf_dir)).select("example_id", detectors.refusal_bias().metadata().alias("m")).select("example_id", "m.*")
@@ -423,6 +434,11 @@ def flagged_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.flagged_explorer(inputs.examples(spark, sf_dir), *_history(spark, sf_dir), "length_ratio", 20)
 
 
+@query
+def explorer_by_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.flagged_explorer(inputs.examples(spark, sf_dir), *_history(spark, sf_dir), "repetition", between={"$.n": (10, 300)}).select("example_id", "dataset_index", "score", "metadata")
+
+
 # ---------------------------------------------------------------- reviews
 
 

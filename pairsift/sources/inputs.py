@@ -101,7 +101,7 @@ def history_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r.name").alias("detector_name"),
         (F.col("level") / 100.0).cast("double").alias("score"),
         (F.col("level") >= d + 90).alias("flagged"),
-        F.when(F.col("id") % 4 != 0, F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}"))).alias("metadata"),
+        F.when(F.col("id") % 4 != 0, F.to_variant_object(F.struct(F.col("id").alias("n")))).alias("metadata"),
     )
 
 

@@ -1,6 +1,7 @@
 """Parquet tables: appends, overwrites, transactions, keyed latest rows, and consecutive ids.
 
-Signals are partitioned by detector and run, so a report or a flag lookup reads only the runs it needs. An overwrite
+Signals are partitioned by detector and run, so a report or a flag lookup reads only the runs it needs; their metadata is a
+variant, whose fields are read by path and type. An overwrite
 writes next to the table and renames twice; between the renames there is no table for a moment, and if the second one
 fails the old table is put back. Appends inside a transaction are written aside and moved into their tables at its end,
 or deleted if it fails.
@@ -21,11 +22,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType, VariantType
 
 SCHEMAS = {
     "examples": "id long, dataset_index long, chosen_full string, rejected_full string, chosen_last_assistant string, rejected_last_assistant string, prompt string, created_at timestamp_ntz",
-    "quality_signals": "id long, example_id long, score double, flagged boolean, metadata string, created_at timestamp_ntz, detector_name string, run_id long",
+    "quality_signals": "id long, example_id long, score double, flagged boolean, metadata variant, created_at timestamp_ntz, detector_name string, run_id long",
     "detector_runs": "id long, detector_name string, threshold double, percentile_used double, total_examples long, flagged_count long, stats string, started_at timestamp_ntz, completed_at timestamp_ntz",
     "reward_models": "id long, name string, dataset_filter string, training_config string, metrics string, model_path string, created_at timestamp_ntz",
     "evaluations": "id long, reward_model_id long, eval_type string, results string, created_at timestamp_ntz",
@@ -114,7 +115,15 @@ class Store:
         start = (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
         numbered = with_ids(rows.drop("id"), order, start)
         stamped = numbered if "created_at" in numbered.columns else numbered.withColumn("created_at", F.to_timestamp_ntz(F.current_timestamp().cast("string")))
-        return stamped.select(*[(F.col(f.name) if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])])
+        kinds = dict(stamped.dtypes)
+
+        def column(name: str, kind: DataType) -> Column:
+            if name not in kinds:
+                return F.lit(None).cast(kind)
+            # a text is read as JSON; cast, it would be a variant of a text
+            return F.try_parse_json(name) if isinstance(kind, VariantType) and kinds[name] == "string" else F.col(name).cast(kind)
+
+        return stamped.select(*[column(f.name, f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])])
 
     def append(self, name: str, rows: DataFrame, order: str) -> DataFrame:
         """Add rows with new ids. Returns the rows as written."""

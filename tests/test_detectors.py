@@ -144,7 +144,7 @@ def test_own_detectors(spark, monkeypatch, caplog):
     assert "semantic_similarity" not in detectors.registry() and "no such model" in caplog.text
     pairs = spark.createDataFrame([(1, "four", "a", "b"), (2, "x", "a", "b")], "example_id long, prompt string, chosen string, rejected string")
     config = Settings(detectors={"prompt_length": DetectorConfig()})
-    assert [(r["score"], r["flagged"]) for r in pipeline.run_all(pairs, config).collect()] == [(4.0, True), (1.0, False)]
+    assert [(r["score"], r["flagged"]) for r in pipeline.run_all(pairs, config).orderBy("example_id").collect()] == [(4.0, True), (1.0, False)]
 
 
 EIGHT = pd.DataFrame(

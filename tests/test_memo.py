@@ -75,7 +75,7 @@ def test_failing_calls_are_errors_and_asked_again(spark, tmp_path):
     assert [r["response"] == "null" for r in got] == [False, True, False, False, False, False]
     assert sum("Chosen: aa" in c[0] for c in broken.calls()) == 3
     run = run_detector(with_kept_responses(pairs(spark, ROWS), broken, folder, asking=FAST), llm_judge()).signals.orderBy("example_id").collect()
-    assert (run[1]["score"], json.loads(run[1]["metadata"])["error"]) == (3.0, "response is not a verdict")
+    assert (run[1]["score"], run[1]["metadata"].toPython()["error"]) == (3.0, "response is not a verdict")
     whole = Backend(tmp_path / "two")
     assert all(r["response"] != "null" for r in with_kept_responses(pairs(spark, ROWS), whole, folder, asking=FAST).collect())
     assert len(whole.calls()) == 1

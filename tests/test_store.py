@@ -211,6 +211,23 @@ def test_an_overwrite_is_whole_after_a_crash(spark, tmp_path, monkeypatch, n):
     assert [r["name"] for r in Store(spark, str(tmp_path)).read("reward_models").collect()] == ["old" if n == 1 else "new"]
 
 
+def test_metadata_is_a_variant_read_by_path(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    at = datetime.datetime(2026, 1, 1)
+    runs = spark.createDataFrame([(1, "a", 0.5, at, at)], "id long, detector_name string, threshold double, started_at timestamp_ntz, completed_at timestamp_ntz")
+    examples = spark.createDataFrame([(i, i - 1, "p", "c", "r") for i in range(1, 6)], "id long, dataset_index long, prompt string, chosen string, rejected string")
+    texts = ['{"ratio": 0.25, "of": {"n": 3}}', '{"ratio": 0.5}', '{"ratio": "high"}', None, "no json"]
+    rows = spark.createDataFrame([(i + 1, 1.0, True, t, "a", 1) for i, t in enumerate(texts)], "example_id long, score double, flagged boolean, metadata string, detector_name string, run_id long")
+    store.append("quality_signals", rows, "example_id")
+    held = store.read("quality_signals")
+    assert dict(held.dtypes)["metadata"] == "variant"
+    for signals in (held, rows):
+        found = reports.flagged_explorer(examples, signals, runs, "a", between={"$.ratio": (0.2, 0.3)}).collect()
+        assert [(r["example_id"], json.loads(r["metadata"])) for r in found] == [(1, json.loads(texts[0]))]
+        assert [r["example_id"] for r in reports.flagged_explorer(examples, signals, runs, "a", between={"$.of.n": (3, 3)}).collect()] == [1]
+    assert {r["example_id"]: r["metadata"] for r in reports.flagged_explorer(examples, held, runs, "a").collect()}[4] == "{}"
+
+
 def test_small_sources_are_dealt_and_large_ones_are_not(spark, monkeypatch):
     from pairsift.sources import inputs
 
