@@ -13,7 +13,7 @@ like any other. Equal rows are numbered by input partition, one row a partition
 is spread; which of them gets which number makes no difference.
 
 The rates are broadcast only if there are at most ``BROADCAST_SOURCES`` sources (some 2 kB each); otherwise they are
-joined by source with salted keys, as one source may hold much of the rows. Repeated ids are broadcast up to
+joined by source, and the rows of sources that hold much of them are dealt to as many tasks as they need. Repeated ids are broadcast up to
 ``BROADCAST_IDS``, and joined by id beyond that.
 
 Nulls and edges: a null source is a source of its own; sources without a target (or with a target of 0) get no copies;
@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import boxed, table
+from .common import boxed, hot_keys, join_hot, table
 
-BROADCAST_SOURCES, BROADCAST_IDS, SALTS = 8_192, 500_000, 32
+BROADCAST_SOURCES, BROADCAST_IDS = 8_192, 500_000
 PART_RATE = 64.0
 
 
@@ -104,8 +104,9 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     if rates.select("source").count() <= BROADCAST_SOURCES:
         joined = boxes.join(F.broadcast(rates), ["source", "none"])
     else:
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = boxes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "none", "salt"])
+        both = F.struct("source", "none")
+        counts = boxes.groupBy(both.alias("mix")).agg(F.count("*").alias("n"))
+        joined = join_hot(boxes.withColumn("mix", both), rates.select(both.alias("mix"), "parts", "cdf"), "mix", hot_keys(counts, "mix", "n"))
 
     def quantile(*more: Column) -> Column:
         drawn = uniform(F.col("id"), F.lit(f"count{seed}"), *more) / F.lit(float(1 << 52))

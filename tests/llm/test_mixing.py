@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pairsift.llm import mixing
+from pairsift.llm import common, mixing
 
 
 def test_weights_are_met(spark):
@@ -37,7 +37,9 @@ def test_many_sources_take_the_salted_join(spark, make_docs, monkeypatch):
     docs = make_docs([(i, "t", "en", None if i % 5 == 0 else f"s{i % 7}") for i in range(300)])
     want = sorted((r["doc_id"], r["_copy"]) for r in mixing.mix_sources(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
-    assert sorted((r["doc_id"], r["_copy"]) for r in mixing.mix_sources(docs).collect()) == want
+    for rows in (256, 10):  # sources with more rows are hot
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        assert sorted((r["doc_id"], r["_copy"]) for r in mixing.mix_sources(docs).collect()) == want
 
 
 def test_odd_rows(spark, make_docs):
