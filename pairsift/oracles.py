@@ -372,6 +372,18 @@ _add("flagged_explorer", HISTORY, "SELECT s.example_id, e.dataset_index, e.promp
 
 _add("explorer_by_metadata", HISTORY, "SELECT s.example_id, s.example_id - 1 AS dataset_index, round(s.score, 4) AS score, s.metadata FROM signals s JOIN latest l ON l.id = s.run_id WHERE s.flagged AND s.detector_name = 'repetition' AND CAST(json_extract_string(s.metadata, '$.n') AS BIGINT) BETWEEN 10 AND 300 ORDER BY s.example_id LIMIT 200")
 
+_reports, _stored = [], []
+for _name, _score in SCORES.items():
+    _threshold = FIXED.get(_name) or f"quantile_cont({_score}, {_PERCENTILES[_name] / 100})"
+    _one = f"(SELECT {_score} AS score FROM reading), (SELECT ({_threshold})::DOUBLE AS t FROM reading LIMIT 1)"
+    _flags = f"count(*) FILTER (score {COMPARE.get(_name, '>=')} t)"
+    _reports.append(f"SELECT '{_name}' AS detector_name, 'complete' AS status, round(any_value(t), 9) AS threshold, count(*) AS total_scored, {_flags} AS flagged, round(100 * {_flags}::DOUBLE / count(*), 2) AS flagged_pct, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.9), 9) AS p90 FROM {_one}")
+    _changed = ("0.75::DOUBLE", "3::BIGINT") if _name == "repetition" else ("round(any_value(t), 9)", _flags)
+    _stored.append(f"SELECT '{_name}' AS detector_name, {_changed[0]} AS threshold, {_PERCENTILES[_name]}::DOUBLE AS percentile_used, count(*) AS total_examples, {_changed[1]} AS flagged_count FROM {_one}")
+_reports += [f"SELECT '{n}', 'not_run', NULL, NULL, NULL, NULL, NULL, NULL" for n in DETECTORS if n not in SCORES]
+_add("engine_report", _STREAM, " UNION ALL ".join(_reports))
+_add("engine_runs", _STREAM, " UNION ALL ".join(_stored))
+
 _add("upsert_review", REVIEWS, "SELECT * FROM reviews")
 _add("submit_review", REVIEWS, "SELECT example_id, detector_name, label FROM (SELECT * FROM log UNION ALL SELECT * FROM (VALUES (1, 'repetition', 'false_positive', TIMESTAMP '2026-02-01'), (4, 'semantic_similarity', 'needs_review', TIMESTAMP '2026-02-01'))) QUALIFY row_number() OVER (PARTITION BY example_id, detector_name ORDER BY updated_at DESC, label DESC) = 1")
 _add("reviews_for_examples", HISTORY + "," + REVIEWS, "SELECT example_id, label FROM reviews WHERE detector_name = 'semantic_similarity' AND example_id IN (SELECT example_id FROM signals WHERE run_id = 2 AND flagged)")

@@ -15,6 +15,7 @@ from .functions.text import distinct_ratio, ngram_repetition, word_hashes, words
 from .operators import detectors, embedding, history, judge, memo, reviews, reward, table_function, trainer
 from .plans import pipeline, reports
 from .plans.config import Settings
+from .plans.engine import Engine
 from .sources import inputs, store
 from .sources.ingest import ingest, progress, source_limit
 from .streaming.ingest import raw_stream, settled, start_ingest
@@ -439,6 +440,30 @@ def explorer_by_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.flagged_explorer(inputs.examples(spark, sf_dir), *_history(spark, sf_dir), "repetition", between={"$.n": (10, 300)}).select("example_id", "dataset_index", "score", "metadata")
 
 
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over a new store, which has ingested and scored the raw transcripts."""
+    engine = Engine(spark, store.shared_folder(spark))
+    engine.ingest(inputs.raw_transcripts(spark, sf_dir))
+    engine.score()
+    return engine
+
+
+@query
+def engine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _engine(spark, sf_dir).report()
+    return one.select("detector_name", "status", F.round("threshold", 9).alias("threshold"), "total_scored", "flagged", "flagged_pct", F.round("mean", 9).alias("mean"), F.round("p90", 9).alias("p90"))
+
+
+@query
+def engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored runs, one of them updated."""
+    engine = _engine(spark, sf_dir)
+    latest = {r["detector_name"]: r["id"] for r in reports.latest_runs(engine.store.read("detector_runs")).collect()}
+    engine.store.update_run(latest["repetition"], threshold=0.75, flagged_count=3)
+    runs = engine.store.read("detector_runs")
+    return runs.select("detector_name", F.round("threshold", 9).alias("threshold"), "percentile_used", "total_examples", "flagged_count")
+
+
 # ---------------------------------------------------------------- reviews
 
 
