@@ -14,4 +14,4 @@ from .text import present
 
 def fk_grade(text: Column | str, tokens: Column) -> Column:
     text, n = present(text), F.size(tokens)
-    return F.when(n > 0, F.lit(0.39) * n / sentences(text) + F.lit(11.8) * syllables(text, tokens) / n).otherwise(0.0) - 15.59
+    return F.when(n > 0, F.lit(0.39) * n / sentences(text) + F.lit(11.8) * syllables(text) / n).otherwise(0.0) - 15.59

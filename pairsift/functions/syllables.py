@@ -5,7 +5,7 @@ place of its digit that priority. The highest priority of a place counts: an odd
 begins a syllable's core, an even one that it does not. So ``1a`` makes each a a core, ``e2a`` takes it back in "sea",
 ``cre3ate`` gives it again in "create".
 
-All patterns together are one regular expression, by the letter behind a place and from the highest priority down,
+All patterns together are one regular expression, by the letters on both sides of a place and from the highest priority down,
 so a text's syllables are its matches: no word is looked at by itself, but for those without any match, which count one.
 """
 
@@ -67,36 +67,80 @@ def placed(pattern: str) -> tuple[str, int, str]:
     return before, int(digit), behind
 
 
+def _any_mark(letters: str) -> str:
+    """Each letter, or one of those that stand for it with a mark."""
+    return "".join(_ALIKE.get(c, c) for c in letters)
+
+
+#: Classes of a letter and its marked ones, and of all letters.
+_ALIKE = {c: f"[{c}{''.join(m for m, plain in zip(*MARKED) if plain == c)}]" for c in set(MARKED[1])}
+_LETTER, _VOWEL = f"[a-z{MARKED[0]}]", "".join(_ALIKE[v] for v in VOWELS).replace("][", "")
+
+
+def _places(patterns: list[tuple[str, str]]) -> str:
+    """A regular expression of the places between any ``before`` and ``behind``; those that differ in the one letter before become one class."""
+    groups: dict[str, list[str]] = defaultdict(list)
+    for before, behind in patterns:
+        groups[behind].append(before)
+    out = []
+    for behind, befores in groups.items():
+        ahead = _any_mark(behind.rstrip(".")) + (f"(?!{_LETTER})" if behind.endswith(".") else "")
+        single = [b for b in befores if len(b) == 1 and b != "."]
+        lefts = [f"(?<={''.join(map(_any_mark, single)) if len(single) == 1 else '[' + ''.join(map(_any_mark, single)).replace('[', '').replace(']', '') + ']'})"] if single else []
+        for b in befores:
+            if b not in single:
+                edge, letters = f"(?<!{_LETTER})" if b.startswith(".") else "", _any_mark(b.lstrip("."))
+                lefts.append(f"(?<={edge}{letters})" if letters else edge)
+        left = lefts[0] if len(lefts) == 1 else f"(?:{'|'.join(lefts)})"
+        out.append(f"(?={ahead}){left}")
+    return "|".join(out)
+
+
+def _decided(levels: dict[int, list[tuple[str, str]]], base: int) -> str:
+    """Whether the highest priority is odd, where ``base`` holds everywhere."""
+    inner = "" if base % 2 else "(?!)"
+    for priority in sorted(p for p in levels if p > base):
+        some = _places(levels[priority])
+        if priority % 2:
+            inner = "" if not inner else f"(?:{some})" if inner == "(?!)" else f"(?:{some}|{inner})"
+        else:
+            inner = f"(?!{some}){inner}"
+    return inner
+
+
 def expression(patterns: list[str]) -> str:
-    """A regular expression that matches, without a character, at each place of odd priority in lower-case text."""
-    table: dict[str, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
+    """A regular expression that matches, without a character, at each place of odd priority in lower-case text.
+
+    It goes by the letter behind a place, and by whether a vowel stands before: there the priorities that always hold
+    (those of ``1a`` and ``e2a``) need no test, so most places are decided by two letters.
+    """
+    table: dict[str, dict[bool, dict[int, list[tuple[str, str]]]]] = defaultdict(lambda: {True: defaultdict(list), False: defaultdict(list)})
     for pattern in patterns:
         before, priority, behind = placed(pattern)
-        edge = "(?<![a-z])" if before.startswith(".") else ""
-        letters = before.lstrip(".")
-        left = f"(?<={edge}{letters})" if letters else edge
-        right = behind[1:].replace(".", "(?![a-z])")
-        table[behind[0]][priority].append(f"{left}(?={behind[0]}{right})" if right else left)
+        for after_vowel in (True, False):
+            if not before or (before[-1] in VOWELS) == after_vowel:
+                table[behind[0]][after_vowel][priority].append((before, behind))
     letters = []
-    for letter, levels in sorted(table.items()):
-        inner = "(?!)"
-        for priority in sorted(levels):
-            some = "|".join(levels[priority])
-            inner = f"(?:{some}|{inner})" if priority % 2 and inner != "(?!)" else f"(?:{some})" if priority % 2 else f"(?!{some}){inner}"
-        letters.append(f"(?={letter}){inner}")
-    return "|".join(letters)
+    for letter in sorted(table, key=lambda c: "eaioutmny".find(c)):
+        inside, outside = (_decided(table[letter][k], (2 if k else 1) if letter in VOWELS else 0) for k in (True, False))
+        here = _any_mark(letter)
+        letters.append(f"(?={here})(?:(?<=[{_VOWEL.strip('[]')}]){inside}|(?<![{_VOWEL.strip('[]')}]){outside})")
+    first = "".join(_any_mark(c) for c in sorted(table)).replace("[", "").replace("]", "")
+    return f"(?=[{first}])(?:{'|'.join(letters)})"
 
 
 CORES = expression(PATTERNS)
+#: Characters of words, and those that are no a, i, o or u: where one of these is, there is a core.
+_WITHIN = "[^" + SPACE[1:]
+_CLOSED = "[^" + "".join(_any_mark(c) for c in "aiou").replace("[", "").replace("]", "") + SPACE[1:]
+#: The beginnings of words without any core; one range of characters is the quickest to look at.
+CORELESS = f"(?<![!-~])(?<!{_WITHIN})(?={_CLOSED}++(?!{_WITHIN}))(?!{_WITHIN}*?{CORES})"
 
 
-def plain(text: Column) -> Column:
-    return F.translate(F.lower(text), *MARKED)
-
-
-def syllables(text: Column, tokens: Column) -> Column:
-    """Of a text and its words: one a word at least."""
-    return F.regexp_count(plain(text), F.lit(CORES)) + F.size(F.filter(tokens, lambda w: ~plain(w).rlike(CORES)))
+def syllables(text: Column) -> Column:
+    """Of a text: one a word at least."""
+    # a place is never both
+    return F.regexp_count(F.lower(text), F.lit(f"{CORES}|{CORELESS}"))
 
 
 # Abbreviations (without their last point) that stand inside sentences; single letters count as such too.
@@ -107,7 +151,7 @@ vs etc al cf eg ie approx dept est inc ltd co corp vol pp eds ave blvd rd
 """.split()
 MARKS, CLOSERS = ".!?…", ")\\]}\"'”’»"
 _SINGLE = rf"(?<![{MARKS}])(?<!(?<!\p{{L}})(?i:{'|'.join(ABBREVIATIONS)}|\p{{L}}))\.(?![{MARKS}])"
-END = rf"(?:{_SINGLE}|[{MARKS}]{{2,}}|(?<![{MARKS}])[!?…](?![{MARKS}]))[{CLOSERS}]*"
+END = rf"(?=[{MARKS}])(?:{_SINGLE}|[{MARKS}]{{2,}}|(?<![{MARKS}])[!?…](?![{MARKS}]))[{CLOSERS}]*"
 
 
 def sentences(text: Column | str) -> Column:

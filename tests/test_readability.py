@@ -56,7 +56,7 @@ def plain_syllables(word):
 
 def counted(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").withColumn("w", words("text"))
-    found = rows.select("i", F.size("w").alias("n"), syllables.sentences("text").alias("sentences"), syllables.syllables(F.coalesce("text", F.lit("")), F.col("w")).alias("syllables"), fk_grade("text", F.col("w")).alias("grade"))
+    found = rows.select("i", F.size("w").alias("n"), syllables.sentences("text").alias("sentences"), syllables.syllables(F.coalesce("text", F.lit(""))).alias("syllables"), fk_grade("text", F.col("w")).alias("grade"))
     return found.orderBy("i").collect()
 
 
