@@ -9,9 +9,10 @@ Texts of equal word sequences are one node, whatever their number. Groups are co
 component are not needed. First come the links of the SimHash operator between the nodes that are left: each fingerprint
 with the least one within the radius, each node with the least of its fingerprint. SimHash alone would miss pairs, as at
 0.8 far more bits may differ than any indexable radius. So each node is also held against the hub of each of its keys,
-the member that shares most keys, which connects the bulk of a large group in rows that grow with its members; then all
-pairs that do not have the same hub, and whose shingle bitmaps leave room for the similarity, follow. Keys that the same
-nodes share count as one.
+the member that shares most keys, which connects the bulk of a large group in rows that grow with its members. Then all
+pairs that do not have the same hub follow: the texts that have such keys left are joined by the rarest of all their
+shingles, as far down as the pair could still share enough, and their bitmaps must leave room for the similarity. Keys
+that the same nodes share count as one.
 
 Words are separated by ASCII white space, A-Z lower-cased; fewer than five words make one shingle. Null texts count
 as empty, and all empty texts are copies of each other. Of each group the row with the smallest id stays, null ids
@@ -39,7 +40,7 @@ WORD_BYTES[0] = True
 BROADCAST_ROWS = 500_000
 #: One in so many nodes is looked at for keys that many nodes have.
 SAMPLE = 16
-#: Members of a key that one task holds against each other, or against as many others.
+#: Members of a shingle that one task holds against each other, or against as many others.
 PAIR_BLOCK = 4096
 #: Bits of the bitmap of a set of shingles.
 BITMAP = 512
@@ -225,21 +226,49 @@ def star_roots(stars: DataFrame) -> DataFrame:
     return risen.select("node", F.when(F.col("top").isNotNull() & climbs, F.col("top")).otherwise(F.col("hub")).alias("root"))
 
 
+def rarest_shingles(texts: DataFrame, similarity: float) -> DataFrame:
+    """key, n, node, size, rest: of (node, size, root, shingles) the rarest shingles of each node; similar nodes of different roots share one.
+
+    Shingles that no two roots share don't count. A similar text shares ``similarity`` of all shingles at least, so a node with
+    fewer that count has none, and the others need as many as they may lack, and one. n is the number of nodes with the
+    shingle, rest the number of the node's shingles that are not before it: so many at most are shared if this is the first.
+    """
+    each = texts.select("node", "size", "root", F.explode("shingles").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    counts = written(counts.filter("low <> high").select("key", "n"))
+    met = join_hot(each.drop("root"), counts, "key", hot_keys(counts, "key", "n"))
+    by_node = W.partitionBy("node")
+    placed = met.withColumns({"own": F.count("*").over(by_node), "place": F.row_number().over(by_node.orderBy("n", "key"))})
+    least = F.ceil(similarity * F.col("size") - 1e-9)
+    return written(placed.withColumn("rest", F.col("own") - F.col("place") + 1).filter(F.col("rest") >= least).select("key", "n", "node", "size", "rest"))
+
+
 def cross_pairs(rows: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, hot: Column | None) -> DataFrame:
-    """(a, b): all pairs that share a key, may be similar and have not the same root (or one the other as root)."""
+    """(a, b): all pairs that share a key, may be similar and have not the same root (or one the other as root).
+
+    Members of a key are many and few of them are similar, so those whose keys have several roots are joined by their rarest
+    shingles instead, of which the smaller text of a pair needs fewer still.
+    """
     held = checkpointed(sets.drop("shingles", "f0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # keys whose members all have one root are done
     rooted = rows.select("key", "n", "node").join(held.select("node", "root"), "node")
-    left = over_key(rooted, "key", {"low": F.min("root"), "high": F.max("root")}, hot).filter("low <> high").select("key", "n", "node")
-    # a crowded key's members are dealt to blocks, and each pair of blocks is a key of its own
+    left = over_key(rooted, "key", {"low": F.min("root"), "high": F.max("root")}, hot).filter("low <> high").select("node", "root").distinct()
+    rarest = rarest_shingles(written(sets.select("node", "size", "shingles").join(left, "node")), similarity)
+    # a crowded shingle's nodes are dealt to blocks, and each pair of blocks is a key of its own
     blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
-    dealt = left.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = dealt.select("key", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "node")
+    dealt = rarest.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # equal sizes share this part of each, and the smaller text more of its own
+    part = similarity / (1 + similarity)
+    smaller = dealt.filter(F.col("rest") >= F.ceil(2 * part * F.col("size") - 1e-9))
+    one = smaller.select("key", "node", "rest", F.col("block").alias("low"), F.col("other").alias("high")).join(held, "node")
+    other = dealt.select("key", "node", "rest", F.col("other").alias("low"), F.col("block").alias("high")).join(held, "node")
     apart = (F.col("a.root") != F.col("b.root")) & (F.col("a.root") != F.col("b.node")) & (F.col("a.node") != F.col("b.root"))
     # the cheapest conditions come first
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high")) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block")))
-    near = same & (F.col("a.node") < F.col("b.node")) & apart & may_be_similar(similarity)
-    return placed.alias("a").join(placed.alias("b"), near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    ordered = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") < F.col("b.node")))
+    enough = F.least("a.rest", "b.rest") >= F.ceil(part * (F.col("a.size") + F.col("b.size")) - 1e-9)
+    near = same & ordered & (F.col("a.size") >= similarity * F.col("b.size")) & enough & apart & may_be_similar(similarity)
+    return one.alias("a").join(other.alias("b"), near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, hot: DataFrame | None = None) -> DataFrame:

@@ -208,6 +208,34 @@ def test_no_pair_that_differs_by_a_block_is_missed(spark):
     assert {tuple(sorted(r)) for r in links.collect()} == want
 
 
+def test_a_family_of_unlike_texts_makes_few_pairs(spark, monkeypatch):
+    """Texts of one family that share most of their shingles, few of them similar: pairs follow those, not the square of the family."""
+    rng = random.Random(3)
+    base, other = [f"w{i}" for i in range(300)], [f"v{i}" for i in range(300)]
+    texts = []
+    for _ in range(70):
+        changed = set(rng.sample(range(4, 292), 7))
+        texts.append([other[i] if i in changed else base[i] for i in range(300)])
+    texts += [[*t[:296], "a", "b", "c", "d"] for t in texts[:5]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    made, whole = [], neardup.cross_pairs
+
+    def counted(*args):
+        pairs = whole(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "cross_pairs", counted)
+    rows, links = neardup.near_duplicates(neardup.row_keys(docs).drop("row"))
+    grams = {r["node"]: {tuple(texts[r["doc_id"]][i : i + 5]) for i in range(296)} for r in rows.collect()}
+    similar = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    found = {tuple(sorted(r)) for r in links.collect()}
+    want = {(a, b) for a in grams for b in grams if a < b and similar(a, b)}
+    assert len(want) >= 5 and found <= want
+    assert joined(sorted(grams), lambda a, b: (a, b) in found) == joined(sorted(grams), similar)
+    assert 8 * made[0] <= len(grams) * (len(grams) - 1)
+
+
 @pytest.mark.parametrize("dense", [4096, 3])
 def test_simhash_pairs_equal_brute_force(spark, dense):
     rng = random.Random(dense)
