@@ -80,3 +80,22 @@ def test_learns_what_is_preferred(spark):
 def test_no_pairs(spark):
     with pytest.raises(ValueError, match="no pairs"):
         train(spark.createDataFrame([], SCHEMA))
+
+
+@pytest.mark.parametrize("run", [1, 32])
+def test_batches_in_runs_and_alone_equal_a_plain_run(spark, monkeypatch, run):
+    monkeypatch.setattr(trainer, "_RUN", run)
+    s, rows = TrainSettings(bits=6, epochs=2, batch_size=16, rate=0.05), made(90)
+    got = train(spark.createDataFrame(rows, SCHEMA).repartition(3), s)
+    weights, history = plain(rows, s)
+    assert got.weights == pytest.approx(weights, abs=1e-9)
+    assert got.history["epoch_loss"] == pytest.approx(history["epoch_loss"]) and got.history["epoch_accuracy"] == pytest.approx(history["epoch_accuracy"])
+
+
+def test_small_batches_share_jobs(spark):
+    spark.sparkContext.setJobGroup("steps", "")
+    try:
+        train(spark.createDataFrame(made(200), SCHEMA), TrainSettings(bits=6, batch_size=5))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
