@@ -20,6 +20,9 @@ SLICE_BYTES = 1 << 19
 #: Texts of one Arrow batch, together.
 BATCH_BYTES = 1 << 23
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Texts that a task's Parquet reader holds at once, uncompressed.
+READ_ROWS = 256
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 #: Samples are drawn by a hash modulo this.
 DRAWS = 1 << 40
 #: Keys that more rows have than this, and more than one in HOT_KEYS of all rows, are joined apart.
@@ -155,6 +158,15 @@ def over_key(rows: DataFrame, key: str, sums: dict[str, Column], hot: Column | N
     return joined.select(*rows.columns, *[F.when(F.col("is_hot"), F.col(f"hot_{name}")).otherwise(F.col(name)).alias(name) for name in sums])
 
 
+def not_broadcast(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join by a shuffle of both sides, whatever size Spark expects.
+
+    It takes an exploded table for no larger than the table before, and a file's compressed bytes for its rows, so it
+    would send large tables to the driver as a broadcast.
+    """
+    return rows.hint("merge")
+
+
 def boxed(docs: DataFrame, *more: Column) -> DataFrame:
     """All columns in one struct ``row``, and more columns beside it: none of them can clash with a column of the row."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
@@ -166,6 +178,12 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
+def limit_reads(spark: SparkSession) -> None:
+    """Hold the rows that the Parquet reader has at once to ``READ_ROWS`` from here on, unless the session has a smaller limit: whole texts are wide."""
+    if int(spark.conf.get(_READ)) > READ_ROWS:
+        spark.conf.set(_READ, READ_ROWS)
+
+
 def _bytes(size: str) -> int:
     text = size.strip().lower().removesuffix("b")
     return int(text[:-1]) << 10 * (1 + "kmgt".index(text[-1])) if text[-1] in "kmgt" else int(text)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, flat, hot_keys, join_hot, limit_batches, mixed, table, written
+from .common import checkpointed, flat, hot_keys, join_hot, limit_batches, limit_reads, mixed, not_broadcast, table, written
 from .components import components
 
 
@@ -128,7 +128,7 @@ def dense_links(members: DataFrame, radius: int) -> DataFrame:
     masks = [sum(1 << b for b in bits) for size in range(reach + 1) for bits in combinations(range(64), size)]
     points = members.select("f0", F.explode(F.lit([m - (1 << 64) if m >> 63 else m for m in masks])).alias("mask")).select("f0", F.col("f0").bitwiseXOR(F.col("mask")).alias("point"))
     least = points.groupBy("point").agg(F.min("f0").alias("a"), F.max("f0").alias("most")).filter("a <> most").drop("most")
-    links = points.join(least, "point").filter("a <> f0").select("a", F.col("f0").alias("b")).distinct()
+    links = not_broadcast(points).join(not_broadcast(least), "point").filter("a <> f0").select("a", F.col("f0").alias("b")).distinct()
     return links if radius % 2 == 0 else links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -139,7 +139,7 @@ def near_links(nodes: DataFrame, settings: SimHashSettings) -> DataFrame:
     any_crowded = bool(crowded.take(1))
     sparse = keys.join(crowded, "key", "left_anti") if any_crowded else keys
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.f0") < F.col("b.f0")) & (distance(settings) <= settings.radius) & first_shared_key(settings)
-    links = sparse.alias("a").join(sparse.alias("b"), near).select(F.col("a.f0").alias("a"), F.col("b.f0").alias("b"))
+    links = not_broadcast(sparse.alias("a")).join(not_broadcast(sparse.alias("b")), near).select(F.col("a.f0").alias("a"), F.col("b.f0").alias("b"))
     if not any_crowded:
         return links
     members = keys.join(crowded, "key", "left_semi").select("f0").distinct()
@@ -149,6 +149,7 @@ def near_links(nodes: DataFrame, settings: SimHashSettings) -> DataFrame:
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document, fingerprints linked at 4 or fewer bits."""
     limit_batches(spark)
+    limit_reads(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", fingerprints("text", CONTRACT.shingle).alias("f0"))
     docs = written(docs)
     # each fingerprint makes 64 keys, so few bytes of them are much work: they are dealt to all tasks
@@ -160,4 +161,4 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = checkpointed(linked)
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     found = checkpointed(join_hot(linked, lows.drop("n"), "root", hot_keys(lows, "root", "n")).select("f0", "copies", "component_id"))
-    return join_hot(docs, found.drop("copies"), "f0", hot_keys(found, "f0", "copies")).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    return join_hot(not_broadcast(docs), found.drop("copies"), "f0", hot_keys(found, "f0", "copies")).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")

@@ -98,6 +98,27 @@ def test_query_equals_brute_force(spark, make_docs, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_no_table_of_all_rows_is_broadcast(spark, make_docs, tmp_path):
+    """Spark expects far fewer rows of an exploded table and fewer bytes of a compressed one than there are."""
+    make_docs([(i, f"a text of five words {i}") for i in range(40)]).write.parquet(str(tmp_path / "documents.parquet"))
+    nodes = spark.range(100).select((F.col("id") * 7919).alias("f0"))
+    for found in (simhash.near_links(nodes, simhash.CONTRACT), simhash.dense_links(nodes, 4), simhash.op9_neardup(spark, str(tmp_path))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_parquet_is_read_in_few_rows_at_once(spark, make_docs, tmp_path):
+    key, before = "spark.sql.parquet.columnarReaderBatchSize", spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    make_docs([(1, "one")]).write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        for given, want in ((4096, common.READ_ROWS), (16, 16)):
+            spark.conf.set(key, given)
+            assert simhash.op9_neardup(spark, str(tmp_path)).count() == 1
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_empty_table(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert simhash.op9_neardup(spark, str(tmp_path)).count() == 0
