@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE_KINDS, HOT_KEYS, HOT_ROWS, checkpointed, delete_folder, flat, hot_keys, join_hot, limit_batches, mixed, over_key, release, shared_folder, shingles_of, slices, words_of, written
+from .common import BYTE_KINDS, HOT_KEYS, HOT_ROWS, delete_folder, flat, hot_keys, join_hot, limit_batches, mixed, not_broadcast, over_key, release, shared_folder, shingles_of, slices, words_of, written
 from .components import components
 from .simhash import SimHashSettings, fingerprint, near_links
 
@@ -150,7 +150,7 @@ def shared_keys(nodes: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
     by_node = W.partitionBy("node")
     keys = nodes.select("node", "size", F.explode("keys").alias("key"))
     sampled = nodes.filter(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(SAMPLE)) == 0)
-    crowded = checkpointed(crowded_keys(sampled.select(F.explode("keys").alias("key"))))
+    crowded = written(crowded_keys(sampled.select(F.explode("keys").alias("key"))))
     some = bool(crowded.take(1))
     # the smallest text that can be similar spares the fewest
     need = F.greatest(F.ceil(settings.spare * F.ceil(settings.similarity * F.col("size") - 1e-9) - 1e-9), F.lit(1))
@@ -208,20 +208,21 @@ def simhash_pairs(prints: DataFrame, settings: SimHashSettings) -> DataFrame:
     the radius. So links grow with the nodes, however many fingerprints lie close together.
     """
     parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    groups = checkpointed(prints.groupBy("f0").agg(F.min("node").alias("low"), F.count("*").alias("n")).repartition(parts, "f0"))
-    least = near_links(groups.select("f0"), settings).select(F.greatest("a", "b").alias("f0"), F.least("a", "b").alias("to")).groupBy("f0").agg(F.min("to").alias("to"))
+    groups = written(prints.groupBy("f0").agg(F.min("node").alias("low"), F.count("*").alias("n")))
+    # each fingerprint makes 64 keys, so these alone are dealt to all tasks
+    least = near_links(groups.select("f0").repartition(parts, "f0"), settings).select(F.greatest("a", "b").alias("f0"), F.least("a", "b").alias("to")).groupBy("f0").agg(F.min("to").alias("to"))
     lows = groups.select(F.col("f0").alias("to"), F.col("low").alias("b"))
-    apart = least.join(groups.select("f0", F.col("low").alias("a")), "f0").join(lows, "to").select("a", "b")
-    alike = join_hot(prints.select("node", "f0"), groups.select("f0", "low"), "f0", hot_keys(groups, "f0", "n")).filter("node <> low")
+    apart = least.join(not_broadcast(groups.select("f0", F.col("low").alias("a"))), "f0").join(not_broadcast(lows), "to").select("a", "b")
+    alike = join_hot(prints.select("node", "f0"), not_broadcast(groups.select("f0", "low")), "f0", hot_keys(groups, "f0", "n")).filter("node <> low")
     return alike.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(apart).withColumn("fame", F.lit(0).cast("long"))
 
 
 def star_roots(stars: DataFrame) -> DataFrame:
     """(node, root): each node's most famous hub, and that one's, if it has one. A node that has none is its own root."""
-    up = checkpointed(stars.groupBy("a").agg(F.max(F.struct("fame", "b")).alias("hub")).select(F.col("a").alias("node"), F.col("hub.b").alias("hub"), F.col("hub.fame").alias("fame")))
+    up = written(stars.groupBy("a").agg(F.max(F.struct("fame", "b")).alias("hub")).select(F.col("a").alias("node"), F.col("hub.b").alias("hub"), F.col("hub.fame").alias("fame")))
     # only upwards, so that two nodes that are each other's hubs agree on one
     higher = up.select(F.col("node").alias("hub"), F.col("hub").alias("top"), F.col("fame").alias("top_fame"))
-    risen = up.join(higher, "hub", "left")
+    risen = up.join(not_broadcast(higher), "hub", "left")
     climbs = F.struct("top_fame", "top") > F.struct("fame", "hub")
     return risen.select("node", F.when(F.col("top").isNotNull() & climbs, F.col("top")).otherwise(F.col("hub")).alias("root"))
 
@@ -249,9 +250,9 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, roots: DataFrame, similarity:
     Members of a key are many and few of them are similar, so those whose keys have several roots are joined by their rarest
     shingles instead, of which the smaller text of a pair needs fewer still.
     """
-    held = checkpointed(sets.drop("shingles", "f0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    held = written(sets.drop("shingles", "f0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # keys whose members all have one root are done
-    rooted = rows.select("key", "n", "node").join(held.select("node", "root"), "node")
+    rooted = rows.select("key", "n", "node").join(not_broadcast(held.select("node", "root")), "node")
     left = over_key(rooted, "key", {"low": F.min("root"), "high": F.max("root")}, hot).filter("low <> high").select("node", "root").distinct()
     rarest = rarest_shingles(written(sets.select("node", "size", "shingles").join(left, "node")), similarity)
     # a crowded shingle's nodes are dealt to blocks, and each pair of blocks is a key of its own
@@ -260,8 +261,8 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, roots: DataFrame, similarity:
     # equal sizes share this part of each, and the smaller text more of its own
     part = similarity / (1 + similarity)
     smaller = dealt.filter(F.col("rest") >= F.ceil(2 * part * F.col("size") - 1e-9))
-    one = smaller.select("key", "node", "rest", F.col("block").alias("low"), F.col("other").alias("high")).join(held, "node")
-    other = dealt.select("key", "node", "rest", F.col("other").alias("low"), F.col("block").alias("high")).join(held, "node")
+    one = smaller.select("key", "node", "rest", F.col("block").alias("low"), F.col("other").alias("high")).join(not_broadcast(held), "node")
+    other = dealt.select("key", "node", "rest", F.col("other").alias("low"), F.col("block").alias("high")).join(not_broadcast(held), "node")
     apart = (F.col("a.root") != F.col("b.root")) & (F.col("a.root") != F.col("b.node")) & (F.col("a.node") != F.col("b.root"))
     # the cheapest conditions come first
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
@@ -308,17 +309,17 @@ def near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = NearDupli
     signed, rows = signed_rows(docs, settings)
     release(docs.sparkSession)
     hot = shared_by_many(rows)
-    hubs = checkpointed(star_pairs(rows, settings.similarity, hot))
+    hubs = written(star_pairs(rows, settings.similarity, hot))
     first = signed.groupBy("node").agg(F.min(F.struct("row1", "row2")).alias("row"))
-    wanted = checkpointed(rows.select("node").distinct().join(first, "node").select("row.*"))
+    wanted = written(rows.select("node").distinct().join(first, "node").select("row.*"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = docs.join(wanted, ["row1", "row2"], "left_semi").select(shingle_sets("text", settings.shingle).alias("s")).select("s.*").dropDuplicates(["node"])
     sets = written(sets)
     release(docs.sparkSession)
-    candidates = checkpointed(hubs.unionByName(simhash_pairs(sets.select("node", "f0"), settings.simhash)).groupBy("a", "b").agg(F.max("fame").alias("fame")))
+    candidates = written(hubs.unionByName(simhash_pairs(sets.select("node", "f0"), settings.simhash)).groupBy("a", "b").agg(F.max("fame").alias("fame")))
     often = hot_keys(candidates.groupBy("b").agg(F.count("*").alias("n")), "b", "n")
-    stars = checkpointed(verified(candidates, sets, settings.similarity, often))
+    stars = written(verified(not_broadcast(candidates), sets, settings.similarity, often))
     release(docs.sparkSession)
     rest = verified(cross_pairs(rows, sets, star_roots(stars), settings.similarity, hot), sets, settings.similarity)
     return signed, stars.select("a", "b").unionByName(rest)

@@ -137,6 +137,28 @@ def test_components(spark):
     assert cc.components(frame.limit(0)).count() == 0
 
 
+def test_components_compute_the_edges_once_in_few_tasks(spark):
+    calls, context, parts = spark.sparkContext.accumulator(0), spark.sparkContext, 32
+    count = F.udf(lambda x: (calls.add(1), x)[1], "long").asNondeterministic()
+    held = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("components", "components")
+        edges = spark.range(0, 60, numPartitions=2).select(count("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r["root"] for r in cc.components(edges).collect()} == {0}
+        stages = {s for j in context.statusTracker().getJobIdsForGroup("components") for s in context.statusTracker().getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := context.statusTracker().getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert calls.value == 60
+    # with checkpoints: 2,924
+    assert tasks < 2000
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
